@@ -10,7 +10,7 @@ from lexgrain.functions import charclasses as cc
 
 def collapse_spaces(text: Column) -> Column:
     """Turn each run of whitespace into one space and strip both ends."""
-    return F.trim(F.regexp_replace(text, f"{cc.WS}+", " "))
+    return F.trim(F.regexp_replace(text, f"{cc.WS_JAVA}+", " "))
 
 
 def clean_text(text: Column) -> Column:
@@ -26,8 +26,11 @@ def clean_text(text: Column) -> Column:
 
 
 def whitespace_tokens(text: Column) -> Column:
-    """Lower-cased maximal runs of non-space characters, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"{cc.NOT_WS}+"), F.lit(0))
+    """Lower-cased maximal runs of non-space characters, in order.
+
+    After collapsing, one space separates two words; only a text without words splits into "".
+    """
+    return F.array_remove(F.split(collapse_spaces(F.lower(text)), " "), "")
 
 
 def word_tokens(text: Column) -> Column:

@@ -47,7 +47,7 @@ def with_text_features(df: DataFrame, text: str = "sentence") -> DataFrame:
         )
         .withColumn(
             "punctuation",
-            F.col("char_count") - F.length(F.translate(raw, cc.PUNCTUATION, "")),
+            F.length(F.regexp_replace(raw, f"{cc.NOT_PUNCTUATION}+", "")).cast("bigint"),
         )
         .withColumn("_upper", F.length(F.regexp_replace(raw, f"{cc.NOT_UPPER_JAVA}+", "")))
         .withColumn("_digit", F.length(F.regexp_replace(raw, f"{cc.NOT_DIGIT_JAVA}+", "")))

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 from pyspark.storagelevel import StorageLevel
+from pyspark.util import inheritable_thread_target
 
-from lexgrain.functions import charclasses as cc
+from lexgrain.functions import text as tx
 from lexgrain.operators.ensemble import union_all
 from lexgrain.operators.features import FEATURES, Scaler, with_cleaned, with_text_features
 from lexgrain.operators.metrics import accuracy_f1, classification_report
@@ -204,16 +206,19 @@ class Stacker:
         )
 
 
-def hashed_text_pipeline(features: int = 1 << 16) -> Pipeline:
-    """Text to logistic regression with no vocabulary: hashed word counts times IDF."""
+def with_hashed_counts(df: DataFrame, text: str = "sentence", features: int = 1 << 16) -> DataFrame:
+    """Replace ``text`` by ``tf``, a sparse vector of hashed word counts; nothing is fitted."""
+    tokens = df.withColumn("_words", tx.word_tokens(F.col(text)))
+    hashing = HashingTF(inputCol="_words", outputCol="tf", numFeatures=features)
+    return hashing.transform(tokens).drop("_words", text)
+
+
+def linear_text_model() -> Pipeline:
+    """Inverse document frequency and logistic regression on ``tf``, fitted on the training rows."""
     return Pipeline(
         stages=[
-            RegexTokenizer(
-                inputCol="sentence", outputCol="words", pattern=cc.WORD_TOKEN, gaps=False
-            ),
-            HashingTF(inputCol="words", outputCol="tf", numFeatures=features),
             IDF(inputCol="tf", outputCol="features", minDocFreq=2),
-            LogisticRegression(labelCol="label", regParam=0.01, maxIter=50),
+            LogisticRegression(labelCol="label", regParam=0.1, maxIter=25),
         ]
     )
 
@@ -223,22 +228,29 @@ def out_of_fold(
     k: int = 5,
     estimator: Estimator | None = None,
     keep: tuple[str, ...] = ("id", "label", "fold"),
+    parallelism: int = 1,
 ) -> DataFrame:
     """Fit on k-1 folds, predict the held-out one, for every fold: ``(keep..., pred_prob)``.
 
-    ``folded`` holds what the estimator needs plus ``fold``.  It is read once per fold, so it is
-    persisted for the training loop; the models remain, the rows do not pass through the driver.
+    ``folded`` holds what the estimator reads plus ``fold``; it should carry features rather than
+    text, since it is persisted and read by every fit.  ``parallelism`` fits run at a time: raise
+    it when one fit leaves executors idle.
     """
-    estimator = estimator or hashed_text_pipeline()
+    estimator = estimator or linear_text_model()
     folded = folded.persist(DISK)
-    parts = []
-    for held_out in range(k):
-        model = estimator.fit(fold_train(folded, held_out))
-        scored = model.transform(fold_validation(folded, held_out))
-        parts.append(
-            scored.select(*keep, F.get(vector_to_array("probability"), F.lit(1)).alias("pred_prob"))
-        )
-    return union_all(parts)
+    train = inheritable_thread_target(folded.sparkSession)(
+        lambda held_out: estimator.fit(fold_train(folded, held_out))
+    )
+    with ThreadPool(min(parallelism, k)) as pool:
+        fitted = pool.map(train, range(k))
+    return union_all(
+        [
+            model.transform(fold_validation(folded, held_out)).select(
+                *keep, F.get(vector_to_array("probability"), F.lit(1)).alias("pred_prob")
+            )
+            for held_out, model in enumerate(fitted)
+        ]
+    )
 
 
 def batch_scorer(

@@ -463,8 +463,9 @@ def stacker_predict(spark, folder):
 @query
 def oof_generate(spark, folder):
     folds = splits.stratified_kfold(rel.labelled_ids(spark, folder).select("id", "label"))
-    folded = rel.sent(spark, folder).join(folds.select("id", "fold"), "id")
-    return models.out_of_fold(folded)
+    counted = models.with_hashed_counts(rel.sent(spark, folder))
+    folded = counted.join(folds.select("id", "fold"), "id")
+    return models.out_of_fold(folded, parallelism=5)
 
 
 @query
