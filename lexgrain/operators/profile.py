@@ -38,12 +38,25 @@ def label_distribution(
 
 def value_counts(df: DataFrame, values: list[str], by: list[str]) -> DataFrame:
     """``(by..., metric, value, n)`` for several integer columns in one scan."""
+    if len(values) == 1:
+        keys = [F.lit(values[0]).alias("metric"), F.col(values[0]).cast("bigint").alias("value")]
+        return df.groupBy(*by, *keys).agg(F.count("*").alias("n"))
     long = df.unpivot(
         [F.col(b) for b in by], [F.col(v).cast("bigint").alias(v) for v in values], "metric", "value"
     )
     return long.groupBy(*by, "metric", "value").agg(F.count("*").alias("n"))
 
 
+def word_length_counts(df: DataFrame, text: str, label: str) -> DataFrame:
+    """``(label, value, n)``: rows per word count.
+
+    Null texts are dropped on the stored column; the same test on the derived count would be
+    pushed below the projection and evaluate its expressions once more.
+    """
+    rows = df.select(label, text).where(F.col(text).isNotNull())
+    return value_counts(with_word_count(rows, text, "words"), ["words"], [label]).drop("metric")
+
+
 def summarise_counts(counts: DataFrame, by: list[str]) -> DataFrame:
     """Mean, median, population deviation, minimum and maximum from value counts."""
     group = Window.partitionBy(*by)
@@ -116,14 +129,13 @@ def word_histogram(
     Bins are closed on the left, the last one on both sides.  If all values are equal the range
     is widened by one half on each side.
     """
-    counts = value_counts(with_word_count(df.select(label, text), text, "words"), ["words"], [label])
+    counts = word_length_counts(df, text, label)
     span = counts.select(
         F.struct(F.min("value").alias("lo"), F.max("value").alias("hi")).alias("span")
     ).scalar()
     half = F.when(F.col("span.lo") == F.col("span.hi"), F.lit(0.5)).otherwise(F.lit(0.0))
     placed = (
-        counts.where(F.col("value").isNotNull())
-        .withColumn("span", span)
+        counts.withColumn("span", span)
         .withColumn("lo", F.col("span.lo") - half)
         .withColumn("hi", F.col("span.hi") + half)
         .withColumn("step", (F.col("hi") - F.col("lo")) / F.lit(bins))
@@ -163,32 +175,34 @@ def word_histogram(
     )
 
 
-def _fences(counts: DataFrame, label: str) -> DataFrame:
-    quartiles = counts.groupBy(label).agg(
-        F.percentile("value", [0.25, 0.5, 0.75], F.col("n")).alias("_q"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.sum("n").alias("n_rows"),
-    )
+def _fenced_counts(df: DataFrame, text: str, label: str) -> DataFrame:
+    """Word length counts with the quartiles, mean and fences of their label.
+
+    The window sees one row per distinct length of a label.
+    """
+    group = Window.partitionBy(label)
+    n, value = F.col("n"), F.col("value")
     q1, q3 = F.col("_q")[0], F.col("_q")[2]
-    return quartiles.select(
-        F.col(label).alias("_label"),
-        "n_rows",
-        "mean",
-        q1.alias("q1"),
-        F.col("_q")[1].alias("median"),
-        q3.alias("q3"),
-        (q1 - 1.5 * (q3 - q1)).alias("fence_low"),
-        (q3 + 1.5 * (q3 - q1)).alias("fence_high"),
+    return (
+        word_length_counts(df, text, label)
+        .withColumn("_q", F.percentile("value", [0.25, 0.5, 0.75], n).over(group))
+        .withColumn("n_rows", F.sum("n").over(group))
+        .withColumn("mean", F.sum(value * n).over(group) / F.col("n_rows"))
+        .select(
+            label,
+            "value",
+            "n",
+            "n_rows",
+            "mean",
+            q1.alias("q1"),
+            F.col("_q")[1].alias("median"),
+            q3.alias("q3"),
+            (q1 - 1.5 * (q3 - q1)).alias("fence_low"),
+            (q3 + 1.5 * (q3 - q1)).alias("fence_high"),
+        )
     )
 
 
-def _fenced_counts(df: DataFrame, text: str, label: str) -> DataFrame:
-    words = with_word_count(df.select(label, text), text, "words").where(F.col("words").isNotNull())
-    counts = value_counts(words, ["words"], [label])
-    fences = _fences(counts, label)
-    return counts.join(fences, counts[label].eqNullSafe(fences["_label"])).drop("_label")
-
-
 def box_stats(df: DataFrame, text: str = "sentence", label: str = "label") -> DataFrame:
     """Quartiles, mean, whiskers and outlier count of word counts per label."""
     value, n = F.col("value"), F.col("n")
@@ -197,13 +211,14 @@ def box_stats(df: DataFrame, text: str = "sentence", label: str = "label") -> Da
     outlier = (value < F.col("fence_low")) | (value > F.col("fence_high"))
     return (
         _fenced_counts(df, text, label)
-        .groupBy(label, "n_rows", "mean", "q1", "median", "q3")
+        .groupBy(label)
         .agg(
-            F.least(inside_low, F.col("q1")).alias("whisker_low"),
-            F.greatest(inside_high, F.col("q3")).alias("whisker_high"),
+            F.sum(n).alias("n"),
+            *[F.first(c).alias(c) for c in ("mean", "q1", "median", "q3")],
+            F.least(inside_low, F.first("q1")).alias("whisker_low"),
+            F.greatest(inside_high, F.first("q3")).alias("whisker_high"),
             F.coalesce(F.sum(F.when(outlier, n)), F.lit(0)).alias("n_outliers"),
         )
-        .withColumnRenamed("n_rows", "n")
     )
 
 

@@ -12,34 +12,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def stratified_rank(
-    df: DataFrame, id: str = "id", label: str = "label", seed: int = 42, hex_digits: int = 3
-) -> DataFrame:
-    """Add ``_rank`` (1-based within the class), ``_class_n`` and ``_class_start``.
+def _bucketed(df: DataFrame, id: str, seed: int, hex_digits: int) -> DataFrame:
+    hashed = F.md5(F.concat(F.col(id).cast("string"), F.lit(f":{seed}")))
+    return df.withColumn("_hash", hashed).withColumn(
+        "_bucket", F.substring("_hash", 1, hex_digits)
+    )
+
+
+def _bucket_starts(keyed: DataFrame, label: str) -> DataFrame:
+    """``(label, _bucket, _start)``: rows in smaller labels and in earlier buckets of the label.
 
-    ``_class_start`` is the number of rows in classes with a smaller label.  A class has
-    ``16 ** hex_digits`` buckets.
+    At most ``16 ** hex_digits`` rows per class reach the ordered window.
     """
-    hashed = F.md5(F.concat(F.col(id).cast("string"), F.lit(f":{seed}")))
-    keyed = df.withColumn("_hash", hashed).withColumn("_bucket", F.substring("_hash", 1, hex_digits))
     sizes = keyed.groupBy(label, "_bucket").agg(F.count("*").alias("_n"))
-    # The windows below see one row per (class, bucket) and one row per class.
-    earlier = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_bucket_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    smaller = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
-    classes = (
-        df.groupBy(label)
-        .agg(F.count("*").alias("_class_n"))
-        .withColumn("_class_start", F.coalesce(F.sum("_class_n").over(smaller), F.lit(0)))
-    )
-    starts = starts.join(classes, label).drop("_n")
+    earlier = Window.orderBy(label, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+
+
+def _position(keyed: DataFrame, starts: DataFrame, id: str, label: str) -> DataFrame:
+    """Add ``_pos``, the 1-based place of a row in (label, hash, id) order over all rows.
+
+    Ranking and join use the same keys, so the ranked side is shuffled once even if the starts
+    are too large to broadcast.
+    """
     in_bucket = Window.partitionBy(label, "_bucket").orderBy("_hash", id)
-    # Same keys as the window, so the ranked side is not shuffled again if the join is a merge.
     return (
         keyed.withColumn("_row", F.row_number().over(in_bucket))
         .join(starts, [label, "_bucket"], "left")
-        .withColumn("_rank", F.col("_bucket_start") + F.col("_row"))
-        .drop("_hash", "_bucket", "_row", "_bucket_start")
+        .withColumn("_pos", F.col("_start") + F.col("_row"))
     )
 
 
@@ -53,11 +53,31 @@ def stratified_kfold(
     hex_digits: int = 3,
 ) -> DataFrame:
     """Add a fold number 0..k-1; the rows of a class differ by at most one between folds."""
-    ranked = stratified_rank(df, id, label, seed, hex_digits)
-    return ranked.select(
-        *df.columns,
-        F.pmod(F.col("_class_start") + F.col("_rank") - 1, F.lit(k)).cast("int").alias(fold),
+    keyed = _bucketed(df, id, seed, hex_digits)
+    placed = _position(keyed, _bucket_starts(keyed, label), id, label)
+    return placed.select(
+        *df.columns, F.pmod(F.col("_pos") - 1, F.lit(k)).cast("int").alias(fold)
+    )
+
+
+def _test_quotas(starts: DataFrame, label: str, test_size: float) -> DataFrame:
+    """``(label, _last)``: place of the last test row of each class.
+
+    The classes share ``ceil(test_size * n)`` rows by largest remainder; equal remainders go to
+    the smaller label.  One row per class reaches the windows.
+    """
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    classes = starts.groupBy(label).agg(F.sum("_n").alias("_c"), F.min("_start").alias("_first"))
+    shares = (
+        classes.withColumn("_total", F.sum("_c").over(everything))
+        .withColumn("_wanted", F.ceil(F.lit(float(test_size)) * F.col("_total")))
+        .withColumn("_base", F.expr("(_c * _wanted) div _total"))
+        .withColumn("_rest", F.expr("(_c * _wanted) % _total"))
+        .withColumn("_left", F.col("_wanted") - F.sum("_base").over(everything))
+        .withColumn("_place", F.row_number().over(Window.orderBy(F.desc("_rest"), F.asc(label))))
     )
+    extra = F.when(F.col("_place") <= F.col("_left"), 1).otherwise(0)
+    return shares.select(label, (F.col("_first") + F.col("_base") + extra).alias("_last"))
 
 
 def stratified_holdout(
@@ -70,23 +90,11 @@ def stratified_holdout(
     hex_digits: int = 3,
 ) -> DataFrame:
     """Mark ``ceil(test_size * n)`` rows, shared over the classes by largest remainder."""
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # One row per class from here to ``quota``.
-    classes = df.groupBy(label).agg(F.count("*").alias("_c"))
-    shares = (
-        classes.withColumn("_total", F.sum("_c").over(everything))
-        .withColumn("_wanted", F.ceil(F.lit(float(test_size)) * F.col("_total")))
-        .withColumn("_base", F.expr("(_c * _wanted) div _total"))
-        .withColumn("_rest", F.expr("(_c * _wanted) % _total"))
-        .withColumn("_left", F.col("_wanted") - F.sum("_base").over(everything))
-        .withColumn("_place", F.row_number().over(Window.orderBy(F.desc("_rest"), F.asc(label))))
-    )
-    quota = shares.select(
-        label,
-        (F.col("_base") + F.when(F.col("_place") <= F.col("_left"), 1).otherwise(0)).alias("_quota"),
-    )
-    ranked = stratified_rank(df, id, label, seed, hex_digits).join(quota, label, "left")
-    return ranked.select(*df.columns, (F.col("_rank") <= F.col("_quota")).alias(out))
+    keyed = _bucketed(df, id, seed, hex_digits)
+    starts = _bucket_starts(keyed, label)
+    starts = starts.join(_test_quotas(starts, label, test_size), label)
+    placed = _position(keyed, starts.drop("_n"), id, label)
+    return placed.select(*df.columns, (F.col("_pos") <= F.col("_last")).alias(out))
 
 
 def fold_train(df: DataFrame, held_out: int, fold: str = "fold") -> DataFrame:

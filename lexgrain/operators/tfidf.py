@@ -28,6 +28,18 @@ def with_ngrams(df: DataFrame, text: str = "sentence", out: str = "ngrams") -> D
     )
 
 
+def ngram_rows(df: DataFrame, text: str = "sentence", keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """``(keep..., pos, term)``.
+
+    Exploding an expression, not a named array: for a named array Spark adds a "not empty" filter
+    and pushes it to the scan, where it would tokenise every text again.
+    """
+    tokens = df.select(*keep, tx.word_tokens(F.col(text)).alias("_tokens"))
+    return tokens.select(
+        *keep, F.posexplode(tx.unigrams_and_bigrams(F.col("_tokens"))).alias("pos", "term")
+    )
+
+
 def ngram_frequencies(df: DataFrame, text: str = "sentence") -> DataFrame:
     """``(term, df, cf)``: documents with the term and occurrences of the term.
 

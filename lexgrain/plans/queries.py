@@ -11,7 +11,7 @@ from lexgrain.functions import scores
 from lexgrain.functions import text as tx
 from lexgrain.operators import compare, ensemble, features, metrics, models, profile, splits
 from lexgrain.operators.layout import with_positions
-from lexgrain.operators.tfidf import TfidfModel, ngram_frequencies, vocabulary, with_ngrams
+from lexgrain.operators.tfidf import TfidfModel, ngram_frequencies, ngram_rows, vocabulary
 from lexgrain.plans import relations as rel
 from lexgrain.session import new_scratch_path
 from lexgrain.sources import readers, sinks
@@ -115,10 +115,7 @@ def filter_by_label(spark, folder):
 @query
 def fold_select(spark, folder):
     folded = splits.stratified_kfold(rel.labelled_ids(spark, folder).select("id", "label"))
-    validation = splits.fold_validation(folded, 0).select("id")
-    train = splits.fold_train(folded, 0)
-    kept = splits.select_ids(rel.labelled_ids(spark, folder), validation, keep=False)
-    return kept.join(train.select("id", "fold"), "id").select("id", "label", "fold")
+    return splits.fold_train(folded, 0)
 
 
 @query
@@ -366,8 +363,7 @@ def tokens_word(spark, folder):
 
 @query
 def ngrams_1_2(spark, folder):
-    grams = with_ngrams(rel.sent(spark, folder))
-    return grams.select("id", F.posexplode("ngrams").alias("pos", "term"))
+    return ngram_rows(rel.sent(spark, folder))
 
 
 @query
