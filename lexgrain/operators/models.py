@@ -28,8 +28,14 @@ DISK = StorageLevel.MEMORY_AND_DISK
 
 
 def forest(trees: int = 100, seed: int = 42) -> RandomForestClassifier:
+    """Random forest; caching node ids keeps the growing trees from being sent with each pass."""
     return RandomForestClassifier(
-        labelCol="label", numTrees=trees, maxDepth=20, minInstancesPerNode=2, seed=seed
+        labelCol="label",
+        numTrees=trees,
+        maxDepth=20,
+        minInstancesPerNode=2,
+        cacheNodeIds=True,
+        seed=seed,
     )
 
 
@@ -81,8 +87,8 @@ class TextClassifier:
 
     featurizer: TextFeaturizer
     model: Model
-    metrics: DataFrame
-    report: DataFrame
+    metrics: DataFrame | None
+    report: DataFrame | None
 
     def predict(self, df: DataFrame, keep: tuple[str, ...] = ("id",), nulls: str = "drop"):
         """``(keep..., target)`` for rows with a ``sentence``."""
@@ -119,40 +125,51 @@ def fit_text_classifier(
     test_size: float = 0.2,
     seed: int = 42,
     nulls: str = "drop",
+    evaluate: bool = True,
 ) -> TextClassifier:
     """Fit on 80 %, evaluate on the stratified rest, then fit again on all rows.
 
     With ``fit_scope="all"`` vocabulary and scaler see the evaluation rows as well; "train" fits
-    them for the evaluation on the training part alone.  ``train`` needs ``id, sentence, label``.
+    them for the evaluation on the training part alone.  ``evaluate=False`` only fits on all rows.
+    ``train`` needs ``id, sentence, label``.
     """
+    if fit_scope not in ("all", "train"):
+        raise ValueError("fit_scope must be 'all' or 'train'")
     estimator = estimator or forest(seed=seed)
     train = reject_or_drop_nulls(train.select("id", "sentence", "label"), "sentence", nulls)
     options = {"max_features": max_features, "cleaning": cleaning, "statistics": statistics}
     featurizer = TextFeaturizer.fit(train, **options)
     vectors = featurizer.transform(train).drop("sentence").persist(DISK)
-    if fit_scope == "all":
-        held_out = holdout_predictions(train, featurizer, estimator, vectors, test_size, seed)
-    elif fit_scope == "train":
-        split = stratified_holdout(train.select("id", "label"), test_size=test_size, seed=seed)
-        part = train.join(split.where(~F.col("is_test")).select("id"), "id", "left_semi")
-        scoped = TextFeaturizer.fit(part, **options)
-        held_out = holdout_predictions(train, scoped, estimator, None, test_size, seed)
-    else:
-        raise ValueError("fit_scope must be 'all' or 'train'")
-    held_out = held_out.persist(DISK)
+    metrics = report = None
     try:
-        metrics, report = accuracy_f1(held_out), classification_report(held_out)
-        # A few rows each: kept as values, so that the cached rows can be released.
-        metrics, report = (
-            train.sparkSession.createDataFrame(df.collect(), df.schema) for df in (metrics, report)
-        )
+        if evaluate:
+            if fit_scope == "all":
+                scoped, reused = featurizer, vectors
+            else:
+                split = stratified_holdout(train.select("id", "label"), "id", "label", test_size, seed)
+                part = train.join(split.where(~F.col("is_test")).select("id"), "id", "left_semi")
+                scoped, reused = TextFeaturizer.fit(part, **options), None
+            held_out = holdout_predictions(train, scoped, estimator, reused, test_size, seed)
+            metrics, report = _evaluation_tables(held_out)
         model = estimator.fit(vectors)
     finally:
-        held_out.unpersist()
         vectors.unpersist()
     return TextClassifier(featurizer, model, metrics, report)
 
 
+def _evaluation_tables(held_out: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Metrics and report as values (a few rows each), so that scoring is not repeated."""
+    held_out = held_out.persist(DISK)
+    try:
+        spark = held_out.sparkSession
+        return tuple(
+            spark.createDataFrame(df.collect(), df.schema)
+            for df in (accuracy_f1(held_out), classification_report(held_out))
+        )
+    finally:
+        held_out.unpersist()
+
+
 @dataclass(frozen=True)
 class Stacker:
     """Logistic meta-model over two probability columns."""

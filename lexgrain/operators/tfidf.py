@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lexgrain.functions import text as tx
 
@@ -106,52 +107,52 @@ class TfidfModel:
             raise ValueError("no term is left within the document frequency bounds")
         return cls([r["term"] for r in rows], [r["idf"] for r in rows])
 
-    def _counts(self, df: DataFrame, text: str) -> DataFrame:
+    def _weighted(self, df: DataFrame, text: str) -> DataFrame:
+        """Add ``_idx`` and ``_w``: vocabulary indices and L2-normalised weights of each row."""
         counter = CountVectorizerModel.from_vocabulary(self.terms, "_ngrams", "_counts")
         known = with_ngrams(df.where(F.col(text).isNotNull()), text, "_ngrams")
-        return counter.transform(known).drop("_ngrams")
-
-    def _idf(self) -> Column:
         packed = ",".join(repr(value) for value in self.idf)
-        return F.split(F.lit(packed), ",").cast("array<double>")
-
-    def _terms(self) -> Column:
-        return F.split(F.lit(_TERM_SEPARATOR.join(self.terms)), _TERM_SEPARATOR)
-
-    def weights(self, df: DataFrame, text: str = "sentence", keep: tuple[str, ...] = ("id",)):
-        """Long table ``(keep..., term, weight)``; a text without known terms has no rows."""
-        entries = F.arrays_zip(F.col("_sparse.indices"), F.col("_sparse.values"))
-        idf = self._idf()
-        raw = F.transform(
-            entries,
-            lambda e: F.struct(
-                e["indices"].alias("idx"),
-                ((F.ln(e["values"]) + 1.0) * F.get(idf, e["indices"])).alias("w"),
-            ),
-        )
-        squares = F.aggregate("_raw", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"])
-        terms = self._terms()
-        rows = F.transform(
-            "_raw",
-            lambda e: F.struct(
-                F.get(terms, e["idx"]).alias("term"), (e["w"] / F.col("_norm")).alias("weight")
-            ),
+        idf = F.split(F.lit(packed), ",").cast("array<double>")
+        raw = F.zip_with(
+            "_sparse.indices",
+            "_sparse.values",
+            lambda i, tf: (F.ln(tf) + 1.0) * F.get(idf, i),
         )
+        # Repeated into an array rather than used inside the lambda, where the optimizer would
+        # evaluate the whole norm once per element.
+        norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, w: acc + w * w))
+        norms = F.array_repeat(norm, F.size("_raw"))
         return (
-            self._counts(df.select(*keep, text), text)
-            .select(*keep, F.unwrap_udt("_counts").alias("_sparse"))
-            .withColumn("_raw", raw)
-            .withColumn("_norm", F.sqrt(squares))
-            .select(*keep, F.inline(rows))
+            counter.transform(known)
+            .select(*df.columns, F.unwrap_udt("_counts").alias("_sparse"))
+            .select(*df.columns, F.col("_sparse.indices").alias("_idx"), raw.alias("_raw"))
+            .withColumn("_w", F.zip_with("_raw", norms, lambda w, n: w / n))
+            .drop("_raw")
+        )
+
+    def weights(
+        self, df: DataFrame, text: str = "sentence", keep: tuple[str, ...] = ("id",)
+    ) -> DataFrame:
+        """Long table ``(keep..., term, weight)``; a text without known terms has no rows."""
+        terms = F.split(F.lit(_TERM_SEPARATOR.join(self.terms)), _TERM_SEPARATOR)
+        rows = F.zip_with(
+            "_idx", "_w", lambda i, w: F.struct(F.get(terms, i).alias("term"), w.alias("weight"))
         )
+        return self._weighted(df.select(*keep, text), text).select(*keep, F.inline(rows))
 
     def vectors(self, df: DataFrame, text: str = "sentence", out: str = "tfidf") -> DataFrame:
-        """Add the L2-normalised weights as an ML vector of the vocabulary's size."""
-        scaled = F.zip_with(
-            vector_to_array("_counts"),
-            self._idf(),
-            lambda tf, idf: F.when(tf > 0, (F.ln(tf) + 1.0) * idf).otherwise(F.lit(0.0)),
+        """Add the weights as a sparse ML vector of the vocabulary's size.
+
+        SQL has no expression from arrays to a sparse vector, and going through a dense array
+        costs the whole vocabulary per row.  Reading the vector type from JSON stays in the JVM
+        and costs only the terms present.
+        """
+        sparse = F.struct(
+            F.lit(0).cast("tinyint").alias("type"),
+            F.lit(len(self.terms)).alias("size"),
+            F.col("_idx").alias("indices"),
+            F.col("_w").alias("values"),
         )
-        unscaled = self._counts(df, text).withColumn("_scaled", array_to_vector(scaled))
-        normal = Normalizer(inputCol="_scaled", outputCol=out, p=2.0)
-        return normal.transform(unscaled).drop("_counts", "_scaled")
+        schema = StructType([StructField("v", VectorUDT())])
+        vector = F.from_json(F.to_json(F.struct(sparse.alias("v"))), schema)["v"]
+        return self._weighted(df, text).withColumn(out, vector).drop("_idx", "_w")

@@ -434,7 +434,7 @@ def rf_pipeline(spark, folder):
 
 @query
 def rf_predict(spark, folder):
-    fitted = models.fit_text_classifier(rel.sent(spark, folder))
+    fitted = models.fit_text_classifier(rel.sent(spark, folder), evaluate=False)
     return fitted.predict(rel.unlabelled(spark, folder))
 
 
