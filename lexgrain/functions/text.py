@@ -38,18 +38,22 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(cc.WORD_TOKEN), F.lit(0))
 
 
-def unigrams_and_bigrams(tokens: Column) -> Column:
-    """All tokens, then every pair of neighbours joined by one space.
+def bigrams(tokens: Column) -> Column:
+    """Every pair of neighbours joined by one space.
 
     ``tokens`` is referenced several times: pass a materialised column, not a long expression.
     """
     pairs = F.greatest(F.size(tokens) - 1, F.lit(0))
-    bigrams = F.zip_with(
+    return F.zip_with(
         F.slice(tokens, F.lit(1), pairs),
         F.slice(tokens, F.lit(2), pairs),
         lambda left, right: F.concat_ws(" ", left, right),
     )
-    return F.concat(tokens, bigrams)
+
+
+def unigrams_and_bigrams(tokens: Column) -> Column:
+    """All tokens, then all bigrams."""
+    return F.concat(tokens, bigrams(tokens))
 
 
 def truncate_tokens(tokens: Column, max_length: int) -> Column:

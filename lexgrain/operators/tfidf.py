@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -41,26 +41,48 @@ def ngram_rows(df: DataFrame, text: str = "sentence", keep: tuple[str, ...] = ("
     )
 
 
+def _occurrences_and_marks(terms: str | Column) -> Column:
+    """Each occurrence with ``c = 1`` and, once per distinct term, a document mark with ``d = 1``."""
+    occurrence = F.transform(
+        terms, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))
+    )
+    mark = F.transform(
+        F.array_distinct(terms),
+        lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c")),
+    )
+    return F.inline(F.concat(occurrence, mark))
+
+
+def _frequencies(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("cf"))
+
+
 def ngram_frequencies(df: DataFrame, text: str = "sentence") -> DataFrame:
     """``(term, df, cf)``: documents with the term and occurrences of the term.
 
-    Each row emits its occurrences and, once per distinct term, a document mark.  Both are summed
-    in the same map-side combine, so no ``(document, term)`` table is shuffled and a term found in
-    every document costs one row per task.
+    Occurrences and document marks are summed in the same map-side combine, so no
+    ``(document, term)`` table is shuffled and a term found in every document costs one row per
+    task.
     """
     rows = with_ngrams(df.select(text).where(F.col(text).isNotNull()), text)
-    occurrence = F.transform(
-        "ngrams", lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))
-    )
-    document_mark = F.transform(
-        F.array_distinct("ngrams"),
-        lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c")),
-    )
-    return (
-        rows.select(F.inline(F.concat(occurrence, document_mark)))
-        .groupBy("term")
-        .agg(F.sum("d").alias("df"), F.sum("c").alias("cf"))
+    return _frequencies(rows.select(_occurrences_and_marks("ngrams")))
+
+
+def _bigram_frequencies(tokens: DataFrame, words: list[str]) -> DataFrame:
+    """Frequencies of the pairs whose two words are both listed; nothing else is shuffled.
+
+    The list is broadcast: the caller bounds its length.
+    """
+    spark = tokens.sparkSession
+    pairs = tokens.select(tx.bigrams(F.col("_tokens")).alias("_pairs")).select(
+        _occurrences_and_marks("_pairs")
     )
+    for column, place in (("_w1", 1), ("_w2", -1)):
+        allowed = F.broadcast(spark.createDataFrame([(w,) for w in words], f"{column} string"))
+        pairs = pairs.withColumn(column, F.substring_index("term", " ", place)).join(
+            allowed, column, "left_semi"
+        )
+    return _frequencies(pairs)
 
 
 def vocabulary(
@@ -69,16 +91,41 @@ def vocabulary(
     max_features: int = 5000,
     min_df: int = 2,
     max_df: float = 0.95,
+    list_factor: int = 4,
 ) -> DataFrame:
     """``(term, df, cf, idf, idx)`` of the most frequent terms within the document bounds.
 
     Ties at the cap go to the alphabetically first term; ``idx`` numbers terms alphabetically.
+
+    Almost all distinct pairs of a large corpus are far too rare to be kept, so pairs are counted
+    only where they can matter.  A pair occurs at most as often, and in at most as many documents,
+    as either of its words.  Once single words alone fill the vocabulary down to some frequency,
+    rarer pairs are out, and so is every pair with a rarer word.  If more than
+    ``list_factor * max_features`` words tie into that bound, all pairs are counted instead.
     """
-    n_docs = df.where(F.col(text).isNotNull()).agg(F.count("*").alias("n")).scalar()
+    source = df.select(text).where(F.col(text).isNotNull())
+    tokens = source.select(tx.word_tokens(F.col(text)).alias("_tokens"))
+    n_docs = source.count()
+    limit = list_factor * max_features
+    listed = (
+        _frequencies(tokens.select(_occurrences_and_marks("_tokens")))
+        .where(F.col("df") >= min_df)
+        .orderBy(F.desc("cf"), F.asc("term"))
+        .limit(limit + 1)
+        .collect()  # bounded by limit
+    )
+    eligible = [r for r in listed if r["df"] <= max_df * n_docs]
+    lowest = eligible[max_features - 1]["cf"] if len(eligible) >= max_features else 0
+    if len(listed) <= limit or listed[-1]["cf"] < lowest:
+        words = df.sparkSession.createDataFrame(
+            [r for r in eligible if r["cf"] >= lowest], "term string, df bigint, cf bigint"
+        )
+        frequent = [r["term"] for r in listed if r["cf"] >= lowest]
+        candidates = words.unionByName(_bigram_frequencies(tokens, frequent))
+    else:
+        candidates = ngram_frequencies(df, text)
     kept = (
-        ngram_frequencies(df, text)
-        .withColumn("_docs", n_docs)
-        .where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("_docs")))
+        candidates.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
         .orderBy(F.desc("cf"), F.asc("term"))
         .limit(max_features)
     )
@@ -88,7 +135,7 @@ def vocabulary(
         "term",
         "df",
         "cf",
-        (F.ln((F.col("_docs") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"),
+        (F.ln(F.lit(n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"),
         index.cast("bigint").alias("idx"),
     )
 

@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -87,3 +88,34 @@ def test_unknown_terms_are_ignored(spark, docs):
     unseen = spark.createDataFrame([(0, "zebra cat"), (1, "zebra"), (2, None)], "id long, sentence string")
     rows = TfidfModel.fit(docs).weights(unseen).collect()
     assert [(r["id"], r["term"], round(r["weight"], 9)) for r in rows] == [(0, "cat", 1.0)]
+
+
+def brute_force_vocabulary(texts, max_features, min_df=2, max_df=0.95):
+    df, cf = Counter(), Counter()
+    for text in texts:
+        tokens = re.findall(r"\w\w+", text.lower())
+        terms = tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False)]
+        cf.update(terms)
+        df.update(set(terms))
+    kept = [t for t in cf if min_df <= df[t] <= max_df * len(texts)]
+    top = sorted(kept, key=lambda t: (-cf[t], t.encode()))[:max_features]
+    return sorted((t, df[t], cf[t]) for t in top)
+
+
+@pytest.mark.parametrize(("max_features", "list_factor"), [(50, 4), (700, 4), (3, 1), (40, 1), (10**6, 4)])
+def test_pruned_vocabulary_is_exact(spark, tables, max_features, list_factor):
+    """Both the pruned count and, for ``list_factor=1``, the full one equal a plain count."""
+    df = spark.read.parquet(f"{tables}/documents.parquet").withColumnRenamed("text", "sentence")
+    texts = [r["sentence"] for r in df.select("sentence").collect()]
+    rows = vocabulary(df, max_features=max_features, list_factor=list_factor).collect()
+    found = sorted((r["term"], r["df"], r["cf"]) for r in rows)
+    assert found == brute_force_vocabulary(texts, max_features)
+
+
+def test_ties_beyond_the_word_list_count_all_pairs(spark):
+    texts = ["aa bb cc dd ee ff", "ff ee dd cc bb aa", "aa bb"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, sentence string")
+    for k in (1, 2, 3, 4):
+        rows = vocabulary(df, max_features=k, list_factor=1, max_df=0.7).collect()
+        found = sorted((r["term"], r["df"], r["cf"]) for r in rows)
+        assert found == brute_force_vocabulary(texts, k, max_df=0.7)

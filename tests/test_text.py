@@ -16,10 +16,10 @@ PUNCT = set(".,;!?:'\"-")
 GOLDEN_CLEAN = {
     "": "",
     "   ": "",
-    "a b\u001cc\u0085d e": "a b c d e",
+    "a\u00a0b\u001cc\u0085d\u2028e": "a b c d e",
     '" hi "': '"hi"',
     '" a " b " c "': '"a" b "c"',
-    "“ hi ”": "“ hi ”",
+    "\u201c hi \u201d": "\u201c hi \u201d",
     "a , b !": "a, b!",
     "it 's": "it's",
     "x / y": "x/y",
@@ -57,8 +57,8 @@ def python_features(text):
 
 
 ALPHABET = list("aB \t\n.,;!?:'\"-/09_é") + [
-    " ", "\u001c", "\u0085", " ", " ", "　",
-    "²", "Ⅷ", "①", "\U0001f600", "中", "“",
+    "\u00a0", "\u001c", "\u0085", "\u2003", "\u2028", "\u3000",
+    "\u00b2", "\u2167", "\u2460", "\U0001f600", "中", "\u201c",
 ]
 
 
