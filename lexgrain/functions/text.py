@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from lexgrain.functions import charclasses as cc
 
+# Repairs applied in this order once single spaces are left: inside a pair of double
+# quotes, before punctuation, and around a slash.
+SPACING_REPAIRS = [
+    ('" (.*?) "', '"$1"'),
+    (" ([.,;!?:'])", "$1"),
+    (" ?/ ?", "/"),
+]
+
 
 def collapse_spaces(text: Column) -> Column:
     """Turn each run of whitespace into one space and strip both ends."""
@@ -17,12 +25,12 @@ def clean_text(text: Column) -> Column:
     """Normalise spacing; null stays null.
 
     After the first step a space is always a single ``U+0020`` between two other characters, so
-    the later patterns need to look for one plain space only.
+    the repairs need to look for one plain space only.
     """
     cleaned = collapse_spaces(text)
-    cleaned = F.regexp_replace(cleaned, '" (.*?) "', '"$1"')
-    cleaned = F.regexp_replace(cleaned, " ([.,;!?:'])", "$1")
-    return F.regexp_replace(cleaned, " ?/ ?", "/")
+    for pattern, replacement in SPACING_REPAIRS:
+        cleaned = F.regexp_replace(cleaned, pattern, replacement)
+    return cleaned
 
 
 def whitespace_tokens(text: Column) -> Column:

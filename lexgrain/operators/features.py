@@ -11,6 +11,7 @@ from lexgrain.functions import charclasses as cc
 from lexgrain.functions import text as tx
 from lexgrain.functions.scores import safe_ratio
 
+# The statistical features and their order in a feature vector.
 FEATURES = [
     "char_count",
     "word_count",

@@ -3,7 +3,7 @@
 Rows are ordered by a hash of their id, so a split depends on ids and seed alone and survives
 re-execution.  The hash prefix cuts every class into buckets of similar size: ranks are computed
 inside buckets and shifted by bucket totals, so a class with most of the rows is sorted by many
-tasks.  Pass ``(id, label)`` only and join the result to wide data by id.
+tasks.  An id identifies one row.  Pass ``(id, label)`` only and join the result to wide data by id.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +25,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="lexgrain-")
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
@@ -33,12 +39,9 @@ def scratch_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if folder:
         return folder
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="lexgrain-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    return _local_scratch()
 
 
 def ensure_checkpoint_folder(spark: SparkSession) -> None:

@@ -42,12 +42,17 @@ def explode_pairs(
 
 
 def read_pairs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Labelled pair records from a JSON array, or from JSON Lines."""
+    """Labelled pair records from a JSON array, or from JSON Lines.
+
+    ``record`` increases with the place in the file; ``with_positions`` over ``record, pos`` of the
+    exploded pairs gives the list position of every sentence.
+    """
     return (
         spark.read.schema(PAIR_SCHEMA)
         .option("mode", "FAILFAST")
         .option("multiLine", not lines)
         .json(path)
+        .withColumn("record", F.monotonically_increasing_id())
     )
 
 

@@ -26,6 +26,15 @@ def test_pairs(spark, tmp_path):
     ]
 
 
+def test_pair_positions_follow_the_file(spark, tmp_path):
+    words = [f"w{i * 37 % 101}" for i in range(101)]
+    pairs = [{"sentence_pair": words[i : i + 2], "label_pair": [0] * len(words[i : i + 2])} for i in range(0, 101, 2)]
+    path = write(tmp_path, "ordered.json", pairs)
+    records = readers.explode_pairs(readers.read_pairs(spark, path), keep=("record",))
+    rows = with_positions(records, ["record", "pos"]).orderBy("id").collect()
+    assert [(r["id"], r["sentence"]) for r in rows] == list(enumerate(words))
+
+
 def test_unequal_pairs_are_rejected(spark, tmp_path):
     path = write(tmp_path, "bad.json", [{"sentence_pair": ["a", "b"], "label_pair": [0]}])
     with pytest.raises(Exception, match="differ in length"):
@@ -60,6 +69,34 @@ def test_document_shapes(spark, tmp_path, document, expected):
     assert [tuple(r) for r in rows] == expected
 
 
+def test_record_without_sentence_is_rejected(spark, tmp_path):
+    path = write(tmp_path, "doc.json", [{"sentence": "a"}, {"idx": 4}])
+    with pytest.raises(Exception, match="record without sentence"):
+        readers.read_documents(spark, path).collect()
+
+
+def test_scratch_folder_is_the_configured_one(spark, tmp_path):
+    from lexgrain.session import CHECKPOINT_KEY, new_scratch_path, scratch_folder
+
+    class Configured:
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return "hdfs:///shared/" if key == CHECKPOINT_KEY else default
+
+    assert new_scratch_path(Configured, "x").startswith("hdfs:///shared/x-")
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError, match="all executors share"):
+        scratch_folder(Cluster)
+
+
 @pytest.mark.parametrize("document", [{"texts": ["a"]}, "plain", 3])
 def test_unknown_shape_is_rejected(spark, tmp_path, document):
     with pytest.raises(Exception, match="unknown document shape"):
