@@ -41,31 +41,36 @@ def ngram_rows(df: DataFrame, text: str = "sentence", keep: tuple[str, ...] = ("
     )
 
 
-def _occurrences_and_marks(terms: str | Column) -> Column:
-    """Each occurrence with ``c = 1`` and, once per distinct term, a document mark with ``d = 1``."""
-    occurrence = F.transform(
-        terms, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))
+def _occurrences(df: DataFrame, terms: Column) -> DataFrame:
+    """One ``(term, d)`` row per occurrence, with ``d = 1`` on one occurrence per document.
+
+    Sorting inside the row brings equal terms together, so a term starts where it differs from
+    its predecessor and documents can be counted without a ``(document, term)`` shuffle.
+    """
+    ordered = df.select(F.sort_array(terms).alias("_terms"))
+    before = F.slice(
+        F.concat(F.array(F.lit(None).cast("string")), F.col("_terms")), F.lit(1), F.size("_terms")
     )
-    mark = F.transform(
-        F.array_distinct(terms),
-        lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c")),
+    rows = F.zip_with(
+        "_terms",
+        before,
+        lambda t, b: F.struct(t.alias("term"), F.when(t == b, 0).otherwise(1).alias("d")),
     )
-    return F.inline(F.concat(occurrence, mark))
+    return ordered.select(F.inline(rows))
 
 
-def _frequencies(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("cf"))
+def _frequencies(occurrences: DataFrame) -> DataFrame:
+    return occurrences.groupBy("term").agg(F.sum("d").alias("df"), F.count("*").alias("cf"))
 
 
 def ngram_frequencies(df: DataFrame, text: str = "sentence") -> DataFrame:
     """``(term, df, cf)``: documents with the term and occurrences of the term.
 
-    Occurrences and document marks are summed in the same map-side combine, so no
-    ``(document, term)`` table is shuffled and a term found in every document costs one row per
-    task.
+    Both are summed in the same map-side combine: a term found in every document costs one row
+    per task.
     """
     rows = with_ngrams(df.select(text).where(F.col(text).isNotNull()), text)
-    return _frequencies(rows.select(_occurrences_and_marks("ngrams")))
+    return _frequencies(_occurrences(rows, F.col("ngrams")))
 
 
 def _bigram_frequencies(tokens: DataFrame, words: list[str]) -> DataFrame:
@@ -74,9 +79,7 @@ def _bigram_frequencies(tokens: DataFrame, words: list[str]) -> DataFrame:
     The list is broadcast: the caller bounds its length.
     """
     spark = tokens.sparkSession
-    pairs = tokens.select(tx.bigrams(F.col("_tokens")).alias("_pairs")).select(
-        _occurrences_and_marks("_pairs")
-    )
+    pairs = _occurrences(tokens, tx.bigrams(F.col("_tokens")))
     for column, place in (("_w1", 1), ("_w2", -1)):
         allowed = F.broadcast(spark.createDataFrame([(w,) for w in words], f"{column} string"))
         pairs = pairs.withColumn(column, F.substring_index("term", " ", place)).join(
@@ -108,7 +111,7 @@ def vocabulary(
     n_docs = source.count()
     limit = list_factor * max_features
     listed = (
-        _frequencies(tokens.select(_occurrences_and_marks("_tokens")))
+        _frequencies(_occurrences(tokens, F.col("_tokens")))
         .where(F.col("df") >= min_df)
         .orderBy(F.desc("cf"), F.asc("term"))
         .limit(limit + 1)
