@@ -7,11 +7,12 @@ and weights and norms are array expressions, so no text or term leaves its parti
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -73,18 +74,22 @@ def ngram_frequencies(df: DataFrame, text: str = "sentence") -> DataFrame:
     return _frequencies(_occurrences(rows, F.col("ngrams")))
 
 
+def _small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A short list as a table; packed into one literal, so no Python worker reads it."""
+    packed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+    return spark.range(1, numPartitions=1).select(F.inline(packed))
+
+
 def _bigram_frequencies(tokens: DataFrame, words: list[str]) -> DataFrame:
     """Frequencies of the pairs whose two words are both listed; nothing else is shuffled.
 
     The list is broadcast: the caller bounds its length.
     """
-    spark = tokens.sparkSession
+    listed = _small_table(tokens.sparkSession, [{"word": w} for w in words], "word: string")
     pairs = _occurrences(tokens, tx.bigrams(F.col("_tokens")))
-    for column, place in (("_w1", 1), ("_w2", -1)):
-        allowed = F.broadcast(spark.createDataFrame([(w,) for w in words], f"{column} string"))
-        pairs = pairs.withColumn(column, F.substring_index("term", " ", place)).join(
-            allowed, column, "left_semi"
-        )
+    for place in (1, -1):
+        own = F.substring_index("term", " ", place)
+        pairs = pairs.join(F.broadcast(listed), own == F.col("word"), "left_semi")
     return _frequencies(pairs)
 
 
@@ -120,8 +125,10 @@ def vocabulary(
     eligible = [r for r in listed if r["df"] <= max_df * n_docs]
     lowest = eligible[max_features - 1]["cf"] if len(eligible) >= max_features else 0
     if len(listed) <= limit or listed[-1]["cf"] < lowest:
-        words = df.sparkSession.createDataFrame(
-            [r for r in eligible if r["cf"] >= lowest], "term string, df bigint, cf bigint"
+        words = _small_table(
+            df.sparkSession,
+            [r.asDict() for r in eligible if r["cf"] >= lowest],
+            "term: string, df: bigint, cf: bigint",
         )
         frequent = [r["term"] for r in listed if r["cf"] >= lowest]
         candidates = words.unionByName(_bigram_frequencies(tokens, frequent))
