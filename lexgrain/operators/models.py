@@ -68,10 +68,15 @@ class TextFeaturizer:
         return cls(tfidf, scaler, cleaning)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add ``features``; one pass over the rows, without a shuffle."""
-        rows = self.tfidf.vectors(with_cleaned(df) if self.cleaning else df)
+        """Add ``features``; one pass over the rows, without a shuffle.
+
+        Terms are taken from the stored text: cleaning does not change them, and the null test
+        then stays a plain filter of the scan.
+        """
+        rows = self.tfidf.vectors(df)
         inputs = ["tfidf"]
         if self.scaler is not None:
+            rows = with_cleaned(rows) if self.cleaning else rows
             rows = self.scaler.transform(with_text_features(rows))
             inputs += FEATURES
         return (
