@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -52,3 +54,25 @@ def ensure_checkpoint_folder(spark: SparkSession) -> None:
 def new_scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{scratch_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@cache
+def _package_zip() -> str:
+    """This package as a zip file of the driver, from which Spark hands it to the executors."""
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="lexgrain-")) / "lexgrain.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    return str(target)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, once for each application."""
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        spark.sparkContext.addPyFile(_package_zip())
+        _shipped.add(application)
