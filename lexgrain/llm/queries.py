@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from lexgrain.llm.bpe import ByteBpe
 from lexgrain.llm.decontaminate import contamination
 from lexgrain.llm.exact_dedup import exact_groups
+from lexgrain.llm.language_id import languages, train
+from lexgrain.llm.licenses import known_licenses, license_scan
 from lexgrain.llm.packing import pack
+from lexgrain.llm.secret_scan import secret_report
+from lexgrain.llm.substring_dedup import repeated_passages
 from lexgrain.llm.token_counts import token_counts
+from lexgrain.llm.url_filter import url_verdicts
 from lexgrain.session import ship_package
 
 
@@ -34,10 +39,29 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"), partial(ByteBpe, vocabulary_path()), end_id=0)
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(_table(spark, folder, "documents"), known_licenses(spark))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(spark, _table(spark, folder, "documents"), vocabulary_path())
 
 
+#: Fixed by the contract: host, path and verdict of each rule.
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_verdicts(spark, _table(spark, folder, "pages"), rules)
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     documents, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
     report = contamination(spark, documents, benchmark)
@@ -46,11 +70,29 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_report(spark, _table(spark, folder, "documents"))
+
+
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    return languages(spark, documents, train(spark, documents))
+
+
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_packing": op2_packing,
+    "op3_license_scan": op3_license_scan,
     "op4_token_counts": op4_token_counts,
+    "op5_url_filter": op5_url_filter,
     "op6_decontamination": op6_decontamination,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_language_id": op8_language_id,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 PIPELINE_STAGES: list = []
