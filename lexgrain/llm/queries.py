@@ -12,6 +12,7 @@ from lexgrain.llm.decontaminate import contamination
 from lexgrain.llm.exact_dedup import exact_groups
 from lexgrain.llm.language_id import languages, train
 from lexgrain.llm.licenses import known_licenses, license_scan
+from lexgrain.llm.near_dedup import near_groups
 from lexgrain.llm.packing import pack
 from lexgrain.llm.secret_scan import secret_report
 from lexgrain.llm.substring_dedup import repeated_passages
@@ -83,6 +84,10 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(_table(spark, folder, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(spark, _table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_packing": op2_packing,
@@ -93,6 +98,7 @@ QUERIES = {
     "op7_secret_scan": op7_secret_scan,
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 PIPELINE_STAGES: list = []
