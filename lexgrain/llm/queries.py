@@ -65,10 +65,7 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     documents, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
-    report = contamination(spark, documents, benchmark)
-    return report.select(
-        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"
-    )
+    return contamination(spark, documents, benchmark).drop("longest_match", "spans")
 
 
 def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,5 +97,3 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
-
-PIPELINE_STAGES: list = []
