@@ -77,7 +77,7 @@ class PatriciaTrie:
 
     def __init__(self, merge: Callable, limit: int = TRIE_BYTES):
         self.merge, self.limit = merge, limit
-        self.root, self.size, self.spills = _Node(b""), 0, 0
+        self.root, self.size, self.strings, self.spills = _Node(b""), 0, 0, 0
 
     def insert(self, string: bytes, value) -> bool:
         """Whether the string is new.  One that falls into a spilled subtree counts as new."""
@@ -100,18 +100,26 @@ class PatriciaTrie:
             branch.children[child.label[0]] = child
             node.children[string[at]] = branch
             node, at = branch, at + k
-            self._grow(0)
+            self.size += _NODE_BYTES
         new = node.value is None
         node.value = value if new else self.merge(node.value, value)
+        if self.size > self.limit:
+            self._spill()
         return new
 
     def _grow(self, added: int) -> None:
         self.size += added + _NODE_BYTES
+        self.strings += 1
         if self.size > self.limit:
             self._spill()
 
     def _spill(self) -> None:
-        """Move the largest subtree below the first branching to a file."""
+        """Move the largest subtree below the first branching to a file.
+
+        It never holds all strings, so tries of spilled subtrees get smaller; a string alone stays.
+        """
+        if self.strings < 2:
+            return
         node = self.root
         while True:
             kept = [c for c in node.children.values() if isinstance(c, _Node)]
