@@ -6,12 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _each(value: Column, like: Column) -> Column:
+    """``value`` once per element of ``like``.
+
+    Used inside a lambda instead, it would be evaluated again for every element.
+    """
+    return F.array_repeat(value, F.size(like))
+
+
+def _shifted(logits: Column) -> Column:
+    return F.zip_with(logits, _each(F.array_max(logits), logits), lambda x, top: x - top)
+
+
 def softmax(logits: Column) -> Column:
-    """Softmax of an ``array<double>``, shifted by the maximum."""
-    top = F.array_max(logits)
-    exps = F.transform(logits, lambda x: F.exp(x - top))
+    """Softmax of an ``array<double>``, shifted by the maximum; linear in the number of classes."""
+    exps = F.transform(_shifted(logits), F.exp)
     total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(exps, lambda x: x / total)
+    return F.zip_with(exps, _each(total, logits), lambda x, s: x / s)
 
 
 def positive_probability(logit_0: Column, logit_1: Column) -> Column:
@@ -20,9 +31,9 @@ def positive_probability(logit_0: Column, logit_1: Column) -> Column:
 
 
 def log_softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return F.transform(logits, lambda x: x - top - F.ln(total))
+    shifted = _shifted(logits)
+    total = F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + F.exp(x))
+    return F.zip_with(shifted, _each(F.ln(total), logits), lambda x, s: x - s)
 
 
 def argmax(values: Column) -> Column:

@@ -39,30 +39,36 @@ def pairwise_agreement(
 ) -> DataFrame:
     """``(model_1, model_2, agree, total, pct)`` for every unordered pair of models, in one job.
 
-    Equal predictions are counted before the join, so an id that appears many times contributes
-    one row per model and class; the products restore the number of matching row pairs.
+    Equal predictions of an id are counted map-side and gathered by id, at most one entry per model
+    and class; pairs of entries are made inside the row, and the products restore the number of
+    matching row pairs.
     """
-    votes = df.groupBy(id, order, model, target).agg(F.count("*").alias("c"))
-    a = votes.select(
-        id,
-        F.col(order).alias("ord_1"),
-        F.col(model).alias("model_1"),
-        F.col(target).alias("t1"),
-        F.col("c").alias("c1"),
+    votes = df.where(F.col(id).isNotNull()).groupBy(id, order, model, target).agg(F.count("*").alias("c"))
+    entry = F.struct(
+        F.col(order).alias("ord"), F.col(model).alias("model"), F.col(target).alias("t"), "c"
     )
-    b = votes.select(
-        F.col(id).alias("_id"),
-        F.col(order).alias("ord_2"),
-        F.col(model).alias("model_2"),
-        F.col(target).alias("t2"),
-        F.col("c").alias("c2"),
+    gathered = votes.groupBy(id).agg(F.sort_array(F.collect_list(entry)).alias("_votes"))
+    pairs = F.flatten(
+        F.transform(
+            "_votes",
+            lambda a: F.transform(
+                F.filter("_votes", lambda b: a["ord"] < b["ord"]),
+                lambda b: F.struct(
+                    a["model"].alias("model_1"),
+                    b["model"].alias("model_2"),
+                    F.coalesce(a["t"] == b["t"], F.lit(False)).alias("same"),
+                    (a["c"] * b["c"]).alias("matches"),
+                ),
+            ),
+        )
     )
-    pairs = a.join(b, (F.col(id) == F.col("_id")) & (F.col("ord_1") < F.col("ord_2")))
-    matches = F.col("c1") * F.col("c2")
-    agree = F.sum(F.when(F.col("t1") == F.col("t2"), matches).otherwise(0))
     return (
-        pairs.groupBy("model_1", "model_2")
-        .agg(agree.alias("agree"), F.sum(matches).alias("total"))
+        gathered.select(F.inline(pairs))
+        .groupBy("model_1", "model_2")
+        .agg(
+            F.sum(F.when(F.col("same"), F.col("matches")).otherwise(0)).alias("agree"),
+            F.sum("matches").alias("total"),
+        )
         .withColumn("pct", percentage(F.col("agree"), F.col("total")))
     )
 

@@ -33,30 +33,24 @@ def mean_logit(
 def alignment_report(a: DataFrame, b: DataFrame, id: str = "id", label: str = "label") -> DataFrame:
     """Count ids missing on either side, label differences and repeated ids, as one row.
 
-    A tagged union with a map-side combine compares the sets in one shuffle; a repeated id is
-    folded before it travels, which a full outer join would multiply.
+    Labels are compared as multisets: equal ``(id, label)`` rows are counted on both sides and then
+    folded to ids.  Both steps combine map-side, so a repeated id is folded before it travels, which
+    a full outer join would multiply.
     """
-    tagged = a.select(id, F.col(label).alias("_label"), F.lit(True).alias("_in_a")).unionByName(
-        b.select(id, F.col(label).alias("_label"), F.lit(False).alias("_in_a"))
+    tagged = a.select(id, F.col(label).alias("_label"), F.lit(1).alias("_a"), F.lit(0).alias("_b"))
+    tagged = tagged.unionByName(
+        b.select(id, F.col(label).alias("_label"), F.lit(0).alias("_a"), F.lit(1).alias("_b"))
     )
-    in_a = F.col("_in_a")
-
-    def side(present, name):
-        lab = F.when(present, F.col("_label"))
-        return [
-            F.count_if(present).alias(f"_n_{name}"),
-            F.count(lab).alias(f"_known_{name}"),
-            F.min(lab).alias(f"_lo_{name}"),
-            F.max(lab).alias(f"_hi_{name}"),
-        ]
-
-    per_id = tagged.groupBy(id).agg(*side(in_a, "a"), *side(~in_a, "b"))
-    both = (F.col("_n_a") > 0) & (F.col("_n_b") > 0)
-    same = (
-        F.col("_lo_a").eqNullSafe(F.col("_lo_b"))
-        & F.col("_hi_a").eqNullSafe(F.col("_hi_b"))
-        & (F.col("_known_a") == F.col("_known_b"))
+    per_label = tagged.groupBy(id, "_label").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    per_id = per_label.groupBy(id).agg(
+        F.sum("_a").alias("_n_a"),
+        F.sum("_b").alias("_n_b"),
+        F.bool_and(F.col("_a") == F.col("_b")).alias("_same"),
+        F.bool_and((F.col("_a") > 0) == (F.col("_b") > 0)).alias("_same_labels"),
     )
+    both = (F.col("_n_a") > 0) & (F.col("_n_b") > 0)
+    # Where counts differ the multisets must differ; then only the sets of labels are compared.
+    same = F.when(F.col("_n_a") == F.col("_n_b"), F.col("_same")).otherwise(F.col("_same_labels"))
     return per_id.agg(
         F.count_if(F.col("_n_a") == 0).alias("missing_in_a"),
         F.count_if(F.col("_n_b") == 0).alias("missing_in_b"),

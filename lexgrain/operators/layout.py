@@ -8,19 +8,6 @@ from pyspark.sql import functions as F
 from lexgrain.session import ensure_checkpoint_folder
 
 
-def use_all_cores(scan: DataFrame, *keys: str) -> DataFrame:
-    """Hash a scan on ``keys`` only when it has fewer splits than the session has cores.
-
-    Text work is CPU-bound, and one small file with a single row group would keep it on one core.
-    A large input already has far more splits than cores and is returned unchanged, so no text is
-    shuffled at scale.  Meant for plain scans: looking at the split count plans, but runs nothing.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores, *keys)
-
-
 def with_positions(df: DataFrame, order: list[str | Column], position: str = "id") -> DataFrame:
     """Number all rows 0..n-1 in the given order without a single-task sort.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
@@ -11,7 +12,8 @@ from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 from pyspark.storagelevel import StorageLevel
@@ -23,6 +25,7 @@ from lexgrain.operators.features import FEATURES, Scaler, with_cleaned, with_tex
 from lexgrain.operators.metrics import accuracy_f1, classification_report
 from lexgrain.operators.splits import fold_train, fold_validation, stratified_holdout
 from lexgrain.operators.tfidf import TfidfModel
+from lexgrain.session import ensure_checkpoint_folder, kept_table
 
 DISK = StorageLevel.MEMORY_AND_DISK
 
@@ -40,7 +43,7 @@ def forest(trees: int = 100, seed: int = 42) -> RandomForestClassifier:
 
 
 def reject_or_drop_nulls(df: DataFrame, text: str, nulls: str) -> DataFrame:
-    """Apply the ``nulls`` option ("drop" or "reject") before a fit or a prediction."""
+    """Apply the ``nulls`` option ("drop" or "reject") before a fit."""
     if nulls == "drop":
         return df.where(F.col(text).isNotNull())
     if nulls == "reject":
@@ -95,28 +98,61 @@ class TextClassifier:
     metrics: DataFrame | None
     report: DataFrame | None
 
-    def predict(self, df: DataFrame, keep: tuple[str, ...] = ("id",), nulls: str = "drop"):
-        """``(keep..., target)`` for rows with a ``sentence``."""
-        rows = reject_or_drop_nulls(df.select(*keep, "sentence"), "sentence", nulls)
+    def predict(self, df: DataFrame, keep: tuple[str, ...] = ("id",), nulls: str = "keep"):
+        """``(keep..., target)``, one row per row of ``df``; a null ``sentence`` has a null target.
+
+        ``nulls="drop"`` and ``"reject"`` leave such rows out or raise.
+        """
+        rows = df.select(*keep, "sentence")
+        if nulls != "keep":
+            rows = reject_or_drop_nulls(rows, "sentence", nulls)
+        known = F.col("sentence").isNotNull()
+        rows = rows.withColumn("_known", known).withColumn("sentence", F.coalesce("sentence", F.lit("")))
         scored = self.model.transform(self.featurizer.transform(rows))
-        return scored.select(*keep, F.col("prediction").cast("int").alias("target"))
+        target = F.when(F.col("_known"), F.col("prediction").cast("int"))
+        return scored.select(*keep, target.alias("target"))
+
+    def save(self, path: str) -> None:
+        """Write featurizer and model below ``path``, which every executor must reach."""
+        self.model.write().save(f"{path}/model")
+        scaler = self.featurizer.scaler
+        settings = {
+            "terms": self.featurizer.tfidf.terms,
+            "idf": self.featurizer.tfidf.idf,
+            "means": scaler.means if scaler else None,
+            "stds": scaler.stds if scaler else None,
+            "cleaning": self.featurizer.cleaning,
+        }
+        _write_settings(self.model, settings, path)
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TextClassifier:
+        """A saved classifier; evaluation tables are not part of it."""
+        s = _read_settings(spark, path)
+        scaler = Scaler(s["means"], s["stds"]) if s["means"] is not None else None
+        featurizer = TextFeaturizer(TfidfModel(s["terms"], s["idf"]), scaler, s["cleaning"])
+        return cls(featurizer, _load_model(spark, path), None, None)
 
-def holdout_predictions(
-    train: DataFrame,
-    featurizer: TextFeaturizer,
-    estimator: Estimator,
-    vectors: DataFrame | None = None,
-    test_size: float = 0.2,
-    seed: int = 42,
-) -> DataFrame:
-    """``(id, label, target)`` of the stratified hold-out for a fit on the remaining rows."""
-    split = stratified_holdout(train.select("id", "label"), test_size=test_size, seed=seed)
-    rows = (vectors if vectors is not None else featurizer.transform(train)).join(
-        split.select("id", "is_test"), "id"
-    )
-    model = estimator.fit(rows.where(~F.col("is_test")))
-    scored = model.transform(rows.where("is_test"))
+
+def _write_settings(model: Model, settings: dict, path: str) -> None:
+    """Settings as one row of Parquet beside the model."""
+    spark = SparkSession.getActiveSession()
+    row = spark.range(1, numPartitions=1).select(F.lit(json.dumps(settings)).alias("settings"))
+    row.write.parquet(f"{path}/settings")
+
+
+def _read_settings(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.parquet(f"{path}/settings").first()["settings"])
+
+
+def _load_model(spark: SparkSession, path: str) -> Model:
+    return DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
+
+
+def _evaluate(estimator: Estimator, vectors: DataFrame) -> DataFrame:
+    """``(id, label, target)`` of the rows with ``is_test`` for a fit on the others."""
+    model = estimator.fit(vectors.where(~F.col("is_test")))
+    scored = model.transform(vectors.where("is_test"))
     return scored.select("id", "label", F.col("prediction").cast("int").alias("target"))
 
 
@@ -131,31 +167,41 @@ def fit_text_classifier(
     seed: int = 42,
     nulls: str = "drop",
     evaluate: bool = True,
+    max_rows: int | None = None,
 ) -> TextClassifier:
     """Fit on 80 %, evaluate on the stratified rest, then fit again on all rows.
 
     With ``fit_scope="all"`` vocabulary and scaler see the evaluation rows as well; "train" fits
     them for the evaluation on the training part alone.  ``evaluate=False`` only fits on all rows.
-    ``train`` needs ``id, sentence, label``.
+    ``train`` needs ``id, sentence, label``.  A forest is kept by the driver whole; ``max_rows``
+    bounds the rows that are fitted, taken in the order of a hash of the id.
+
+    The rows are written to the shared folder once, with their part of the hold-out, so that the
+    source is not read and joined again by every pass of a fit.
     """
     if fit_scope not in ("all", "train"):
         raise ValueError("fit_scope must be 'all' or 'train'")
+    spark = train.sparkSession
+    ensure_checkpoint_folder(spark)  # cached node ids cut their lineage there
     estimator = estimator or forest(seed=seed)
-    train = reject_or_drop_nulls(train.select("id", "sentence", "label"), "sentence", nulls)
+    rows = reject_or_drop_nulls(train.select("id", "sentence", "label"), "sentence", nulls)
+    if max_rows is not None:
+        rows = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(max_rows)
+    if evaluate:
+        parts = stratified_holdout(rows.select("id", "label"), "id", "label", test_size, seed)
+        rows = rows.join(parts.select("id", "is_test"), "id")
+    rows = kept_table(rows, "train")
     options = {"max_features": max_features, "cleaning": cleaning, "statistics": statistics}
-    featurizer = TextFeaturizer.fit(train, **options)
-    vectors = featurizer.transform(train).drop("sentence").persist(DISK)
+    featurizer = TextFeaturizer.fit(rows, **options)
+    vectors = featurizer.transform(rows).drop("sentence").persist(DISK)
     metrics = report = None
     try:
         if evaluate:
-            if fit_scope == "all":
-                scoped, reused = featurizer, vectors
-            else:
-                split = stratified_holdout(train.select("id", "label"), "id", "label", test_size, seed)
-                part = train.join(split.where(~F.col("is_test")).select("id"), "id", "left_semi")
-                scoped, reused = TextFeaturizer.fit(part, **options), None
-            held_out = holdout_predictions(train, scoped, estimator, reused, test_size, seed)
-            metrics, report = _evaluation_tables(held_out)
+            held_out = vectors
+            if fit_scope == "train":
+                scoped = TextFeaturizer.fit(rows.where(~F.col("is_test")), **options)
+                held_out = scoped.transform(rows).drop("sentence")
+            metrics, report = _evaluation_tables(_evaluate(estimator, held_out))
         model = estimator.fit(vectors)
     finally:
         vectors.unpersist()
@@ -217,6 +263,15 @@ class Stacker:
         scored = self.model.transform(self._vector(stacked))
         return scored.select(*stacked.columns, F.col("prediction").cast("int").alias("target"))
 
+    def save(self, path: str) -> None:
+        """Write the meta-model below ``path``."""
+        self.model.write().save(f"{path}/model")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Stacker:
+        model = _load_model(spark, path)
+        return cls(model, *(float(c) for c in model.coefficients), float(model.intercept))
+
     def summary(self, stacked: DataFrame) -> DataFrame:
         """Coefficients, intercept and in-sample F1 as one row."""
         return accuracy_f1(self.predict(stacked)).select(
@@ -229,8 +284,11 @@ class Stacker:
 
 
 def with_hashed_counts(df: DataFrame, text: str = "sentence", features: int = 1 << 16) -> DataFrame:
-    """Replace ``text`` by ``tf``, a sparse vector of hashed word counts; nothing is fitted."""
-    tokens = df.withColumn("_words", tx.word_tokens(F.col(text)))
+    """Replace ``text`` by ``tf``, a sparse vector of hashed word counts; nothing is fitted.
+
+    A null text has no words and keeps its row, so that every id gets a prediction.
+    """
+    tokens = df.withColumn("_words", tx.word_tokens(F.coalesce(text, F.lit(""))))
     hashing = HashingTF(inputCol="_words", outputCol="tf", numFeatures=features)
     return hashing.transform(tokens).drop("_words", text)
 
@@ -245,32 +303,64 @@ def linear_text_model() -> Pipeline:
     )
 
 
+def fit_folds(
+    folded: DataFrame, k: int = 5, estimator: Estimator | None = None, parallelism: int = 1
+) -> list[Model]:
+    """One model per fold, fitted on the rows of the other folds.
+
+    ``folded`` holds what the estimator reads plus ``fold``; it should carry features rather than
+    text, since it is read by every fit.  ``parallelism`` fits run at a time: raise it when one
+    fit leaves executors idle.
+    """
+    estimator = estimator or linear_text_model()
+    train = inheritable_thread_target(folded.sparkSession)(
+        lambda held_out: estimator.fit(fold_train(folded, held_out))
+    )
+    with ThreadPool(min(parallelism, k)) as pool:
+        return pool.map(train, range(k))
+
+
 def out_of_fold(
     folded: DataFrame,
     k: int = 5,
     estimator: Estimator | None = None,
     keep: tuple[str, ...] = ("id", "label", "fold"),
     parallelism: int = 1,
+    models: list[Model] | None = None,
 ) -> DataFrame:
-    """Fit on k-1 folds, predict the held-out one, for every fold: ``(keep..., pred_prob)``.
+    """Predict every fold with the model that did not see it: ``(keep..., pred_prob)``.
 
-    ``folded`` holds what the estimator reads plus ``fold``; it should carry features rather than
-    text, since it is persisted and read by every fit.  ``parallelism`` fits run at a time: raise
-    it when one fit leaves executors idle.
+    ``models`` are those of ``fit_folds``; without them ``folded`` is written to the shared folder
+    once and fitted here.
     """
-    estimator = estimator or linear_text_model()
-    folded = folded.persist(DISK)
-    train = inheritable_thread_target(folded.sparkSession)(
-        lambda held_out: estimator.fit(fold_train(folded, held_out))
-    )
-    with ThreadPool(min(parallelism, k)) as pool:
-        fitted = pool.map(train, range(k))
+    if models is None:
+        folded = kept_table(folded, "folded")
+        models = fit_folds(folded, k, estimator, parallelism)
     return union_all(
         [
             model.transform(fold_validation(folded, held_out)).select(
                 *keep, F.get(vector_to_array("probability"), F.lit(1)).alias("pred_prob")
             )
-            for held_out, model in enumerate(fitted)
+            for held_out, model in enumerate(models)
+        ]
+    )
+
+
+def score_folds(
+    models: list[Model], test: DataFrame, name: str = "a", keep: tuple[str, ...] = ("id",)
+) -> DataFrame:
+    """Logits of ``test`` under every fold's model: ``(keep..., model, fold, l0, l1)``."""
+    raw = vector_to_array("rawPrediction")
+    return union_all(
+        [
+            model.transform(test).select(
+                *keep,
+                F.lit(name).alias("model"),
+                F.lit(fold).alias("fold"),
+                F.get(raw, F.lit(0)).alias("l0"),
+                F.get(raw, F.lit(1)).alias("l1"),
+            )
+            for fold, model in enumerate(models)
         ]
     )
 

@@ -130,8 +130,11 @@ def word_histogram(
     is widened by one half on each side.
     """
     counts = word_length_counts(df, text, label)
+    # Without the sum Spark would drop the grouping below min and max and read the texts twice.
     span = counts.select(
-        F.struct(F.min("value").alias("lo"), F.max("value").alias("hi")).alias("span")
+        F.struct(
+            F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("n")
+        ).alias("span")
     ).scalar()
     half = F.when(F.col("span.lo") == F.col("span.hi"), F.lit(0.5)).otherwise(F.lit(0.0))
     placed = (
@@ -273,22 +276,26 @@ def vocab_by_label(df: DataFrame, text: str = "sentence", label: str = "label")
 def top_words(df: DataFrame, text: str = "sentence", id: str = "id", k: int = 20) -> DataFrame:
     """The ``k`` most frequent words with their share; ties in order of first appearance.
 
-    The first appearance is packed into one decimal (row id above, token position below), which
-    keeps the aggregation hash-based; a struct minimum would fall back to sorting every token.
+    The first appearance of integer ids is packed into one decimal (row id above, token position
+    below), which keeps the aggregation hash-based; other ids take a struct minimum.  The total is
+    the sum over the grouped words, so texts are read and tokenised once.
     """
     source = df.where(F.col(text).isNotNull())
-    total = with_word_count(source.select(text), text, "w").agg(F.sum("w").alias("total")).scalar()
-    base = F.col(id).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")
+    if df.schema[id].dataType.typeName() in ("byte", "short", "integer", "long"):
+        base = F.col(id).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)")
+        first = F.min(F.col("_base") + F.col("pos"))
+    else:
+        base = F.col(id)
+        first = F.min(F.struct("_base", "pos"))
     tokens = source.select(
         base.alias("_base"), F.posexplode(tx.whitespace_tokens(F.col(text))).alias("pos", "word")
     )
-    counted = (
-        tokens.groupBy("word")
-        .agg(F.count("*").alias("n"), F.min(F.col("_base") + F.col("pos")).alias("_first"))
-        .orderBy(F.desc("n"), F.asc("_first"))
-        .limit(k)
-    )
-    return counted.select("word", "n", percentage(F.col("n"), total).alias("pct"))
+    counted = tokens.groupBy("word").agg(F.count("*").alias("n"), first.alias("_first"))
+    # Asking for the first places as well leaves the grouping as it is, so its exchange is reused.
+    sums = counted.agg(F.struct(F.sum("n").alias("n"), F.max("_first").alias("last")).alias("sums"))
+    total = sums.scalar()["n"]
+    top = counted.orderBy(F.desc("n"), F.asc("_first")).limit(k)
+    return top.select("word", "n", percentage(F.col("n"), total).alias("pct"))
 
 
 def word_classes(

@@ -7,16 +7,16 @@ and weights and norms are array expressions, so no text or term leaves its parti
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from lexgrain.functions import text as tx
+from lexgrain.session import kept_table
 
 # Separates terms in a packed literal; a term holds word characters and single spaces only.
 _TERM_SEPARATOR = "\n"
@@ -74,22 +74,12 @@ def ngram_frequencies(df: DataFrame, text: str = "sentence") -> DataFrame:
     return _frequencies(_occurrences(rows, F.col("ngrams")))
 
 
-def _small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A short list as a table; packed into one literal, so no Python worker reads it."""
-    packed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
-    return spark.range(1, numPartitions=1).select(F.inline(packed))
-
-
-def _bigram_frequencies(tokens: DataFrame, words: list[str]) -> DataFrame:
-    """Frequencies of the pairs whose two words are both listed; nothing else is shuffled.
-
-    The list is broadcast: the caller bounds its length.
-    """
-    listed = _small_table(tokens.sparkSession, [{"word": w} for w in words], "word: string")
+def _bigram_frequencies(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """Frequencies of the pairs whose two words are both in ``words(word)``."""
     pairs = _occurrences(tokens, tx.bigrams(F.col("_tokens")))
     for place in (1, -1):
         own = F.substring_index("term", " ", place)
-        pairs = pairs.join(F.broadcast(listed), own == F.col("word"), "left_semi")
+        pairs = pairs.join(words, own == F.col("word"), "left_semi")
     return _frequencies(pairs)
 
 
@@ -99,7 +89,6 @@ def vocabulary(
     max_features: int = 5000,
     min_df: int = 2,
     max_df: float = 0.95,
-    list_factor: int = 4,
 ) -> DataFrame:
     """``(term, df, cf, idf, idx)`` of the most frequent terms within the document bounds.
 
@@ -108,37 +97,33 @@ def vocabulary(
     Almost all distinct pairs of a large corpus are far too rare to be kept, so pairs are counted
     only where they can matter.  A pair occurs at most as often, and in at most as many documents,
     as either of its words.  Once single words alone fill the vocabulary down to some frequency,
-    rarer pairs are out, and so is every pair with a rarer word.  If more than
-    ``list_factor * max_features`` words tie into that bound, all pairs are counted instead.
+    rarer pairs are out, and so is every pair with a rarer word.
+
+    The frequencies of single words are written to the shared folder: they give the number of
+    documents (a null word stands once in every text), the frequency bound and the words of pairs.
     """
     source = df.select(text).where(F.col(text).isNotNull())
     tokens = source.select(tx.word_tokens(F.col(text)).alias("_tokens"))
-    n_docs = source.count()
-    limit = list_factor * max_features
-    listed = (
-        _frequencies(_occurrences(tokens, F.col("_tokens")))
-        .where(F.col("df") >= min_df)
-        .orderBy(F.desc("cf"), F.asc("term"))
-        .limit(limit + 1)
-        .collect()  # bounded by limit
-    )
-    eligible = [r for r in listed if r["df"] <= max_df * n_docs]
-    lowest = eligible[max_features - 1]["cf"] if len(eligible) >= max_features else 0
-    if len(listed) <= limit or listed[-1]["cf"] < lowest:
-        words = _small_table(
-            df.sparkSession,
-            [r.asDict() for r in eligible if r["cf"] >= lowest],
-            "term: string, df: bigint, cf: bigint",
-        )
-        frequent = [r["term"] for r in listed if r["cf"] >= lowest]
-        candidates = words.unionByName(_bigram_frequencies(tokens, frequent))
-    else:
-        candidates = ngram_frequencies(df, text)
-    kept = (
-        candidates.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
-        .orderBy(F.desc("cf"), F.asc("term"))
+    marked = F.concat(F.array(F.lit(None).cast("string")), F.col("_tokens"))
+    words = kept_table(_frequencies(_occurrences(tokens, marked)), "words")
+    documents = words.where(F.col("term").isNull()).select("df").first()
+    n_docs = documents["df"] if documents else 0
+    in_bounds = (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs))
+    eligible = words.where(F.col("term").isNotNull() & in_bounds)
+    filled = (
+        eligible.orderBy(F.desc("cf"), F.asc("term"))
         .limit(max_features)
+        .agg(F.count("*").alias("n"), F.min("cf").alias("cf"))
+        .first()
+    )
+    lowest = filled["cf"] if filled["n"] == max_features else 0
+    frequent = words.where(
+        F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("cf") >= lowest)
+    ).select(F.col("term").alias("word"))
+    candidates = eligible.where(F.col("cf") >= lowest).unionByName(
+        _bigram_frequencies(tokens, frequent)
     )
+    kept = candidates.where(in_bounds).orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
     # At most max_features rows reach this window.
     index = F.row_number().over(Window.orderBy("term")) - 1
     return kept.select(
@@ -211,5 +196,6 @@ class TfidfModel:
             F.col("_w").alias("values"),
         )
         schema = StructType([StructField("v", VectorUDT())])
-        vector = F.from_json(F.to_json(F.struct(sparse.alias("v"))), schema)["v"]
+        as_json = F.to_json(F.struct(sparse.alias("v")))
+        vector = F.from_json(as_json, schema, {"mode": "FAILFAST"})["v"]
         return self._weighted(df, text).withColumn(out, vector).drop("_idx", "_w")

@@ -183,7 +183,13 @@ ORACLE: dict[str, str] = {
     "positional_ids": f"""with {PAIRS}
 select row_number() over (order by conv_id, pair_no, pos) - 1 as id, sentence, label from turns""",
     "flat_labelled_scan": f"""with {SENT}
-select id as doc, case when id % 3 <> 0 then id else 0 end as id, sentence, label from sent""",
+select id // 4 as doc, case when id % 3 <> 0 then id
+  else row_number() over (partition by id // 4 order by id) - 1 end as id, sentence, label
+from sent""",
+    "pair_file_scan": f"with {PAIRS} select pos, sentence, label from turns",
+    "test_file_scan": f"with {TEST} select id, sentence from test",
+    "oof_csv_roundtrip": f"""with {LOGITS}
+select id, label, round({P1}, 6) as pred_prob from logits where fold = 0""",
     "polymorphic_json": """
 select conv_id, turn, case when turn % 3 = 1 then turn else 0 end as id, text from conversations
 union all select conv_id, turn, 1 as id, role as text from conversations""",
@@ -210,15 +216,26 @@ select a.model as model_1, b.model as model_2, count(*) filter (a.target = b.tar
 from preds a join preds b on a.id = b.id and a.model_ord < b.model_ord group by 1, 2""",
     "oof_alignment_check": f"""with {SENT}, {LOGITS},
 a as (select id, label from logits where fold = 0), b as (select id, label from logits where fold = 1),
-sides as (
-  select 'a_b' as sets, a.id as ia, b.id as ib, a.label as la, b.label as lb
-  from a full join b on a.id = b.id
-  union all
-  select 'a_sent', a.id, s.id, a.label, s.label from a full join sent s on a.id = s.id)
-select sets, count(*) filter (ia is null) as missing_in_a, count(*) filter (ib is null) as missing_in_b,
-  count(*) filter (ia is not null and ib is not null and la is distinct from lb) as label_mismatch,
-  0::bigint as count_mismatch, count(*) as n_ids
-from sides group by sets""",
+rows as (
+  select 'a_b' as sets, 'x' as side, id, label from a union all
+  select 'a_b', 'y', id, label from b union all
+  select 'a_sent', 'x', id, label from a union all
+  select 'a_sent', 'y', id, label from sent union all
+  select 'repeated', 'x', id, label from a union all
+  select 'repeated', 'x', id, label from a where id % 3 = 0 union all
+  select 'repeated', 'y', id, label from a union all
+  select 'repeated', 'y', id, 1 - label from a where id % 3 = 0 union all
+  select 'repeated', 'y', id, label from a where id % 5 = 0),
+ids as (
+  select sets, id, count(*) filter (side = 'x') as nx, count(*) filter (side = 'y') as ny,
+    list_sort(list(label) filter (side = 'x')) as lx, list_sort(list(label) filter (side = 'y')) as ly
+  from rows group by sets, id)
+select sets, count(*) filter (nx = 0) as missing_in_a, count(*) filter (ny = 0) as missing_in_b,
+  count(*) filter (nx > 0 and ny > 0 and (
+    (nx = ny and lx <> ly) or (nx <> ny and list_distinct(lx).list_sort() <> list_distinct(ly).list_sort())
+  )) as label_mismatch,
+  count(*) filter (nx > 0 and ny > 0 and nx <> ny) as count_mismatch, count(*) as n_ids
+from ids group by sets""",
     "stack_features": f"""with {LOGITS},
 oof as (select id, fold, label, round({P1}, 6) as p from logits)
 select a.id, a.label, a.p as prob_a, b.p as prob_b
@@ -304,7 +321,19 @@ union all
 select model, 'weighted avg', round(sum(precision * support) / sum(support), 6),
   round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
   sum(support)::bigint from scored group by model""",
-    "cv_mean_f1": f"""with {HELD_OUT},
+    "cv_mean_f1": f"""with {LOGITS},
+samples as (select id, label from logits where fold = 0),
+sizes as (
+  select label, count(*) as c, coalesce(sum(count(*)) over (
+    order by label rows between unbounded preceding and 1 preceding), 0) as start
+  from samples group by label),
+folds as (
+  select id, label, ((start + row_number() over (
+    partition by label order by md5(concat(id::varchar, ':42')), id) - 1) % 5)::int as fold
+  from samples join sizes using (label)),
+held_out as (
+  select s.label, s.fold, case when l1 > l0 then 1 else 0 end as target
+  from folds s join logits g on s.id = g.id and s.fold = g.fold),
 per_fold as (
   select fold, coalesce(2.0::double * count(*) filter (label = 1 and target = 1)
     / nullif(count(*) filter (label = 1) + count(*) filter (target = 1), 0), 0.0) as f1
@@ -412,3 +441,60 @@ from lists""",
     )
     + " from embeddings",
 }
+
+# Fitted models.  The stacker's objective is strictly convex, so Newton steps give its weights; of
+# the other fits the SQL states what does not depend on the random numbers of a library.
+
+STACKED = f"""{LOGITS},
+oof as (select id, fold, label, {P1} as p from logits),
+stacked as (
+  select a.id, a.label::double as y, a.p as a, b.p as b
+  from oof a join oof b on a.id = b.id where a.fold = 0 and b.fold = 1)"""
+
+NEWTON = f"""with recursive {STACKED},
+newton as (
+  select 0 as i, 0.0::double as wa, 0.0::double as wb, 0.0::double as w0
+  union all
+  select i + 1,
+    wa - (ga * (hbb * h00 - hb0 * hb0) - hab * (gb * h00 - hb0 * g0) + ha0 * (gb * hb0 - hbb * g0)) / det,
+    wb - (haa * (gb * h00 - g0 * hb0) - ga * (hab * h00 - hb0 * ha0) + ha0 * (hab * g0 - gb * ha0)) / det,
+    w0 - (haa * (hbb * g0 - hb0 * gb) - hab * (hab * g0 - gb * ha0) + ga * (hab * hb0 - hbb * ha0)) / det
+  from (
+    select *, haa * (hbb * h00 - hb0 * hb0) - hab * (hab * h00 - hb0 * ha0)
+      + ha0 * (hab * hb0 - hbb * ha0) as det
+    from (
+      select i, wa, wb, w0, sum((p - y) * a) + wa as ga, sum((p - y) * b) + wb as gb, sum(p - y) as g0,
+        sum(q * a * a) + 1 as haa, sum(q * b * b) + 1 as hbb, sum(q) as h00,
+        sum(q * a * b) as hab, sum(q * a) as ha0, sum(q * b) as hb0
+      from (
+        select n.*, s.a, s.b, s.y, 1 / (1 + exp(-(wa * s.a + wb * s.b + w0))) as p,
+          1 / (1 + exp(-(wa * s.a + wb * s.b + w0))) * (1 - 1 / (1 + exp(-(wa * s.a + wb * s.b + w0)))) as q
+        from newton n, stacked s where n.i < 20)
+      group by i, wa, wb, w0))),
+fitted as (select wa, wb, w0 from newton where i = 20)"""
+
+HOLDOUT_SQL = ORACLE["stratified_holdout"]
+
+ORACLE |= {
+    "stacker_fit": f"""{NEWTON},
+scored as (
+  select y, case when wa * a + wb * b + w0 > 0 then 1 else 0 end as target from stacked, fitted)
+select round(wa, 4) as coef_a, round(wb, 4) as coef_b, round(w0, 4) as intercept,
+  (select count(*) from scored) as n,
+  (select round(coalesce(2.0::double * count(*) filter (y = 1 and target = 1)
+    / nullif(count(*) filter (y = 1) + count(*) filter (target = 1), 0), 0.0), 4) from scored) as f1
+from fitted""",
+    "stacker_predict": f"""{NEWTON},
+means as (
+  select id, avg(p) filter (fold % 2 = 0) as a, avg(p) filter (fold % 2 = 1) as b from oof group by id)
+select id, (case when wa * a + wb * b + w0 > 0 then 1 else 0 end)::int as target from means, fitted""",
+    "rf_pipeline": f"""with held_out as (select label from ({HOLDOUT_SQL}) where is_test),
+classes as (select label::varchar as class, count(*) as support from held_out group by label)
+select class, support, true as in_range from classes
+union all
+select unnest(['accuracy', 'macro avg', 'weighted avg']), (select count(*) from held_out), true""",
+    "rf_predict": f"with {TEST} select id, true as has_label from test",
+    "oof_generate": f"with {KFOLD} select id, label, fold, true as is_probability from folds",
+    "fold_test_scores": f"""with {TEST}
+select id, 5::bigint as n_folds, true as consistent from test""",
+}

@@ -13,6 +13,7 @@ from lexgrain.operators import compare, ensemble, features, metrics, models, pro
 from lexgrain.operators.layout import with_positions
 from lexgrain.operators.tfidf import TfidfModel, ngram_frequencies, ngram_rows, vocabulary
 from lexgrain.plans import relations as rel
+from lexgrain.plans import workflows
 from lexgrain.session import new_scratch_path
 from lexgrain.sources import readers, sinks
 
@@ -50,18 +51,51 @@ def positional_ids(spark, folder):
 
 @query
 def flat_labelled_scan(spark, folder):
-    """Every third record goes without idx and takes its position in the array."""
+    """Up to four records in one array; every third id goes without idx and takes its position."""
     record = F.struct(
+        "id",
         "sentence",
         F.col("label").cast("string").alias("label"),
         F.when(F.col("id") % 3 != 0, F.col("id")).alias("idx"),
     )
-    arrays = rel.sent(spark, folder).select(
-        F.col("id").alias("doc"), F.to_json(F.array(record)).alias("value")
+    arrays = (
+        rel.sent(spark, folder)
+        .groupBy(F.expr("id div 4").alias("doc"))
+        .agg(F.to_json(F.sort_array(F.collect_list(record))).alias("value"))
     )
     return readers.parse_flat(arrays, keep=("doc",))
 
 
+def _json_lines(spark, rows, name):
+    """Write rows as JSON Lines and return the path."""
+    path = new_scratch_path(spark, name)
+    rows.write.json(path)
+    return path
+
+
+@query
+def pair_file_scan(spark, folder):
+    """Pair records written as JSON Lines and read back."""
+    records = rel.pairs(spark, folder).select("sentence_pair", "label_pair")
+    read = readers.read_pairs(spark, _json_lines(spark, records, "pairs"), lines=True)
+    exploded = readers.explode_pairs(read, keep=("file", "record"))
+    return exploded.select(F.col("pos").cast("bigint").alias("pos"), "sentence", "label")
+
+
+@query
+def test_file_scan(spark, folder):
+    """Test records with a mandatory idx, written as JSON Lines and read back."""
+    records = rel.unlabelled(spark, folder).select(F.col("id").alias("idx"), "sentence")
+    return readers.read_test(spark, _json_lines(spark, records, "test"), lines=True)
+
+
+@query
+def oof_csv_roundtrip(spark, folder):
+    path = new_scratch_path(spark, "oof")
+    sinks.write_oof(rel.oof(spark, folder, 0), path)
+    return rounded(readers.read_oof(spark, path))
+
+
 @query
 def polymorphic_json(spark, folder):
     with_idx = F.struct(F.col("text").alias("sentence"), F.col("turn").alias("idx"))
@@ -146,12 +180,17 @@ def pairwise_agreement(spark, folder):
 
 @query
 def oof_alignment_check(spark, folder):
+    """Two aligned sets, two of different ids, and two with repeated ids and other labels."""
     a, b = rel.oof(spark, folder, 0), rel.oof(spark, folder, 1)
     other = rel.labelled_ids(spark, folder).select("id", "label")
+    third, fifth = a.where("id % 3 = 0"), a.where("id % 5 = 0")
+    flipped = third.withColumn("label", 1 - F.col("label"))
+    repeated, changed = ensemble.union_all([a, third]), ensemble.union_all([a, flipped, fifth])
+    sets = {"a_b": (a, b), "a_sent": (a, other), "repeated": (repeated, changed)}
     return ensemble.union_all(
         [
-            ensemble.alignment_report(a, b).withColumn("sets", F.lit("a_b")),
-            ensemble.alignment_report(a, other).withColumn("sets", F.lit("a_sent")),
+            ensemble.alignment_report(x, y).withColumn("sets", F.lit(name))
+            for name, (x, y) in sets.items()
         ]
     )
 
@@ -241,7 +280,9 @@ def classification_report(spark, folder):
 
 @query
 def cv_mean_f1(spark, folder):
-    folded = splits.stratified_kfold(rel.labelled_ids(spark, folder).select("id", "label"))
+    """Folds over all rows that have logits, so every one of them is scored."""
+    labelled = rel.logits(spark, folder).where("fold = 0").select("id", "label")
+    folded = splits.stratified_kfold(labelled)
     return rounded(metrics.mean_fold_f1(rel.fold_predictions(spark, folder, folded)))
 
 
@@ -429,13 +470,19 @@ def truncate_pad(spark, folder):
 
 @query
 def rf_pipeline(spark, folder):
-    return models.fit_text_classifier(rel.sent(spark, folder)).report
+    """The real fit; of its report what does not depend on how the trees are grown."""
+    report = models.fit_text_classifier(rel.sent(spark, folder)).report
+    in_range = F.col("f1").between(0, 1) & F.col("precision").between(0, 1)
+    return report.select("class", "support", in_range.alias("in_range"))
 
 
 @query
 def rf_predict(spark, folder):
-    fitted = models.fit_text_classifier(rel.sent(spark, folder), evaluate=False)
-    return fitted.predict(rel.unlabelled(spark, folder))
+    """The real fit saved, loaded and applied: one row per id, each with one of the two labels."""
+    path = new_scratch_path(spark, "classifier")
+    models.fit_text_classifier(rel.sent(spark, folder), evaluate=False).save(path)
+    predicted = models.TextClassifier.load(spark, path).predict(rel.unlabelled(spark, folder))
+    return predicted.select("id", F.col("target").isin(0, 1).alias("has_label"))
 
 
 @query
@@ -443,7 +490,7 @@ def stacker_fit(spark, folder):
     a, b = rel.oof(spark, folder, 0), rel.oof(spark, folder, 1)
     ensemble.require_aligned(a, b)
     stacked = ensemble.stack_probabilities(a, b)
-    return models.Stacker.fit(stacked).summary(stacked)
+    return rounded(models.Stacker.fit(stacked).summary(stacked), 4)
 
 
 @query
@@ -458,10 +505,28 @@ def stacker_predict(spark, folder):
 
 @query
 def oof_generate(spark, folder):
+    """The real fits: one row per id with its fold and a score that is a probability."""
+    scored = models.out_of_fold(_folded(spark, folder), parallelism=5)
+    return scored.select(
+        "id", "label", "fold", F.col("pred_prob").between(0, 1).alias("is_probability")
+    )
+
+
+def _folded(spark, folder):
     folds = splits.stratified_kfold(rel.labelled_ids(spark, folder).select("id", "label"))
     counted = models.with_hashed_counts(rel.sent(spark, folder))
-    folded = counted.join(folds.select("id", "fold"), "id")
-    return models.out_of_fold(folded, parallelism=5)
+    return counted.join(folds.select("id", "fold"), "id")
+
+
+@query
+def fold_test_scores(spark, folder):
+    """Fold fits, test logits of every fold's model, their mean per id and the label."""
+    test = models.with_hashed_counts(rel.unlabelled(spark, folder))
+    _, logits = workflows.cross_validated_scores(_folded(spark, folder), test, parallelism=5)
+    folds = logits.groupBy("id").agg(F.count_distinct("fold").alias("n_folds"))
+    mean = ensemble.mean_logit(logits)
+    consistent = (F.col("pred_prob") > 0.5) == (F.col("label") == 1)
+    return mean.join(folds, "id").select("id", "n_folds", consistent.alias("consistent"))
 
 
 @query

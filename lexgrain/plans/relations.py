@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrain.functions.scores import binary_argmax, positive_probability
-from lexgrain.operators.layout import use_all_cores
 from lexgrain.operators.metrics import accuracy_column
 
 FOLDS = 5
@@ -17,7 +16,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return use_all_cores(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, folder, "documents").select("doc_id", "text")
 
 
 def sent(spark: SparkSession, folder: str) -> DataFrame:
@@ -187,7 +186,7 @@ def fold_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fold_predictions(spark: SparkSession, folder: str, folded: DataFrame) -> DataFrame:
-    """Held-out score of each ``(id, label, fold)`` sample that has logits for its fold."""
+    """Score of each ``(id, label, fold)`` sample with logits for its fold."""
     scored = logits(spark, folder).select(
         "id",
         "fold",

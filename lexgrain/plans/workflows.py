@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrain.operators import compare, ensemble, models, profile
+from lexgrain.session import kept_table
 
 
 def profile_corpus(train: DataFrame, test: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -40,6 +41,19 @@ def train_and_predict(
     return classifier, classifier.predict(test)
 
 
+def cross_validated_scores(
+    folded: DataFrame, test: DataFrame, k: int = 5, name: str = "a", **options
+) -> tuple[DataFrame, DataFrame]:
+    """Fit one model per fold: out-of-fold predictions of ``folded`` and fold logits of ``test``.
+
+    Both carry features.  The logits go to ``ensemble_predict`` or, with the out-of-fold sets of two
+    models, to ``stack_and_predict``.
+    """
+    folded = kept_table(folded, "folded")
+    fitted = models.fit_folds(folded, k, **options)
+    return models.out_of_fold(folded, k, models=fitted), models.score_folds(fitted, test, name)
+
+
 def ensemble_predict(fold_logits: DataFrame) -> DataFrame:
     """``(id, label)`` of one model: mean logits over its folds, then softmax and argmax."""
     return ensemble.mean_logit(fold_logits).select("id", "label")
@@ -64,7 +78,14 @@ def stack_and_predict(
 def compare_models(
     predictions: DataFrame, runs: DataFrame | None = None
 ) -> dict[str, DataFrame]:
-    """Distribution and pairwise agreement of predictions, and the summary and winner of runs."""
+    """Distribution and pairwise agreement of predictions, and the summary and winner of runs.
+
+    With ``runs`` only predictions of successful runs are compared.
+    """
+    if runs is not None:
+        keys = ["model", *({"experiment"} & set(predictions.columns) & set(runs.columns))]
+        succeeded = runs.where("success").withColumnRenamed("name", "model").select(*keys).distinct()
+        predictions = predictions.join(succeeded, keys, "left_semi")
     report = {
         "distribution": compare.prediction_distribution(predictions),
         "agreement": compare.pairwise_agreement(predictions),

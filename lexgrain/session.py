@@ -8,7 +8,7 @@ import zipfile
 from functools import cache
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -56,6 +56,19 @@ def new_scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it from there."""
+    path = new_scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a written intermediate result."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @cache
 def _package_zip() -> str:
     """This package as a zip file of the driver, from which Spark hands it to the executors."""

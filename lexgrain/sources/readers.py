@@ -44,14 +44,15 @@ def explode_pairs(
 def read_pairs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Labelled pair records from a JSON array, or from JSON Lines.
 
-    ``record`` increases with the place in the file; ``with_positions`` over ``record, pos`` of the
-    exploded pairs gives the list position of every sentence.
+    ``record`` increases with the place in its ``file``; ``with_positions`` over ``file, record, pos``
+    of the exploded pairs gives the list position of every sentence.
     """
     return (
         spark.read.schema(PAIR_SCHEMA)
         .option("mode", "FAILFAST")
         .option("multiLine", not lines)
         .json(path)
+        .withColumn("file", F.col("_metadata.file_path"))
         .withColumn("record", F.monotonically_increasing_id())
     )
 
@@ -91,39 +92,33 @@ def parse_documents(df: DataFrame, value: str = "value", keep: tuple[str, ...] =
     """``(keep..., id, text)`` from JSON texts of any of three shapes.
 
     The shapes are ``{"sentences": [text]}``, ``[{"sentence": text, "idx": id?}]`` and ``[text]``;
-    a missing id is the position.  The text is parsed once as a variant; any other shape raises.
+    a missing id is the position.  The first characters tell the shape, and the text is then parsed
+    once with that shape's schema; any other shape raises.
     """
-    parsed = df.select(*keep, F.parse_json(value).alias("_v"))
-    shaped = parsed.select(
-        *keep,
-        F.try_variant_get("_v", "$.sentences", "array<string>").alias("_sentences"),
-        F.try_variant_get("_v", "$", "array<variant>").alias("_list"),
-    )
-    has_objects = F.schema_of_variant(F.get("_list", F.lit(0))).startswith("OBJECT")
+    strict = {"mode": "FAILFAST"}
 
     def entry(id: Column, text: Column) -> Column:
         return F.struct(id.cast("bigint").alias("id"), text.alias("text"))
 
-    from_object = F.transform(
-        "_list",
+    texts = F.from_json(value, "struct<sentences: array<string>>", strict)["sentences"]
+    from_texts = F.transform(
+        _required(texts, "unknown document shape"), lambda x, i: entry(i, x)
+    )
+    from_records = F.transform(
+        F.from_json(value, "array<struct<sentence: string, idx: bigint>>", strict),
         lambda x, i: entry(
-            F.coalesce(F.variant_get(x, "$.idx", "bigint"), i.cast("bigint")),
-            _required(F.variant_get(x, "$.sentence", "string"), "record without sentence"),
+            F.coalesce(x["idx"], i.cast("bigint")),
+            _required(x["sentence"], "record without sentence"),
         ),
     )
+    from_list = F.transform(F.from_json(value, "array<string>", strict), lambda x, i: entry(i, x))
     entries = (
-        F.when(
-            F.col("_sentences").isNotNull(),
-            F.transform("_sentences", lambda x, i: entry(i, x)),
-        )
-        .when(has_objects, from_object)
-        .when(
-            F.col("_list").isNotNull(),
-            F.transform("_list", lambda x, i: entry(i, F.variant_get(x, "$", "string"))),
-        )
+        F.when(F.col(value).rlike(r"^\s*\{"), from_texts)
+        .when(F.col(value).rlike(r"^\s*\[\s*\{"), from_records)
+        .when(F.col(value).rlike(r"^\s*\[\s*(\"|\]|null)"), from_list)
         .otherwise(F.raise_error(F.lit("unknown document shape")))
     )
-    return shaped.select(*keep, F.inline(entries))
+    return df.select(*keep, F.inline(entries))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -176,9 +171,12 @@ def read_fold_logits(spark: SparkSession, parent: str) -> DataFrame:
     """Scored logits below ``parent``, with ``model=`` and ``fold=`` folders as columns.
 
     Without fold folders the parent itself is read as the only fold.  Filters on ``fold`` and
-    ``model`` prune folders.
+    ``model`` prune folders.  Names of models are strings, however they look.
     """
-    logits = spark.read.parquet(parent)
+    types = {"model": "string", "fold": "int"}
+    found = spark.read.parquet(parent).schema
+    fields = [f"`{f.name}` {types.get(f.name, f.dataType.simpleString())}" for f in found]
+    logits = spark.read.schema(", ".join(fields)).parquet(parent)
     if "l0" not in logits.columns or "l1" not in logits.columns:
         raise ValueError(f"no fold outputs found in {parent}")
     if "fold" not in logits.columns:

@@ -25,7 +25,8 @@ def test_classifier_learns_and_predicts(spark, toy):
     fitted, predicted = workflows.train_and_predict(toy, test, estimator=models.forest(trees=5))
     assert fitted.metrics.first()["accuracy"] == 1.0 and fitted.metrics.first()["n"] == 24
     assert {r["class"] for r in fitted.report.collect()} >= {"0", "1", "macro avg"}
-    assert {r["id"]: r["target"] for r in predicted.collect()} == {1: 1, 2: 0}
+    assert {r["id"]: r["target"] for r in predicted.collect()} == {1: 1, 2: 0, 3: None}
+    assert fitted.predict(test, nulls="drop").count() == 2
     with pytest.raises(Exception, match="null in sentence"):
         fitted.predict(test, nulls="reject").collect()
 
@@ -120,3 +121,40 @@ def test_ensemble_and_comparison_workflows(spark, tables):
 def test_union_keeps_duplicates(spark):
     one = spark.createDataFrame([(1, 1)], "id long, target int")
     assert ensemble.union_all([one, one, one]).count() == 3
+
+
+def test_saved_classifier_and_stacker_predict_alike(spark, toy, tmp_path):
+    fitted = models.fit_text_classifier(toy, estimator=models.forest(trees=3), evaluate=False, max_rows=100)
+    fitted.save(str(tmp_path / "classifier"))
+    loaded = models.TextClassifier.load(spark, str(tmp_path / "classifier"))
+    test = toy.select("id", "sentence")
+    assert sorted(loaded.predict(test).collect()) == sorted(fitted.predict(test).collect())
+    stacked = toy.select("label", (F.col("id") / 120).alias("prob_a"), (F.col("label") * 0.8).alias("prob_b"))
+    stacker = models.Stacker.fit(stacked)
+    stacker.save(str(tmp_path / "stacker"))
+    again = models.Stacker.load(spark, str(tmp_path / "stacker"))
+    assert (again.coef_a, again.coef_b, again.intercept) == (stacker.coef_a, stacker.coef_b, stacker.intercept)
+    assert sorted(again.predict(stacked).collect()) == sorted(stacker.predict(stacked).collect())
+
+
+def test_fold_models_score_test_rows_and_null_texts(spark, toy):
+    rows = toy.union(spark.createDataFrame([(500, None, 1)], "id long, sentence string, label int"))
+    folds = splits.stratified_kfold(rows.select("id", "label"), k=3)
+    folded = models.with_hashed_counts(rows, features=256).join(folds.select("id", "fold"), "id")
+    test = models.with_hashed_counts(toy.select("id", "sentence"), features=256)
+    oof, logits = workflows.cross_validated_scores(folded, test, k=3)
+    assert sorted(r["id"] for r in oof.collect()) == [*range(120), 500]
+    assert logits.count() == 360
+    labels = {r["id"]: r["label"] for r in workflows.ensemble_predict(logits).collect()}
+    assert labels == {i: i % 2 for i in range(120)}
+    _, stacked = workflows.stack_and_predict(
+        oof.where("id < 500"), oof.where("id < 500"), logits, logits
+    )
+    assert stacked.count() == 120
+
+
+def test_only_successful_runs_are_compared(spark, tables):
+    runs = rel.runs(spark, tables).withColumn("success", F.col("name") != "m1")
+    report = workflows.compare_models(rel.preds(spark, tables), runs)
+    assert {r["model"] for r in report["distribution"].collect()} == {"m0", "m2"}
+    assert report["agreement"].count() == 1

@@ -83,3 +83,23 @@ def test_one_dominant_word_and_class(spark):
     top = profile.top_words(df, k=1).first()
     assert (top["word"], top["n"]) == ("hot", 5000)
     assert profile.vocab_totals(df).first()["unique_words"] == 1001
+
+
+def test_top_words_of_text_ids(spark):
+    df = spark.createDataFrame([("b", "x y"), ("a", "y x"), (None, "z")], "id string, sentence string")
+    rows = profile.top_words(df, k=2).collect()
+    assert [(r["word"], r["n"], r["pct"]) for r in rows] == [("y", 2, 40.0), ("x", 2, 40.0)]
+
+
+def test_texts_are_scanned_once(spark, tables):
+    """With adaptive execution off, so that reused exchanges show in the plan."""
+    from lexgrain.plans import queries as q
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("word_histogram", "top_words", "length_profile", "stats_by_label", "vocab_totals", "box_stats"):
+            plan = q.QUERIES[name](spark, tables)._jdf.queryExecution().executedPlan().toString()
+            scans = [l for l in plan.splitlines() if "FileScan" in l and "text:string" in l]
+            assert len(scans) == 1, name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

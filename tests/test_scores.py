@@ -147,3 +147,31 @@ def test_natural_order(spark):
     names = [("fold10",), ("fold2",), ("final",), ("fold1",), ("fold1",)]
     ordered = compare.natural_order(spark.createDataFrame(names, "name string")).collect()
     assert [r["name"] for r in ordered] == ["fold1", "fold2", "fold10", "final"]
+
+
+def test_alignment_compares_labels_as_multisets(spark):
+    schema = "id long, label int"
+    a = spark.createDataFrame([(1, 0), (1, 0), (1, 1), (2, 1), (3, None)], schema)
+    b = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (2, 1), (3, None)], schema)
+    report = ensemble.alignment_report(a, b).first()
+    assert (report["label_mismatch"], report["count_mismatch"], report["n_ids"]) == (1, 0, 3)
+    assert ensemble.alignment_report(a, a).first()["label_mismatch"] == 0
+
+
+def test_softmax_of_ten_classes(spark):
+    logits = [0.5 * i - 700.0 for i in range(10)]
+    row = spark.createDataFrame([(logits,)], "v array<double>").select(
+        scores.softmax(F.col("v")).alias("p"), scores.log_softmax(F.col("v")).alias("l")
+    ).first()
+    exps = [math.exp(x - max(logits)) for x in logits]
+    assert row["p"] == pytest.approx([e / sum(exps) for e in exps])
+    assert row["l"] == pytest.approx([math.log(e / sum(exps)) for e in exps])
+
+
+def test_agreement_takes_two_shuffles_after_its_source(spark, tables):
+    from lexgrain.operators import compare
+
+    rows = spark.createDataFrame([(1, "a", 0, 1)], "id long, model string, model_ord int, target int")
+    plan = compare.pairwise_agreement(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3  # one of them counts equal votes map-side
+    assert "Join" not in plan

@@ -160,3 +160,24 @@ def test_positions_are_dense_and_ordered(spark):
 
 def test_positions_of_nothing(spark):
     assert with_positions(spark.range(0), ["id"], "pos").collect() == []
+
+
+def test_pairs_of_several_files_keep_file_order(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"sentence_pair": ["first"], "label_pair": [0]}]')
+    long = ", ".join(f'{{"sentence_pair": ["later {i}"], "label_pair": [1]}}' for i in range(500))
+    (tmp_path / "b.json").write_text(f"[{long}]")
+    pairs = readers.explode_pairs(readers.read_pairs(spark, str(tmp_path)), keep=("file", "record"))
+    rows = with_positions(pairs, ["file", "record", "pos"]).orderBy("id").collect()
+    assert [r["sentence"] for r in rows[:3]] == ["first", "later 0", "later 1"] and len(rows) == 501
+
+
+def test_model_folders_are_names(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "01", 0, 0.0, 1.0)], "id long, model string, fold int, l0 double, l1 double")
+    sinks.write_fold_logits(rows, str(tmp_path / "f"))
+    read = readers.read_fold_logits(spark, str(tmp_path / "f"))
+    assert read.first()["model"] == "01" and dict(read.dtypes)["fold"] == "int"
+
+
+def test_documents_are_parsed_without_a_size_limit_of_variants(spark):
+    df = spark.createDataFrame([('["a"]',)], "value string")
+    assert "variant" not in readers.parse_documents(df)._jdf.queryExecution().toString().lower()

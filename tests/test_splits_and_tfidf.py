@@ -102,12 +102,12 @@ def brute_force_vocabulary(texts, max_features, min_df=2, max_df=0.95):
     return sorted((t, df[t], cf[t]) for t in top)
 
 
-@pytest.mark.parametrize(("max_features", "list_factor"), [(50, 4), (700, 4), (3, 1), (40, 1), (10**6, 4)])
-def test_pruned_vocabulary_is_exact(spark, tables, max_features, list_factor):
-    """Both the pruned count and, for ``list_factor=1``, the full one equal a plain count."""
+@pytest.mark.parametrize("max_features", [3, 40, 50, 700, 10**6])
+def test_pruned_vocabulary_is_exact(spark, tables, max_features):
+    """The pruned count equals a plain count."""
     df = spark.read.parquet(f"{tables}/documents.parquet").withColumnRenamed("text", "sentence")
     texts = [r["sentence"] for r in df.select("sentence").collect()]
-    rows = vocabulary(df, max_features=max_features, list_factor=list_factor).collect()
+    rows = vocabulary(df, max_features=max_features).collect()
     found = sorted((r["term"], r["df"], r["cf"]) for r in rows)
     assert found == brute_force_vocabulary(texts, max_features)
 
@@ -116,6 +116,6 @@ def test_ties_beyond_the_word_list_count_all_pairs(spark):
     texts = ["aa bb cc dd ee ff", "ff ee dd cc bb aa", "aa bb"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, sentence string")
     for k in (1, 2, 3, 4):
-        rows = vocabulary(df, max_features=k, list_factor=1, max_df=0.7).collect()
+        rows = vocabulary(df, max_features=k, max_df=0.7).collect()
         found = sorted((r["term"], r["df"], r["cf"]) for r in rows)
         assert found == brute_force_vocabulary(texts, k, max_df=0.7)
