@@ -37,4 +37,4 @@ WORD_TOKEN = f"[{WORD_BODY}]{{2,}}"
 WS_JAVA = rf"[\x00-\x20\x7f-\x{{10ffff}}&&[{WS_BODY}]]"
 NOT_UPPER_JAVA = rf"[\x00-\x40\x5b-\x7f[^{UPPER_BODY}]]"
 NOT_DIGIT_JAVA = rf"[\x00-\x2f\x3a-\x7f[^{DIGIT_BODY}]]"
-NOT_PUNCTUATION = r"[^.,;!?:'\"\-]"
+NOT_PUNCTUATION = "[^" + PUNCTUATION.replace("-", r"\-") + "]"

@@ -25,7 +25,7 @@ from lexgrain.operators.features import FEATURES, Scaler, with_cleaned, with_tex
 from lexgrain.operators.metrics import accuracy_f1, classification_report
 from lexgrain.operators.splits import fold_train, fold_validation, stratified_holdout
 from lexgrain.operators.tfidf import TfidfModel
-from lexgrain.session import ensure_checkpoint_folder, kept_table
+from lexgrain.session import discard, ensure_checkpoint_folder, kept_table, new_scratch_path
 
 DISK = StorageLevel.MEMORY_AND_DISK
 
@@ -190,7 +190,9 @@ def fit_text_classifier(
     if evaluate:
         parts = stratified_holdout(rows.select("id", "label"), "id", "label", test_size, seed)
         rows = rows.join(parts.select("id", "is_test"), "id")
-    rows = kept_table(rows, "train")
+    path = new_scratch_path(spark, "train")
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     options = {"max_features": max_features, "cleaning": cleaning, "statistics": statistics}
     featurizer = TextFeaturizer.fit(rows, **options)
     vectors = featurizer.transform(rows).drop("sentence").persist(DISK)
@@ -205,6 +207,7 @@ def fit_text_classifier(
         model = estimator.fit(vectors)
     finally:
         vectors.unpersist()
+        discard(spark, path)
     return TextClassifier(featurizer, model, metrics, report)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -29,7 +31,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 @cache
 def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="lexgrain-")
+    folder = tempfile.mkdtemp(prefix="lexgrain-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def scratch_folder(spark: SparkSession) -> str:
