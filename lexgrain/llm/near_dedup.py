@@ -39,8 +39,8 @@ class NearSettings:
     """``key_values`` retained values make keys; of them ``spare_share`` may be left out.
 
     A pair at the limit shares on average 9/16 of its keys, so a sixth is missed by chance about
-    once in 100,000 pairs, and never if both sets are retained whole.  ``estimate_*`` lie five
-    deviations below the limit for sketches of their size.
+    once in 100,000 pairs, and never if both sets are retained whole.  Estimates rule a pair out
+    when they lie five deviations below the limit for a sketch of their size.
     """
 
     numerator: int = 75
@@ -51,7 +51,7 @@ class NearSettings:
     hubs: int = 8
     list_values: int = 256
     estimate_pairs: float = 0.48
-    estimate_lists: float = 0.6
+    list_deviations: float = 5.0
     block_rows: int = 2048
 
 
@@ -164,14 +164,29 @@ def _confirmed(settings: NearSettings):
 _CROSS = "a bigint, b bigint, sure boolean"
 
 
-def compare_list(
-    reps: np.ndarray, sizes: np.ndarray, comps: np.ndarray, values: list[np.ndarray], s: NearSettings
-) -> Iterator[tuple[int, int, bool]]:
+@dataclass
+class ListRows:
+    """Members of one list or of two of its blocks: ``keys`` are all lists that a member is in."""
+
+    reps: np.ndarray
+    sizes: np.ndarray
+    comps: np.ndarray
+    blocks: np.ndarray
+    values: list[np.ndarray]
+    keys: list[np.ndarray]
+
+
+def compare_list(rows: ListRows, key: int, two_blocks: bool, s: NearSettings) -> Iterator[tuple[int, int, bool]]:
     """Links and likely links between members of different components of one list.
 
     ``values`` are whole sets or their ``list_values`` smallest elements.  Up to the smaller of the
     two largest retained values both are complete, which makes their part of the union a sketch.
+    A pair that meets in several lists is compared in the one with the smallest key only.
     """
+    reps, sizes, comps, values = rows.reps, rows.sizes, rows.comps, rows.values
+    flat_keys = np.concatenate(rows.keys)
+    key_begins = np.cumsum([0] + [len(k) for k in rows.keys])[:-1]
+    limit = s.numerator / s.denominator
     names, codes = np.unique(comps, return_inverse=True)
     main = np.bincount(codes).argmax()
     flat = np.concatenate(values)
@@ -184,6 +199,20 @@ def compare_list(
         others = (codes != codes[x]) & (
             s.denominator * np.minimum(sizes, sizes[x]) >= s.numerator * np.maximum(sizes, sizes[x])
         )
+        if two_blocks:  # pairs of one block have a group of their own
+            others &= rows.blocks != rows.blocks[x]
+        if not others.any():
+            continue
+        shared = np.isin(flat_keys, rows.keys[x])
+        first_met = np.minimum.reduceat(np.where(shared, flat_keys, np.iinfo(np.int64).max), key_begins)
+        others &= first_met == key
+        if two_blocks:  # pairs of one block have a group of their own
+            others &= rows.blocks != rows.blocks[x]
+        if not others.any():
+            continue
+        shared = np.isin(flat_keys, rows.keys[x])
+        first_met = np.minimum.reduceat(np.where(shared, flat_keys, np.iinfo(np.int64).max), key_begins)
+        others &= first_met == key
         if not others.any():
             continue
         mine = ids[begins[x] : begins[x + 1]]
@@ -198,7 +227,8 @@ def compare_list(
         union = of_x + of_y - common
         sure = whole & whole[x]
         linked = others & sure & (s.denominator * common >= s.numerator * union)
-        likely = others & ~sure & (common >= s.estimate_lists * union)
+        slack = s.list_deviations * np.sqrt(limit * (1 - limit) * union)
+        likely = others & ~sure & (common >= limit * union - slack)
         # One link to each other component is enough to join it.
         firsts = np.unique(codes[linked], return_index=True)[1]
         for y in np.flatnonzero(linked)[firsts].tolist():
@@ -220,20 +250,23 @@ def _cross_links(settings: NearSettings):
             for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
                 here = tuple(marks[:, begin].tolist())
                 if held and here != name:
-                    yield held
+                    yield name, held
                     held = []
                 name = here
                 held.append(batch.slice(begin, end - begin))
         if held:
-            yield held
+            yield name, held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for parts in groups(batches):
-            rows = pa.Table.from_batches(parts).combine_chunks()
-            numbers = [rows.column(c).to_numpy() for c in ("rep", "n", "comp")]
-            if len(numbers[0]) > 1 and numbers[2].min() != numbers[2].max():
-                out += compare_list(*numbers, _values(rows.column("part")), settings)
+        for (key, i, j), parts in groups(batches):
+            table = pa.Table.from_batches(parts).combine_chunks()
+            numbers = [table.column(c).to_numpy() for c in ("rep", "n", "comp", "block")]
+            if numbers[2].min() == numbers[2].max():
+                continue
+            keys = [np.array(k, np.int64) for k in table.column("keys").to_pylist()]
+            rows = ListRows(*numbers, _values(table.column("part")), keys)
+            out += compare_list(rows, key, i != j, settings)
             if len(out) > 20_000:
                 yield _pairs(out)
                 out = []
@@ -396,10 +429,12 @@ def _crossing(lists: DataFrame, joined: DataFrame, sets: DataFrame, settings: Ne
         lambda other: F.struct(F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j")),
     )
     part = F.substring("set", 1, 8 * settings.list_values).alias("part")
+    keys_of = lists.groupBy("rep").agg(F.collect_set("key").alias("keys"))  # at most key_values
     return (
         labelled.join(mixed_lists, "key")
-        .join(sets.select(F.col("rep"), part), "rep")
-        .select("key", "rep", "n", "comp", "part", F.inline(block_pairs))
+        .join(sets.select("rep", part), "rep")
+        .join(keys_of, "rep")
+        .select("key", "rep", "n", "comp", mine.alias("block"), "part", "keys", F.inline(block_pairs))
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
         .mapInArrow(_cross_links(settings), _CROSS)
