@@ -60,31 +60,37 @@ KNOWN = (
 )
 
 
-def _spelled(words: Column) -> Column:
-    """Equivalent spellings made equal, in text whose words have a space on both sides."""
+def _plain(text: Column) -> Column:
+    """Words in lower case with one space on both sides, lines apart, spellings made equal."""
+    words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
+    words = F.concat(F.lit(" "), F.replace(words, F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for other, usual in EQUIVALENT:
         words = F.replace(words, F.lit(f" {other} "), F.lit(f" {usual} "))
     return words
 
 
-def _plain(text: Column) -> Column:
-    """Letters and digits in lower case; other characters of a line become one space."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
-
-
-def _copyright(line: Column) -> Column:
-    return line.rlike(r"^ ?(copyright |copr |c \d{4}\b|all rights reserved ?$)")
+def _kept_lines(lines: Column) -> Column:
+    """Trimmed lines without copyright lines."""
+    trimmed = F.transform(lines, lambda line: F.trim(line))
+    return F.filter(
+        trimmed,
+        lambda line: ~(
+            F.startswith(line, F.lit("copyright "))
+            | F.startswith(line, F.lit("copr "))
+            | (F.startswith(line, F.lit("c ")) & line.rlike(r"^c \d{4}\b"))
+            | (line == "all rights reserved")
+        ),
+    )
 
 
-def _digest(words: Column) -> Column:
-    return F.sha2(F.trim(_spelled(F.concat(F.lit(" "), F.trim(words), F.lit(" ")))), 256)
+def _joined(lines: Column) -> Column:
+    return F.trim(F.regexp_replace(F.array_join(lines, " "), " +", " "))
 
 
 def canonical_digest(text: Column) -> Column:
     """The digest of a whole text's canonical form; null if nothing is left."""
-    lines = F.filter(F.split(_plain(text), "\n"), lambda line: ~_copyright(line))
-    joined = F.trim(F.regexp_replace(F.array_join(lines, " "), " +", " "))
-    return F.when(joined != "", _digest(joined))
+    joined = _joined(_kept_lines(F.split(_plain(text), "\n")))
+    return F.when(joined != "", F.sha2(joined, 256))
 
 
 def known_licenses(spark: SparkSession, texts=KNOWN) -> DataFrame:
@@ -111,21 +117,25 @@ def license_scan(
     empty table gives no row; with an empty list of licences nothing matches.
     """
     keyed = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    plain = _plain(F.coalesce(F.col("text"), F.lit("")))
-    units = keyed.select("doc_id", F.xxhash64("text").alias("_text"), plain.alias("_plain"))
-    paragraphs = F.split("_plain", r"\n ?\n[\n ]*")
-    tidy = F.transform(paragraphs, lambda p: _kept_lines(p))
-    lines = F.transform(F.split("_plain", "\n"), lambda line: F.trim(line))
-    every = F.array_distinct(
-        F.concat(lines, tidy, F.array(_kept_lines(F.col("_plain"))))
-    )
-    whole = _kept_lines(F.col("_plain"))
-    exploded = units.select("doc_id", "_text", whole.alias("_whole"), F.explode(every).alias("_unit"))
-    digests = exploded.where(F.col("_unit") != "").select(
-        "doc_id",
-        "_text",
-        (F.col("_unit") == F.col("_whole")).alias("_is_whole"),
-        _digest(F.col("_unit")).alias("digest"),
+    lines = _kept_lines(F.split(_plain(F.coalesce(F.col("text"), F.lit(""))), "\n"))
+    units = keyed.select("doc_id", F.xxhash64("text").alias("_text"), lines.alias("_lines"))
+    # Paragraphs stand between empty lines; a text of one paragraph has none beside itself.
+    marked = F.array_join(F.transform("_lines", lambda line: F.when(line == "", "\n").otherwise(line)), " ")
+    whole = _joined(F.col("_lines"))
+    paragraphs = F.when(
+        F.array_contains("_lines", ""), F.transform(F.split(marked, "\n"), lambda p: F.trim(p))
+    ).otherwise(F.array().cast("array<string>"))
+    units = units.select("doc_id", "_text", "_lines", whole.alias("_whole"), paragraphs.alias("_paragraphs"))
+    every = F.array_distinct(F.concat("_lines", "_paragraphs", F.array("_whole")))
+    digests = (
+        units.select("doc_id", "_text", "_whole", F.explode(every).alias("_unit"))
+        .where(F.col("_unit") != "")
+        .select(
+            "doc_id",
+            "_text",
+            (F.col("_unit") == F.col("_whole")).alias("_is_whole"),
+            F.sha2("_unit", 256).alias("digest"),
+        )
     )
     hits = (
         digests.join(known, "digest")
@@ -142,8 +152,3 @@ def license_scan(
     return ids.join(hits, same, "left").select(
         "doc_id", "whole_license", "licenses", F.coalesce("n_units", F.lit(0)).alias("n_units")
     )
-
-
-def _kept_lines(text: Column) -> Column:
-    kept = F.filter(F.split(text, "\n"), lambda line: ~_copyright(line))
-    return F.trim(F.regexp_replace(F.array_join(kept, " "), " +", " "))

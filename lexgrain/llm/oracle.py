@@ -13,42 +13,42 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _spelled(words: str) -> str:
+def _kept(text: str) -> str:
+    """Canonical lines of a text as a list."""
+    words = f"regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    words = f"(' ' || replace({words}, chr(10), ' ' || chr(10) || ' ') || ' ')"
     for other, usual in EQUIVALENT:
         words = f"replace({words}, ' {other} ', ' {usual} ')"
-    return words
-
+    copyright = "'^(copyright |copr |c \\d{4}\\b|all rights reserved$)'"
+    trimmed = f"list_transform(string_split({words}, chr(10)), lambda l: trim(l))"
+    return f"list_filter({trimmed}, lambda l: NOT regexp_matches(l, {copyright}))"
 
-def _plain(text: str) -> str:
-    return f"regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
 
-
-def _kept(text: str) -> str:
-    copyright = "'^ ?(copyright |copr |c \\d{4}\\b|all rights reserved ?$)'"
-    kept = f"list_filter(string_split({text}, chr(10)), lambda l: NOT regexp_matches(l, {copyright}))"
-    return f"trim(regexp_replace(array_to_string({kept}, ' '), ' +', ' ', 'g'))"
+def _joined(lines: str) -> str:
+    return f"trim(regexp_replace(array_to_string({lines}, ' '), ' +', ' ', 'g'))"
 
 
 LICENSES = f"""
     WITH known_texts(i, license, text) AS (
         VALUES {", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate(KNOWN))}
     ), known AS (
-        SELECT arg_min(license, i) AS license, trim({_spelled("' ' || unit || ' '")}) AS unit
-        FROM (SELECT i, license, {_kept(_plain("text"))} AS unit FROM known_texts) GROUP BY 2
+        SELECT arg_min(license, i) AS license, {_joined(_kept("text"))} AS unit FROM known_texts GROUP BY 2
     ), plain AS (
-        SELECT doc_id, {_plain("coalesce(text, '')")} AS p FROM documents
+        SELECT doc_id, {_kept("coalesce(text, '')")} AS lines FROM documents
     ), units AS (
-        SELECT doc_id, {_kept("p")} AS whole,
+        SELECT doc_id, {_joined("lines")} AS whole,
                unnest(list_distinct(list_concat(
-                   list_transform(string_split(p, chr(10)), lambda l: trim(l)),
-                   list_transform(string_split_regex(p, '\\n ?\\n[\\n ]*'), lambda q: {_kept("q")}),
-                   [{_kept("p")}]))) AS unit
+                   lines,
+                   CASE WHEN list_contains(lines, '') THEN list_transform(
+                       string_split(array_to_string(list_transform(lines, lambda l: CASE WHEN l = '' THEN chr(10) ELSE l END), ' '), chr(10)),
+                       lambda q: trim(q)) ELSE [] END,
+                   [{_joined("lines")}]))) AS unit
         FROM plain
     ), hits AS (
         SELECT doc_id, max(license) FILTER (WHERE u.unit = u.whole) AS whole_license,
                string_agg(DISTINCT license, ',' ORDER BY license) AS licenses,
                count(DISTINCT k.unit) AS n_units
-        FROM units u JOIN known k ON trim({_spelled("' ' || u.unit || ' '")}) = k.unit
+        FROM units u JOIN known k ON u.unit = k.unit
         WHERE u.unit <> '' GROUP BY doc_id
     )
     SELECT doc_id, whole_license, licenses, coalesce(n_units, 0) AS n_units
