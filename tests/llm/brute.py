@@ -100,3 +100,43 @@ def components(rows):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+def _units(text):
+    """``(start, end, words)`` of the units of a text that have words."""
+    raw, hard = [0], {0, len(text)}
+    for at, c in enumerate(text):
+        if c == "\n":
+            raw.append(at + 1)
+            hard.add(at + 1)
+        elif c in ".!?" and text[at + 1 : at + 2] in (" ", "\t") and at + 1 < len(text):
+            raw.append(at + 1)
+    raw = sorted({*raw, len(text)})
+    kept = [0]
+    for a, b in zip(raw, raw[1:], strict=False):
+        if b in hard or len(WORDS6.findall(low(text[a:b]))) >= 5:
+            kept.append(b)
+    spans = zip(kept, kept[1:], strict=False)
+    found = [(a, b, tuple(WORDS6.findall(low(text[a:b])))) for a, b in spans]
+    return [u for u in found if u[2]]
+
+
+def passages(rows, least_words=20):
+    """``(doc_id, start, end, n_units, n_words, first_doc_ids)`` for unique ids."""
+    first = {}
+    units = {i: _units(t or "") for i, t in rows}
+    for i in sorted(units):
+        for a, _, words in units[i]:
+            first.setdefault(words, (i, a))
+    out = []
+    for i, found in units.items():
+        run = []
+        for unit in [*found, None]:
+            if unit and first[unit[2]] != (i, unit[0]):
+                run.append(unit)
+                continue
+            if run and sum(len(w) for *_, w in run) >= least_words:
+                ids = sorted({first[w][0] for *_, w in run})
+                out.append((i, run[0][0], run[-1][1], len(run), sum(len(w) for *_, w in run), ids))
+            run = []
+    return out

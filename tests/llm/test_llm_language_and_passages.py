@@ -2,12 +2,13 @@ import re
 import re
 import zlib
 
+import brute
 import pytest
 from conftest import words
 
 import corpus_pipeline
 from lexgrain.llm.language_id import keep_known_languages, languages, train
-from lexgrain.llm.queries import op8_language_id
+from lexgrain.llm.queries import op8_language_id, op9_substring_dedup, op10_near_dedup
 from lexgrain.llm.substring_dedup import repeated_passages, without_repeats
 
 
@@ -129,8 +130,36 @@ def test_pipeline_stages_keep_and_drop_what_they_should(spark, make, tables):
     assert {r["doc_id"] for r in packed.collect()} == {2, 3, 5}
 
 
-def test_pipeline_runs(spark, tables):
-    rows = corpus_pipeline.run(spark, tables).collect()
-    assert rows and sum(r["length"] for r in rows) == sum(
-        {r["doc_id"]: r["doc_tokens"] for r in rows}.values()
-    )
+def documents(spark, tables):
+    rows = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").collect()
+    return [tuple(r) for r in rows]
+
+
+def test_passage_query_matches_brute_force(spark, tables):
+    expected = sorted(brute.passages(documents(spark, tables)))
+    assert expected and sorted(map(tuple, op9_substring_dedup(spark, tables).collect())) == expected
+
+
+def test_near_query_matches_brute_force(spark, tables):
+    expected = brute.components(documents(spark, tables))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op10_near_dedup(spark, tables).collect()}
+    assert got == expected
+
+
+def test_pipeline_matches_brute_force(spark, tables):
+    """All stages but the language model's scores, from its own query, in plain Python."""
+    predicted = op8_language_id(spark, tables).collect()
+    known = {r["doc_id"] for r in predicted if r["lang_pred"] != "und" and r["score"] >= 0.3}
+    rows = [r for r in documents(spark, tables) if r[0] in known]
+    stay = {i for i, _, _, kept, _ in brute.exact(rows) if kept}
+    rows = [r for r in rows if r[0] in stay]
+    named = brute.components(rows)
+    rows = [r for r in rows if named[r[0]][1] == r[0]]
+    items = spark.read.parquet(f"{tables}/benchmark.parquet").select("item_id", "text").collect()
+    bad = {i for i, *_, contaminated in brute.contamination(rows, [tuple(r) for r in items]) if contaminated}
+    packed = corpus_pipeline.run(spark, tables).collect()
+    lengths = {}
+    for r in packed:
+        lengths[r["doc_id"]] = lengths.get(r["doc_id"], 0) + r["length"]
+    assert bad and set(lengths) == {i for i, _ in rows} - bad
+    assert all(lengths[r["doc_id"]] == r["doc_tokens"] for r in packed)
