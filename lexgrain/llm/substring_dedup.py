@@ -19,6 +19,8 @@ from lexgrain.llm.arrow_text import mixed, shards, span_hashes, utf8, word_spans
 
 LEAST_WORDS = 20
 LEAST_UNIT_WORDS = 5
+#: Hashing holds about 60 bytes for each byte of a shard.
+_SHARD_BYTES = 2 << 20
 UNITS = (
     "high bigint, low bigint, doc_id bigint, text_key bigint, unit int, start bigint, end bigint, "
     "words int"
@@ -84,7 +86,7 @@ def units_of(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for shard in shards(batches):
+    for shard in shards(batches, most_bytes=_SHARD_BYTES):
         found = units_of(shard.column("text"))
         yield pa.RecordBatch.from_arrays(
             [
