@@ -129,23 +129,32 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def fit(counts: np.ndarray, labels: list[str], idf: np.ndarray, settings: LanguageSettings) -> LanguageModel:
+def _sparse_tf_idf(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    values = np.log1p(counts) * idf[at]
+    return values / max(float(np.linalg.norm(values)), 1e-12)
+
+
+def fit(
+    rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], idf: np.ndarray, settings: LanguageSettings
+) -> LanguageModel:
+    """``rows`` are the buckets of each text and their counts."""
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels], np.int64)
-    features = tf_idf(counts, idf)
-    features = np.concatenate([features, np.ones((len(y), 1), np.float32)], axis=1)
+    features = [
+        (np.append(at, settings.buckets), np.append(_sparse_tf_idf(at, counts, idf), 1.0))
+        for at, counts in rows
+    ]
     order = np.random.default_rng(0).permutation(len(y))
     kept_back = order[:: settings.held_back] if len(y) >= 10 * settings.held_back else order[:0]
     training = np.setdiff1d(order, kept_back)
-    model = FtrlClassifier(len(languages), features.shape[1], settings)
+    model = FtrlClassifier(len(languages), settings.buckets + 1, settings)
     for seed in range(settings.passes):
         for row in np.random.default_rng(seed + 1).permutation(training).tolist():
-            at = np.flatnonzero(features[row])
-            model.step(at, features[row, at].astype(np.float64), y[row])
-    weights = model.weights().astype(np.float32)
-    return LanguageModel(
-        languages, idf, weights, _temperature(features[kept_back] @ weights.T, y[kept_back]), settings
-    )
+            model.step(*features[row], y[row])
+    weights = model.weights()
+    logits = np.array([weights[:, at] @ values for at, values in (features[i] for i in kept_back)])
+    temperature = _temperature(logits, y[kept_back])
+    return LanguageModel(languages, idf, weights.astype(np.float32), temperature, settings)
 
 
 def predict(texts: pa.Array, model: LanguageModel | None) -> tuple[list[str], np.ndarray]:
@@ -233,12 +242,11 @@ def train(
         else:
             df[row["bucket"]] = row["rows"]
     idf = np.log((1 + n) / (1 + df)) + 1
-    counts = np.zeros((len(seen), settings.buckets), np.float32)
     ids = sorted(seen)
-    for i, doc_id in enumerate(ids):
-        at, values = seen[doc_id]
-        counts[i, np.frombuffer(at, np.int32)] = np.frombuffer(values, np.float32)
-    return fit(counts, [chosen[i] for i in ids], idf.astype(np.float32), settings)
+    sample_rows = [
+        (np.frombuffer(at, np.int32), np.frombuffer(counts, np.float32)) for at, counts in map(seen.get, ids)
+    ]
+    return fit(sample_rows, [chosen[i] for i in ids], idf.astype(np.float32), settings)
 
 
 _PARTIAL = "bucket bigint, rows bigint, doc_id bigint, at binary, counts binary"
