@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text handled at once inside a task; a longer text is handled alone.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +43,7 @@ def shards(
             end = max(begin + 1, int(np.searchsorted(total, done + most_bytes, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+            pa.default_memory_pool().release_unused()
 
 
 def row_of(offsets: np.ndarray, positions: np.ndarray) -> np.ndarray:
@@ -76,12 +77,14 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     """64-bit hash of each ``values[start:end]``, a polynomial of an odd base modulo 2**64."""
     global _POWERS, _INVERSES
     n = len(values) + 1
-    if len(_POWERS) < n:
-        _POWERS = _powers(_BASE, n)
-        _INVERSES = _powers(pow(_BASE, -1, 1 << 64), n)
+    powers, inverses = _POWERS, _INVERSES
+    if len(powers) < n:
+        powers, inverses = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+        if n <= SHARD_BYTES + 1:  # those of a longer text would stay for the life of the worker
+            _POWERS, _INVERSES = powers, inverses
     sums = np.zeros(n, np.uint64)
-    np.cumsum(values * _POWERS[: n - 1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * _INVERSES[starts])
+    np.cumsum(values * powers[: n - 1], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverses[starts])
 
 
 def word_spans(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

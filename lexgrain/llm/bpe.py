@@ -8,7 +8,7 @@ pieces can be encoded one by one and the result is that of the whole text.
 from __future__ import annotations
 
 import json
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ _MAY_BE_SPACE = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]
 #: libraries class characters alike (tested), above they may follow different Unicode versions.
 _FIRST_FOREIGN_BYTE = 0xE2
 #: Text encoded at once; the larger, the more often its pieces repeat.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def _byte_of() -> dict[str, int]:
@@ -41,9 +41,8 @@ class ByteBpe:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -61,6 +60,13 @@ class ByteBpe:
             special_tokens={},
         )
 
+    @cached_property
+    def library(self):
+        """The tokenizer library, loaded when a piece needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @cached_property
     def lengths(self) -> np.ndarray:
         """Bytes of each token."""
@@ -121,6 +127,12 @@ class ByteBpe:
         return ids[take], np.concatenate([[0], ends])[rows]
 
 
+@cache
+def loaded_bpe(path: str) -> ByteBpe:
+    """One encoder for all tasks of a Python worker."""
+    return ByteBpe(path)
+
+
 def distinct_pieces(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """``(codes, dictionary, rows)``: the pieces of all texts as codes of distinct pieces.
 

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrain.llm.bpe import ByteBpe
+from lexgrain.llm.bpe import loaded_bpe
 from lexgrain.llm.decontaminate import contamination
 from lexgrain.llm.exact_dedup import exact_groups
 from lexgrain.llm.language_id import languages, train
@@ -37,7 +37,7 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(_table(spark, folder, "documents"), partial(ByteBpe, vocabulary_path()), end_id=0)
+    return pack(_table(spark, folder, "documents"), partial(loaded_bpe, vocabulary_path()), end_id=0)
 
 
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:

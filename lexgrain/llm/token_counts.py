@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrain.llm.arrow_text import shards, utf8
-from lexgrain.llm.bpe import BATCH_BYTES, PATTERN, ByteBpe, distinct_pieces
+from lexgrain.llm.bpe import BATCH_BYTES, PATTERN, ByteBpe, distinct_pieces, loaded_bpe
 
 COUNTS = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 
@@ -38,11 +38,6 @@ def proven_tokens(path: str) -> list[bytes]:
     return [t.encode() for (i, t), e in zip(strings.items(), encoded, strict=True) if e.ids == [i]]
 
 
-@cache
-def _bpe(path: str) -> ByteBpe:
-    return ByteBpe(path)
-
-
 @cache
 def _pretoken_pattern():
     import regex
@@ -108,7 +103,7 @@ def token_counts(
     proven = spark.sparkContext.broadcast(proven_tokens(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, known = _bpe(path), pa.array(proven.value, pa.large_binary())
+        bpe, known = loaded_bpe(path), pa.array(proven.value, pa.large_binary())
         for shard in shards(batches, most_bytes=BATCH_BYTES):
             codes, dictionary, rows = distinct_pieces(shard.column("text"))
             totals = np.concatenate([[0], np.cumsum(count_pieces(dictionary, known, bpe)[codes])])
