@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from lexgrain.llm.bpe import ByteBpe  # noqa: E402
+from lexgrain.llm.bpe import loaded_bpe  # noqa: E402
 from lexgrain.llm.decontaminate import drop_contaminated  # noqa: E402
 from lexgrain.llm.exact_dedup import drop_exact_duplicates  # noqa: E402
 from lexgrain.llm.language_id import keep_known_languages, train  # noqa: E402
@@ -51,7 +51,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the remaining documents in sequences of 1024 tokens."""
     ship_package(spark)
-    return pack(docs, partial(ByteBpe, vocabulary_path()), end_id=0)
+    return pack(docs, partial(loaded_bpe, vocabulary_path()), end_id=0)
 
 
 STAGES = [
