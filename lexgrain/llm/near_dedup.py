@@ -176,64 +176,81 @@ class ListRows:
     keys: list[np.ndarray]
 
 
+def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """Parts as numbers of their distinct values, one row each; the last number is for filling."""
+    _, numbers = np.unique(np.concatenate(parts), return_inverse=True)
+    fill = int(numbers.max()) + 1
+    sizes = np.array([len(p) for p in parts])
+    table = np.full((len(parts), sizes.max()), fill, np.int32)
+    table[np.arange(sizes.max()) < sizes[:, None]] = numbers
+    return table, fill
+
+
 def compare_list(rows: ListRows, key: int, two_blocks: bool, s: NearSettings) -> Iterator[tuple[int, int, bool]]:
     """Links and likely links between members of different components of one list.
 
     ``values`` are whole sets or their ``list_values`` smallest elements.  Up to the smaller of the
     two largest retained values both are complete, which makes their part of the union a sketch.
     A pair that meets in several lists is compared in the one with the smallest key only.
+
+    Before values are compared, a bound rules pairs out: with a pivot set P, two sets x and y have at
+    most ``min(|x & P|, |y & P|) + min(|x - P|, |y - P|)`` values in common.  The pivot is what more
+    than half of the members have, so in a group of near copies it stands for their original.
     """
     reps, sizes, comps, values = rows.reps, rows.sizes, rows.comps, rows.values
-    flat_keys = np.concatenate(rows.keys)
-    key_begins = np.cumsum([0] + [len(k) for k in rows.keys])[:-1]
     limit = s.numerator / s.denominator
-    names, codes = np.unique(comps, return_inverse=True)
+
+    def least_common(union):
+        return limit * union - s.list_deviations * np.sqrt(limit * (1 - limit) * union)
+
+    codes = np.unique(comps, return_inverse=True)[1]
     main = np.bincount(codes).argmax()
-    flat = np.concatenate(values)
-    begins = np.cumsum([0] + [len(v) for v in values])
-    _, ids = np.unique(flat, return_inverse=True)
-    mark = np.zeros(ids.max() + 1, np.int64)
-    whole = np.array([len(v) for v in values]) == sizes
+    table, fill = _padded(values)
+    keys, no_key = _padded(rows.keys)
+    this_key = int(np.searchsorted(np.unique(np.concatenate(rows.keys)), key))
+    held = np.array([len(v) for v in values])
+    whole = held == sizes
     top = np.where(whole, np.iinfo(np.uint64).max, [v[-1] for v in values])
+    pivot = np.bincount(table.ravel(), minlength=fill + 1) * 2 > len(values)
+    pivot[fill] = False
+    central = pivot[table].sum(axis=1)
+    has, has_key = np.zeros(fill + 1, bool), np.zeros(no_key + 1, bool)
     for x in np.flatnonzero(codes != main).tolist():
         others = (codes != codes[x]) & (
             s.denominator * np.minimum(sizes, sizes[x]) >= s.numerator * np.maximum(sizes, sizes[x])
         )
         if two_blocks:  # pairs of one block have a group of their own
             others &= rows.blocks != rows.blocks[x]
-        if not others.any():
-            continue
-        shared = np.isin(flat_keys, rows.keys[x])
-        first_met = np.minimum.reduceat(np.where(shared, flat_keys, np.iinfo(np.int64).max), key_begins)
-        others &= first_met == key
-        if two_blocks:  # pairs of one block have a group of their own
-            others &= rows.blocks != rows.blocks[x]
-        if not others.any():
+        sure = whole & whole[x]
+        most = np.minimum(central, central[x]) + np.minimum(held - central, held[x] - central[x])
+        exact = s.numerator * (sizes + sizes[x]) / (s.numerator + s.denominator)
+        others &= most >= np.where(sure, exact - 1e-6, least_common(s.list_values))
+        ys = np.flatnonzero(others)
+        if not len(ys):
             continue
-        shared = np.isin(flat_keys, rows.keys[x])
-        first_met = np.minimum.reduceat(np.where(shared, flat_keys, np.iinfo(np.int64).max), key_begins)
-        others &= first_met == key
-        if not others.any():
+        mine = keys[x][keys[x] != no_key]
+        has_key[mine] = True
+        first_met = np.where(has_key[keys[ys]], keys[ys], no_key).min(axis=1)
+        has_key[mine] = False
+        ys = ys[first_met == this_key]
+        if not len(ys):
             continue
-        mine = ids[begins[x] : begins[x + 1]]
-        mark[mine] = 1
-        common = np.add.reduceat(mark[ids], begins[:-1])
-        mark[mine] = 0
-        reach = np.minimum(top, top[x])
-        of_x = np.searchsorted(values[x], reach, side="right")
-        of_y = np.diff(begins)
-        if top[x] < top.max():
-            of_y = np.where(top <= top[x], of_y, np.add.reduceat(flat <= top[x], begins[:-1]))
+        mine = table[x][table[x] != fill]
+        has[mine] = True
+        common = has[table[ys]].sum(axis=1)
+        has[mine] = False
+        of_x = np.searchsorted(values[x], np.minimum(top[ys], top[x]), side="right")
+        of_y = held[ys].copy()
+        for i in np.flatnonzero(top[ys] > top[x]).tolist():
+            of_y[i] = np.searchsorted(values[ys[i]], top[x], side="right")
         union = of_x + of_y - common
-        sure = whole & whole[x]
-        linked = others & sure & (s.denominator * common >= s.numerator * union)
-        slack = s.list_deviations * np.sqrt(limit * (1 - limit) * union)
-        likely = others & ~sure & (common >= limit * union - slack)
+        linked = sure[ys] & (s.denominator * common >= s.numerator * union)
+        likely = ~sure[ys] & (common >= least_common(union))
         # One link to each other component is enough to join it.
-        firsts = np.unique(codes[linked], return_index=True)[1]
-        for y in np.flatnonzero(linked)[firsts].tolist():
+        firsts = np.unique(codes[ys[linked]], return_index=True)[1]
+        for y in ys[linked][firsts].tolist():
             yield int(reps[x]), int(reps[y]), True
-        for y in np.flatnonzero(likely).tolist():
+        for y in ys[likely].tolist():
             yield int(reps[x]), int(reps[y]), False
 
 
