@@ -40,24 +40,33 @@ class _Node:
 
 
 class _Spilled:
-    """A subtree on disk: the rest of each string below its parent, with its value."""
+    """A subtree on disk: the rest of each string below its parent, with its value.
 
-    __slots__ = ("file",)
+    Files of subtrees that were spilled further down before stay, with the path to them.
+    """
+
+    __slots__ = ("file", "below")
 
     def __init__(self):
         self.file = tempfile.TemporaryFile()
+        self.below: list[tuple[bytes, object]] = []
 
     def add(self, rest: bytes, value) -> None:
         pickle.dump((rest, value), self.file, protocol=pickle.HIGHEST_PROTOCOL)
 
+    def take(self, path: bytes, other: _Spilled) -> None:
+        self.below += [(path + p, f) for p, f in [(b"", other.file), *other.below]]
+
     def read(self) -> Iterator[tuple[bytes, object]]:
-        self.file.seek(0)
-        while True:
-            try:
-                yield pickle.load(self.file)
-            except EOFError:
-                self.file.close()
-                return
+        for path, file in [(b"", self.file), *self.below]:
+            file.seek(0)
+            while True:
+                try:
+                    rest, value = pickle.load(file)
+                except EOFError:
+                    file.close()
+                    break
+                yield path + rest, value
 
 
 def _shared(a: bytes, b: bytes, at: int) -> int:
@@ -131,8 +140,11 @@ class PatriciaTrie:
             return
         first = max(sizes, key=sizes.__getitem__)
         spilled = _Spilled()
-        for string, value in _strings(node.children[first]):
-            spilled.add(string, value)
+        for string, found in _strings(node.children[first]):
+            if isinstance(found, _Spilled):
+                spilled.take(string, found)
+            else:
+                spilled.add(string, found)
         node.children[first] = spilled
         self.size -= sizes[first]
         self.spills += 1
@@ -165,13 +177,18 @@ def _weight(node: _Node) -> int:
 
 
 def _strings(node: _Node) -> Iterator[tuple[bytes, object]]:
+    """Each string with its value, and the path to each spilled subtree with that subtree."""
     stack = [(node, b"")]
     while stack:
         node, prefix = stack.pop()
         string = prefix + node.label
         if node.value is not None:
             yield string, node.value
-        stack += [(child, string) for child in node.children.values() if isinstance(child, _Node)]
+        for child in node.children.values():
+            if isinstance(child, _Spilled):
+                yield string, child
+            else:
+                stack.append((child, string))
 
 
 def _better(keep: str) -> Callable:
@@ -220,19 +237,24 @@ def _owner_tries(keep: str, limit: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie(lambda a, b: (*a[:2], better(a[2], b[2]), a[3] + b[3]), limit)
+        left = 0
         for batch in batches:
             rows = zip(*(batch.column(k).to_pylist() for k in _OWNED_ARROW.names), strict=True)
             for body, value in zip(batch.column("body").to_pylist(), rows, strict=True):
                 trie.insert(body, value)
+                left += value[3]
         waiting, seen = [], set()
         for value in trie.drain():
             if value[0] in seen:
                 raise ValueError("two different texts have one SHA-256 digest")
             seen.add(value[0])
+            left -= value[3]
             waiting.append(value)
             if len(waiting) == 10_000:
                 yield _owned(waiting)
                 waiting = []
+        if left:
+            raise ValueError(f"{left} rows of an owner have no group")
         if waiting:
             yield _owned(waiting)
 
@@ -289,14 +311,16 @@ def exact_groups(
     has none; repeated rows count in ``group_size`` and, where their id stays, are all kept.  An
     empty table gives no row.  The digest only carries a group's result back to its rows, it never
     decides equality; the join has one row on the side of the groups, so a hot group can be split.
+    A row whose digest finds no group is an error.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     digests = rows.mapInArrow(_digests, "doc_id bigint, digest binary, n_bytes bigint")
     groups = text_groups(docs, keep, id_column, text_column, trie_bytes)
-    return digests.join(groups, ["digest", "n_bytes"]).select(
+    lost = F.raise_error(F.lit("a text has no group")).cast("bigint")
+    return digests.join(groups, ["digest", "n_bytes"], "left").select(
         "doc_id",
         "keep_id",
-        "group_size",
+        F.coalesce("group_size", lost).alias("group_size"),
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )

@@ -1,11 +1,13 @@
 import random
 
 import brute
+import pyarrow as pa
+import pytest
 from conftest import words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexgrain.llm.exact_dedup import PatriciaTrie, drop_exact_duplicates, exact_groups
+from lexgrain.llm.exact_dedup import PatriciaTrie, _owner_tries, drop_exact_duplicates, exact_groups
 from lexgrain.llm.near_dedup import NearSettings, drop_near_duplicates, near_groups
 
 
@@ -32,6 +34,33 @@ def test_trie_spills_subtrees_and_strings_with_a_long_common_start():
     assert sorted(trie.drain()) == [2] * 500
 
 
+def test_trie_spills_above_a_spilled_subtree():
+    trie = PatriciaTrie(lambda a, b: a, 300)
+    strings = [b"\x00\x00", b"\x00\x01", b"\x01"]
+    for s in strings:
+        trie.insert(s, s)
+    assert trie.spills > 1 and sorted(trie.drain()) == strings
+
+
+def test_trie_keeps_strings_while_their_common_start_shrinks():
+    trie = PatriciaTrie(lambda a, b: a + b, 2000)
+    strings = [b"p" * k + b"%d" % i for k in range(60, -1, -1) for i in range(12)]
+    for s in strings + strings[::3]:
+        trie.insert(s, 1)
+    assert trie.spills > 1
+    assert sorted(trie.drain()) == [1] * (len(strings) - len(strings[::3])) + [2] * len(strings[::3])
+
+
+def test_owner_fails_when_rows_are_lost(monkeypatch):
+    batch = pa.record_batch(
+        {"digest": [b"a", b"b"], "n_bytes": [1, 1], "keep_id": [1, 2], "group_size": [1, 1], "body": [b"a", b"b"]}
+    )
+    assert sum(b.num_rows for b in _owner_tries("smallest", 1 << 20)(iter([batch]))) == 2
+    monkeypatch.setattr(PatriciaTrie, "drain", lambda trie: iter([(b"a", 1, 1, 1)]))
+    with pytest.raises(ValueError, match="no group"):
+        list(_owner_tries("smallest", 1 << 20)(iter([batch])))
+
+
 def test_exact_groups_match_brute_force(make, edge_rows):
     for keep, pick in (("largest", max), ("smallest", min)):
         expected = sorted(brute.exact(edge_rows, pick), key=repr)
