@@ -1,7 +1,7 @@
 """Repeated passages by line hashing.
 
-Texts are cut into units: lines, and sentences of some length within lines.  Units are normalised to their words in
-lower case and hashed.  Digests are grouped over the whole corpus; of equal units the earliest by
+Texts are cut into units: lines, and sentences within lines.  Each is normalised to its words in
+lower case and hashed, whatever stands before or after it.  Digests are grouped over the whole corpus; of equal units the earliest by
 document id and place stays.  Repeated units that follow each other form a passage, and passages of
 at least ``least_words`` words are removed.  Offsets always refer to the original text.
 """
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from lexgrain.llm.arrow_text import mixed, shards, span_hashes, utf8, word_spans
 
 LEAST_WORDS = 20
-LEAST_UNIT_WORDS = 5
 #: Hashing holds about 60 bytes for each byte of a shard.
 _SHARD_BYTES = 2 << 20
 UNITS = (
@@ -42,20 +41,12 @@ def units_of(texts: pa.Array) -> dict[str, np.ndarray]:
     is_word = _IS_WORD[low]
     starts, _ = word_spans(is_word, offsets)
     # A unit ends after a line break and after a sentence mark that white space follows.
-    # A sentence of few words is no unit: it goes with what follows in its line.
     cut = np.zeros(n + 1, bool)
     if n > 1:
         space = (flat[1:] == 0x20) | (flat[1:] == 0x09)
         cut[1:-1] = _ENDS_SENTENCE[flat[:-1]] & space
-        hard = np.append(offsets, np.flatnonzero(flat == 0x0A) + 1)
-        cut[hard] = True
-        places = np.flatnonzero(cut)
-        words_at = np.searchsorted(starts, places)
-        short = np.diff(words_at, prepend=0) < LEAST_UNIT_WORDS
-        cut[places[short]] = False
-        cut[hard] = True
-    else:
-        cut[offsets] = True
+        cut[1:] |= flat == 0x0A
+    cut[offsets] = True
     borders = np.flatnonzero(cut)
     begin, end = borders[:-1], borders[1:]
     # Only word bytes are hashed; the first byte of a word is marked, so spaces need no byte.
