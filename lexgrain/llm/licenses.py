@@ -69,16 +69,27 @@ def _plain(text: Column) -> Column:
     return words
 
 
+#: Fixed: words after "copyright" in a sentence of a licence, where a notice has a sign, year or name.
+NO_NOTICE = (
+    "and as at act be doctrine doctrines disclaimer for from holder holders if in infringement interest "
+    "interests is law laws license licenses like management may notice notices of on or owner owners "
+    "ownership permission protection right rights statement statements status that to treaties treaty "
+    "under which with"
+).split()
+_NOTICE = rf"^(copyright (c |\d{{4}}\b|(?!({'|'.join(NO_NOTICE)})\b))|copr |c \d{{4}}\b)"
+
+
 def _kept_lines(lines: Column) -> Column:
-    """Trimmed lines without copyright lines."""
+    """Trimmed lines without copyright lines.
+
+    A wrapped sentence may have "copyright" at the start of a line, as in "copyright notice"; that is
+    no copyright line.
+    """
     trimmed = F.transform(lines, lambda line: F.trim(line))
     return F.filter(
         trimmed,
         lambda line: ~(
-            F.startswith(line, F.lit("copyright "))
-            | F.startswith(line, F.lit("copr "))
-            | (F.startswith(line, F.lit("c ")) & line.rlike(r"^c \d{4}\b"))
-            | (line == "all rights reserved")
+            (F.startswith(line, F.lit("c")) & line.rlike(_NOTICE)) | (line == "all rights reserved")
         ),
     )
 
