@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexgrain.llm.license_texts import complete_texts
+
 #: Fixed: spellings that count as the same word, after lower-casing.
 EQUIVALENT = (
     ("licence", "license"),
@@ -32,7 +34,7 @@ EQUIVALENT = (
     ("https", "http"),
 )
 
-#: Fixed: public licence texts and notices by their usual short names.
+#: Fixed: short notices and first paragraphs by the usual short names of their licences.
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -71,11 +73,11 @@ def _plain(text: Column) -> Column:
 
 #: Fixed: words after "copyright" in a sentence of a licence, where a notice has a sign, year or name.
 NO_NOTICE = (
-    "and as at act be doctrine doctrines disclaimer for from holder holders if in infringement interest "
-    "interests is law laws license licenses like management may notice notices of on or owner owners "
-    "ownership permission protection right rights statement statements status that to treaties treaty "
+    "also and are as at act be doctrine doctrines disclaimer for from holder holders if in infringement interest "
+    "interests is law laws license licenses like line lines management may notice notices of on or owner owners "
+    "ownership patent permission protection right rights statement statements status that those to treaties treaty "
     "under which with"
-).split()
+).split() + ["the library", "the software"]
 _NOTICE = rf"^(copyright (c |\d{{4}}\b|(?!({'|'.join(NO_NOTICE)})\b))|copr |c \d{{4}}\b)"
 
 
@@ -104,8 +106,12 @@ def canonical_digest(text: Column) -> Column:
     return F.when(joined != "", F.sha2(joined, 256))
 
 
-def known_licenses(spark: SparkSession, texts=KNOWN) -> DataFrame:
-    """``(digest, license)``; the first name stays where two texts have one canonical form."""
+def known_licenses(spark: SparkSession, texts=None) -> DataFrame:
+    """``(digest, license)``; the first name stays where two texts have one canonical form.
+
+    Without ``texts`` these are the notices of ``KNOWN`` and the complete texts and headers.
+    """
+    texts = [*KNOWN, *complete_texts()] if texts is None else texts
     rows = [(i, name, text) for i, (name, text) in enumerate(texts)]
     table = spark.createDataFrame(rows, "i int, license string, text string")
     return (

@@ -1,5 +1,9 @@
+import re
+import textwrap
+
 import pytest
 
+from lexgrain.llm.license_texts import complete_texts
 from lexgrain.llm.licenses import canonical_digest, known_licenses, license_scan
 
 ISC = """Permission to use, copy, modify, and/or distribute this software for any
@@ -24,3 +28,34 @@ def test_copyright_lines(make):
     rows = make([(i, line) for i, line in enumerate(gone + stay)])
     digests = dict(rows.select("doc_id", canonical_digest(rows["text"])).collect())
     assert [i for i in sorted(digests) if digests[i] is None] == list(range(len(gone)))
+
+
+def wrapped(text, width):
+    """Paragraphs in lines of another width; copyright lines stay lines."""
+    notice = re.compile(r".*copyright (\(c\)|\[yyyy\])", re.I)
+    out, part = [], []
+    for line in [*text.split("\n"), ""]:
+        if line.strip() and not notice.match(line):
+            part.append(line.strip())
+            continue
+        out += [*textwrap.wrap(" ".join(part), width, break_long_words=False, break_on_hyphens=False), line]
+        part = []
+    return "\n".join(out)
+
+
+def test_whole_licenses_are_found_however_they_are_wrapped(make, known):
+    texts = complete_texts()
+    assert {n for n, _ in texts} == {
+        "MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1",
+        "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense",
+    }
+    rows = [(1000 * w + i, wrapped(t, w)) for w in (40, 61, 79, 200) for i, (_, t) in enumerate(texts)]
+    got = {r["doc_id"]: r["whole_license"] for r in license_scan(make(rows), known).collect()}
+    assert [(i, texts[i % 1000][0], got[i]) for i, _ in rows if got[i] != texts[i % 1000][0]] == []
+
+
+def test_a_license_with_a_notice_of_its_own(make, known):
+    mit = next(t for n, t in complete_texts() if n == "MIT").strip()
+    rows = [(1, f"The MIT License (MIT)\n\nCopyright (c) 2020 Some Body\n\n{mit}\n"), (2, f"{mit}\n\nMore.")]
+    got = {r["doc_id"]: (r["whole_license"], r["licenses"]) for r in license_scan(make(rows), known).collect()}
+    assert got == {1: ("MIT", "MIT"), 2: (None, "MIT")}
