@@ -23,6 +23,9 @@ _MAY_BE_SPACE = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]
 #: Pieces with a byte from here on go to the tokenizer library itself: below U+2000 both
 #: libraries class characters alike (tested), above they may follow different Unicode versions.
 _FIRST_FOREIGN_BYTE = 0xE2
+#: Pieces of so many bytes go to the tokenizer library: the other one's pattern engine has a stack
+#: that a run of about a million blanks overflows.
+_LONG_PIECE = 1 << 16
 #: Text encoded at once; the larger, the more often its pieces repeat.
 BATCH_BYTES = 8 << 20
 
@@ -87,6 +90,7 @@ class ByteBpe:
         flat, offsets = utf8(pieces)
         foreign = np.concatenate([[0], np.cumsum(flat >= _FIRST_FOREIGN_BYTE)])
         alone = foreign[offsets[1:]] > foreign[offsets[:-1]]
+        alone |= np.diff(offsets) >= _LONG_PIECE
         for content in self.special:
             alone |= pc.match_substring(pieces, content).to_numpy(zero_copy_only=False)
         spaced = np.zeros(len(pieces), bool)
