@@ -203,7 +203,7 @@ def write_token_files(
     path: str,
     encoder: Callable[[], object],
     end_id: int,
-    width: int = 4,
+    width: int | None = None,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> None:
@@ -212,7 +212,7 @@ def write_token_files(
     ``encoder()`` is called once in each task, see ``pack``.  Every document is followed by
     ``end_id``, so null and empty texts are one id.  Documents follow each other by id, null ids
     first, equal ids by a hash of their text; repeated rows are written each.  ``width`` is the
-    number of bytes of an id.  An empty table gives a manifest without files.  The texts are
+    number of bytes of an id; by default 2 where the vocabulary (``size``) allows it, else 4.  An empty table gives a manifest without files.  The texts are
     shuffled once, by range; equal ids may lie in different files if their texts differ.
     """
     from lexgrain.llm.bpe import BATCH_BYTES
@@ -225,7 +225,7 @@ def write_token_files(
             if writer is None:
                 made = encoder()
                 name = f"part-{uuid.uuid4().hex}.tok"
-                writer = TokenFileWriter(f"{folder}/{name}", width)
+                writer = TokenFileWriter(f"{folder}/{name}", width or (2 if made.size <= 1 << 16 else 4))
                 first = (shard.column("doc_id")[0].as_py(), shard.column("_hash")[0].as_py())
             ids, ends = made.encode(shard.column("text"))
             marked = np.insert(ids, ends, end_id)

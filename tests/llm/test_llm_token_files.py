@@ -78,6 +78,7 @@ def test_files_hold_every_document_in_order(spark, make, edge_rows, tmp_path):
 
 def test_narrow_ids_and_small_parts(spark, make, edge_rows, tmp_path):
     write_token_files(make(edge_rows, 1).coalesce(1), f"{tmp_path}/ids", ENCODER, end_id=0, width=2)
+    assert ENCODER().size <= 1 << 16
     place = token_file_places(spark, f"{tmp_path}/ids").first()
     file = TokenFile(f"{tmp_path}/ids/{place['file']}")
     whole = [x for _, _, ids in file.batches() for x in ids.tolist()]
@@ -100,6 +101,14 @@ def test_query_matches_the_library(spark, tables):
     assert sorted(map(tuple, op12_token_files(spark, tables).collect())) == expected
 
 
+def test_width_follows_the_vocabulary(spark, make, tmp_path):
+    for width in (None, 4):
+        path = f"{tmp_path}/ids{width}"
+        write_token_files(make([(1, "some words")]), path, ENCODER, end_id=0, width=width)
+        place = token_file_places(spark, path).first()
+        assert TokenFile(f"{path}/{place['file']}").width == (width or 2)
+
+
 @pytest.mark.parametrize("unit", [" ", "\n", "\t", " \r\n", "\xa0"])
 def test_very_long_blanks(spark, make, tmp_path, unit):
     """Runs of blanks that overflow the stack of a pattern engine count as the library counts them."""
