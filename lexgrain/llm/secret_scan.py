@@ -9,23 +9,56 @@ expression.  A rule without mandatory trigrams scans every text.
 from __future__ import annotations
 
 import re._parser as regex_tree
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MOST_STRINGS = 64
+#: Sizes that are added up at once; blocks of blocks keep long lists of matches linear.
+_BLOCK = 128
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` is valid in Java and Python; a match counts if ``group`` has ``least`` characters."""
+    """``pattern`` is valid in Java and Python; a match counts if ``group`` has ``least`` characters.
+
+    Only single characters and classes may repeat without a small bound: a repeated group takes a stack frame of
+    Java's pattern engine for each repetition.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
 
+    def __post_init__(self):
+        if _repeats_group(regex_tree.parse(self.pattern)):
+            raise ValueError(f"the pattern of {self.kind} repeats a group: {self.pattern}")
+
+    @property
+    def scan(self) -> str:
+        """The pattern with its least length where that gives the same matches: one class repeated."""
+        if self.group == 0 and re_simple(self.pattern):
+            return f"{self.pattern[:-1]}{{{self.least},}}"
+        return self.pattern
+
+
+def _repeats_group(tree) -> bool:
+    """Whether something other than a character or class may occur more than once."""
+    for kind, value in tree:
+        name = str(kind)
+        if name == "SUBPATTERN" and _repeats_group(value[-1]):
+            return True
+        if name == "BRANCH" and any(map(_repeats_group, value[1])):
+            return True
+        if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            single = len(value[2]) == 1 and str(value[2][0][0]) in ("LITERAL", "NOT_LITERAL", "IN", "ANY", "CATEGORY")
+            if not single and (value[1] > 1 or _repeats_group(value[2])):
+                return True
+    return False
+
 
 #: Fixed: the kinds of the contract, in its order, then kinds of this method.
 BASE_RULES = (
@@ -38,7 +71,7 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
-MORE_RULES = (Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),)
+MORE_RULES = (Rule("private_key", r"-----BEGIN [A-Z ]{0,64}PRIVATE KEY-----"),)
 
 
 def _strings(tree) -> list[list[set[str]]]:
@@ -135,17 +168,38 @@ def candidates(spark: SparkSession, docs: DataFrame, rules: tuple[Rule, ...]) ->
     return met.groupBy("doc_id").agg(F.bit_or("rule").alias("rules"))
 
 
-def _sum_to(sizes: Column) -> Column:
-    """The sum of the elements before each element."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(
-        sizes,
-        start,
-        lambda s, size: F.struct(
-            (s["at"] + size).alias("at"), F.array_append(s["out"], s["at"]).alias("out")
-        ),
-        lambda s: s["out"],
-    )
+def _sum_to(sizes: Column, levels: int = 2) -> Column:
+    """The sum of the elements before each element.
+
+    Appending copies the list, so sizes are added up in blocks, and the totals of blocks likewise.
+    """
+    if not levels:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(
+            sizes,
+            start,
+            lambda s, size: F.struct((s["at"] + size).alias("at"), F.array_append(s["out"], s["at"]).alias("out")),
+            lambda s: s["out"],
+        )
+
+    def of_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, size: s + size))
+        inner = F.transform(blocks, lambda b: _sum_to(b, 0))
+        moved = F.zip_with(inner, _sum_to(totals, levels - 1), lambda b, at: F.transform(b, lambda x: x + at))
+        return F.flatten(moved)
+
+    def cut(sizes: Column) -> Column:
+        firsts = F.when(F.size(sizes) > 0, F.sequence(F.lit(1), F.size(sizes), F.lit(_BLOCK))).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.transform(firsts, lambda i: F.slice(sizes, i, F.lit(_BLOCK)))
+
+    return _once(sizes, lambda known: _once(cut(known), of_blocks))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often a lambda in it asks for it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def spans(text: Column, rule: Rule, order: int) -> Column:
@@ -154,8 +208,8 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
     The pieces between matches and the matches alternate, so a match starts after the lengths of
     all pieces up to it and all matches before it.
     """
-    pattern = F.lit(rule.pattern)
-    pieces = F.transform(F.split(text, rule.pattern, -1), F.char_length)
+    pattern = F.lit(rule.scan)
+    pieces = F.transform(F.split(text, rule.scan, -1), F.char_length)
     matches = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.char_length)
     groups = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.char_length)
     gaps = F.slice(pieces, F.lit(1), F.size(matches))
@@ -206,19 +260,12 @@ def find_secrets(
         if trigram_query(rule.pattern):
             open_ = F.coalesce(F.col("_rules"), F.lit(0)).bitwiseAND(F.lit(1 << order)) > 0
         else:  # one scan decides whether the spans are worth finding
-            open_ = F.col("text").rlike(_at_least(rule))
+            open_ = F.col("text").rlike(rule.scan)
         found_spans = F.when(open_, spans(F.col("text"), rule, order))
         arrays.append(F.coalesce(found_spans, F.array().cast(_NONE)))
     return joined.select("doc_id", F.array_sort(F.concat(*arrays)).alias("spans"))
 
 
-def _at_least(rule: Rule) -> str:
-    """The pattern with its final ``+`` as a minimum length, where that says the same."""
-    if rule.group == 0 and re_simple(rule.pattern):
-        return f"{rule.pattern[:-1]}{{{rule.least},}}"
-    return rule.pattern
-
-
 def re_simple(pattern: str) -> bool:
     """Whether the pattern is one character class repeated."""
     return pattern.startswith("[") and pattern.endswith("]+") and pattern.count("[") == 1

@@ -5,7 +5,7 @@ from check_oracle import compare, connect
 import __spark_entry__ as contract
 from lexgrain.llm.decontaminate import contamination, drop_contaminated
 from lexgrain.llm.licenses import known_licenses, license_scan
-from lexgrain.llm.secret_scan import BASE_RULES, Rule, find_secrets, trigram_query
+from lexgrain.llm.secret_scan import BASE_RULES, Rule, find_secrets, secret_report, trigram_query
 from lexgrain.llm.url_filter import url_verdicts
 
 SQL = {k: v for k, v in contract.oracle_sql().items() if k.startswith("op")}
@@ -112,6 +112,33 @@ def test_secrets_of_rules_without_trigrams_only(spark, make):
     assert {r["doc_id"]: [s["start"] for s in r["spans"]] for r in got} == {1: [0, 5], 2: []}
 
 
+def test_secrets_in_long_and_hostile_texts(spark, make):
+    header = "-----BEGIN RSA PRIVATE KEY-----"
+    many = 10_000_000 // (len(header) + 1)
+    texts = {
+        1: "-----BEGIN " + "A " * 1_000_000 + " PRIVATE KEY-----",
+        2: f"{header} " * many,
+        3: " " * 10_000_000 + "token = " + " " * 1000 + "abcdef",
+        4: "deadbeef " * 1_100_000,
+        5: ("0123456789abcdef" * 2 + " ") * 300_000,
+        6: "token=a " * 1_000_000 + "é token=abcdef",
+        7: "password " * 1_000_000 + "\n" * 1_000_000,
+    }
+    got = {r["doc_id"]: r for r in secret_report(spark, make(list(texts.items()), 7)).collect()}
+    spans = {i: r["spans"].split(",") if r["spans"] else [] for i, r in got.items()}
+    assert [len(spans[i]) for i in sorted(texts)] == [0, many, 1, 0, 300_000, 1, 0]
+    assert spans[2][-1] == f"private_key:{32 * (many - 1)}:{32 * many - 1}"
+    assert spans[3] == ["assign:10000000:10001014"] and spans[5][-1] == f"hex:{33 * 299_999}:{33 * 300_000 - 1}"
+    assert spans[6] == ["assign:8000002:8000014"]
+
+
+def test_rules_that_repeat_a_group_are_refused():
+    for pattern in ("(?:[A-Z]+ )*KEY", "(ab|c){2,}", "((?:x y)+)?"):
+        with pytest.raises(ValueError, match="repeats a group"):
+            Rule("x", pattern)
+    Rule("x", "(?:ab|c)?[a-z]+x{2,5}")
+
+
 def test_secret_scan_runs_no_python(spark, make, edge_rows):
     plan = find_secrets(spark, make(edge_rows))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
