@@ -8,13 +8,13 @@ texts, and every text is scored whole.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +22,7 @@ from lexgrain.llm.arrow_text import shards, utf8
 
 UNDETERMINED = "und"
 PREDICTIONS = "doc_id bigint, held_out boolean, lang_pred string, score double"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SHARD_BYTES = 4 << 20
 
 
@@ -185,18 +185,25 @@ def train(
 ) -> LanguageModel | None:
     """A model from the labelled documents that aren't held out; None if there are none.
 
-    One pass over ids and labels picks the sample by a hash of the id; one pass over the texts
+    One pass over ids and labels counts the languages, one picks the sample, the smallest hashes of ids;
+    a hash limit from the counts lets about four times the sample into the ranking, so a language
+    that most texts have is no larger group than others.  Of several labels of one id the first by
+    name counts.  One more pass over the texts
     counts the document frequencies of all labelled texts and returns the counts of the sample,
     at most ``sample_per_language`` texts of ``buckets`` numbers each.
     """
     labelled = docs.select(
         F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(label_column).alias("lang")
     ).where(F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = Window.partitionBy("lang").orderBy("_hash", "doc_id")
+    named = labelled.where(F.col("doc_id").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("_hash"))
+    share = 4.0 * settings.sample_per_language / F.count("*")
+    limits = named.groupBy("lang").agg((F.least(share, F.lit(1.0)) * 2.0**64 - 2.0**63).alias("_limit"))
     sample = (
-        labelled.where(F.col("doc_id").isNotNull())
-        .select("doc_id", "lang")
-        .distinct()
+        named.join(F.broadcast(limits), "lang")  # a row for each language
+        .where(F.col("_hash").cast("double") <= F.col("_limit"))
+        .groupBy("doc_id", "_hash")
+        .agg(F.min("lang").alias("lang"))
         .withColumn("_place", F.row_number().over(order))
         .where(F.col("_place") <= settings.sample_per_language)
     )
@@ -236,7 +243,8 @@ def train(
     df, n, seen = np.zeros(settings.buckets, np.int64), 0, {}
     for row in totals:
         if row["bucket"] is None:
-            seen.setdefault(row["doc_id"], (row["at"], row["counts"]))
+            counted = (row["at"], row["counts"])
+            seen[row["doc_id"]] = min(seen.get(row["doc_id"], counted), counted)
         elif row["bucket"] == settings.buckets:
             n = row["rows"]
         else:

@@ -1,5 +1,3 @@
-import re
-import re
 import zlib
 
 import brute
@@ -8,7 +6,7 @@ from conftest import words
 
 import corpus_pipeline
 from lexgrain.llm.language_id import keep_known_languages, languages, train
-from lexgrain.llm.queries import op8_language_id, op9_substring_dedup, op10_near_dedup
+from lexgrain.llm.queries import op8_language_id, op10_near_dedup
 from lexgrain.llm.substring_dedup import repeated_passages, without_repeats
 
 
@@ -30,15 +28,22 @@ def test_language_accuracy_on_held_out_rows(spark, tables):
 
 
 def test_languages_of_edge_cases(spark, make, edge_rows, model):
-    rows = edge_rows + [(50, "12 34 !!")]
+    rows = edge_rows + [(50, "12 34 !!"), (51, "½ ² ① Ⅷ")]
     got = {r["doc_id"]: r for r in languages(spark, make(rows), model).collect()}
-    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (3, 4, 5, 50))
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (3, 4, 5, 50, 51))
     assert got[6]["lang_pred"] in model.languages and got[None]["held_out"]
     assert languages(spark, make([]), model).count() == 0
     docs = make(rows)
     kept = keep_known_languages(spark, docs, model, 0.0)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {3, 4, 5, 50}
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {3, 4, 5, 50, 51}
+
+
+def test_training_with_ids_of_two_languages(spark, make):
+    rows = [(i, f"{' '.join(['the', 'and', 'of'] if k else ['der', 'und', 'die'])} {i}", "en" if k else "de")
+            for i in range(60) for k in (0, 1)]
+    names = [train(spark, make(rows, n)) for n in (1, 4)]
+    assert names[0].languages == names[1].languages == ["de"]
 
 
 def test_training_without_labels_or_with_one_language(spark, make):
@@ -135,11 +140,6 @@ def documents(spark, tables):
     return [tuple(r) for r in rows]
 
 
-def test_passage_query_matches_brute_force(spark, tables):
-    expected = sorted(brute.passages(documents(spark, tables)))
-    assert expected and sorted(map(tuple, op9_substring_dedup(spark, tables).collect())) == expected
-
-
 def test_near_query_matches_brute_force(spark, tables):
     expected = brute.components(documents(spark, tables))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op10_near_dedup(spark, tables).collect()}
