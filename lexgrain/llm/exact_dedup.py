@@ -10,9 +10,12 @@ the task, which is worked off, again as a trie, when the rest is done.
 from __future__ import annotations
 
 import hashlib
+import os
 import pickle
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,6 +26,7 @@ from lexgrain.llm.arrow_text import SHARD_BYTES, shards
 
 TRIE_BYTES = 96 << 20
 _NODE_BYTES = 250  # of a node beside its label
+_BUFFER_BYTES = 1 << 18
 
 _LOCAL = "digest binary, n_bytes bigint, keep_id bigint, group_size bigint, body binary"
 _OWNED = "digest binary, n_bytes bigint, keep_id bigint, group_size bigint"
@@ -42,31 +46,45 @@ class _Node:
 class _Spilled:
     """A subtree on disk: the rest of each string below its parent, with its value.
 
-    Files of subtrees that were spilled further down before stay, with the path to them.
+    Files of subtrees that were spilled further down before stay, with the path to them.  A file is
+    open only while a buffer is written or the file is read.
     """
 
-    __slots__ = ("file", "below")
+    __slots__ = ("path", "below", "waiting", "held")
 
-    def __init__(self):
-        self.file = tempfile.TemporaryFile()
-        self.below: list[tuple[bytes, object]] = []
+    def __init__(self, folder: str):
+        self.path = f"{folder}/{uuid.uuid4().hex}"
+        self.below: list[tuple[bytes, str]] = []
+        self.waiting: list[tuple[bytes, object]] = []
+        self.held = 0
 
     def add(self, rest: bytes, value) -> None:
-        pickle.dump((rest, value), self.file, protocol=pickle.HIGHEST_PROTOCOL)
+        self.waiting.append((rest, value))
+        self.held += len(rest) + _NODE_BYTES
+        if self.held >= _BUFFER_BYTES:
+            self.write()
+
+    def write(self) -> None:
+        with open(self.path, "ab") as file:
+            for row in self.waiting:
+                pickle.dump(row, file, protocol=pickle.HIGHEST_PROTOCOL)
+        self.waiting, self.held = [], 0
 
     def take(self, path: bytes, other: _Spilled) -> None:
-        self.below += [(path + p, f) for p, f in [(b"", other.file), *other.below]]
+        other.write()
+        self.below += [(path + p, f) for p, f in [(b"", other.path), *other.below]]
 
     def read(self) -> Iterator[tuple[bytes, object]]:
-        for path, file in [(b"", self.file), *self.below]:
-            file.seek(0)
-            while True:
-                try:
-                    rest, value = pickle.load(file)
-                except EOFError:
-                    file.close()
-                    break
-                yield path + rest, value
+        self.write()
+        for path, name in [(b"", self.path), *self.below]:
+            with open(name, "rb") as file:
+                while True:
+                    try:
+                        rest, value = pickle.load(file)
+                    except EOFError:
+                        break
+                    yield path + rest, value
+            os.remove(name)
 
 
 def _shared(a: bytes, b: bytes, at: int) -> int:
@@ -82,10 +100,15 @@ def _shared(a: bytes, b: bytes, at: int) -> int:
 
 
 class PatriciaTrie:
-    """Compressed radix trie of byte strings; ``merge(old, new)`` joins values of equal strings."""
+    """Compressed radix trie of byte strings; ``merge(old, new)`` joins values of equal strings.
+
+    Beyond ``limit`` bytes in memory subtrees go to files until half of it is left; a single string
+    stays.  ``folder`` is where, a temporary one of the task by default.
+    """
 
-    def __init__(self, merge: Callable, limit: int = TRIE_BYTES):
-        self.merge, self.limit = merge, limit
+    def __init__(self, merge: Callable, limit: int = TRIE_BYTES, folder: str | None = None):
+        self.merge, self.limit, self.folder = merge, limit, folder
+        self._temporary: tempfile.TemporaryDirectory | None = None
         self.root, self.size, self.strings, self.spills = _Node(b""), 0, 0, 0
 
     def insert(self, string: bytes, value) -> bool:
@@ -112,6 +135,7 @@ class PatriciaTrie:
             self.size += _NODE_BYTES
         new = node.value is None
         node.value = value if new else self.merge(node.value, value)
+        self.strings += new
         if self.size > self.limit:
             self._spill()
         return new
@@ -123,30 +147,41 @@ class PatriciaTrie:
             self._spill()
 
     def _spill(self) -> None:
-        """Move the largest subtree below the first branching to a file.
+        """Move subtrees to files: down the heaviest children, the first with half the weight or less.
 
-        It never holds all strings, so tries of spilled subtrees get smaller; a string alone stays.
+        At least one string stays outside of each, so tries of spilled subtrees get smaller.
         """
-        if self.strings < 2:
-            return
-        node = self.root
-        while True:
-            kept = [c for c in node.children.values() if isinstance(c, _Node)]
-            if len(node.children) != 1 or not kept or not kept[0].children:
-                break
-            node = kept[0]
-        sizes = {b: _weight(c) for b, c in node.children.items() if isinstance(c, _Node)}
-        if not sizes:
-            return
-        first = max(sizes, key=sizes.__getitem__)
-        spilled = _Spilled()
-        for string, found in _strings(node.children[first]):
+        weights = _weights(self.root)
+        while self.strings > 1 and 2 * self.size > self.limit:
+            path, some_outside = [self.root], False
+            while True:
+                node = path[-1]
+                inner = [c for c in node.children.values() if isinstance(c, _Node)]
+                if not inner or some_outside and 2 * weights[id(node)] <= weights[id(self.root)]:
+                    break
+                some_outside |= node.value is not None or len(node.children) > 1
+                path.append(max(inner, key=lambda c: weights[id(c)]))
+            if not some_outside:
+                return
+            self._move(path[-2], node)
+            moved = weights[id(node)]
+            self.size -= moved
+            for above in path[:-1]:
+                weights[id(above)] -= moved
+
+    def _move(self, parent: _Node, node: _Node) -> None:
+        if self.folder is None:
+            self._temporary = tempfile.TemporaryDirectory()
+            self.folder = self._temporary.name
+        spilled = _Spilled(self.folder)
+        for string, found in _strings(node):
             if isinstance(found, _Spilled):
                 spilled.take(string, found)
             else:
                 spilled.add(string, found)
-        node.children[first] = spilled
-        self.size -= sizes[first]
+                self.strings -= 1
+        spilled.write()
+        parent.children[node.label[0]] = spilled
         self.spills += 1
 
     def drain(self) -> Iterator[object]:
@@ -158,22 +193,26 @@ class PatriciaTrie:
                 yield node.value
             for child in node.children.values():
                 (files if isinstance(child, _Spilled) else stack).append(child)
-        self.root, self.size = _Node(b""), 0
+        self.root, self.size, self.strings = _Node(b""), 0, 0
         for file in files:
-            below = PatriciaTrie(self.merge, self.limit)
+            below = PatriciaTrie(self.merge, self.limit, self.folder)
             for rest, value in file.read():
                 below.insert(rest, value)
             yield from below.drain()
 
 
-def _weight(node: _Node) -> int:
-    total, stack = 0, [node]
+def _weights(root: _Node) -> dict[int, int]:
+    """Bytes of the subtree of each node in memory, by the node's ``id``."""
+    order, stack = [], [root]
     while stack:
         node = stack.pop()
-        if isinstance(node, _Node):
-            total += len(node.label) + _NODE_BYTES
-            stack += node.children.values()
-    return total
+        order.append(node)
+        stack += [c for c in node.children.values() if isinstance(c, _Node)]
+    weights: dict[int, int] = {}
+    for node in reversed(order):
+        below = sum(weights[id(c)] for c in node.children.values() if isinstance(c, _Node))
+        weights[id(node)] = len(node.label) + _NODE_BYTES + below
+    return weights
 
 
 def _strings(node: _Node) -> Iterator[tuple[bytes, object]]:
@@ -243,11 +282,8 @@ def _owner_tries(keep: str, limit: int) -> Callable:
             for body, value in zip(batch.column("body").to_pylist(), rows, strict=True):
                 trie.insert(body, value)
                 left += value[3]
-        waiting, seen = [], set()
+        waiting = []
         for value in trie.drain():
-            if value[0] in seen:
-                raise ValueError("two different texts have one SHA-256 digest")
-            seen.add(value[0])
             left -= value[3]
             waiting.append(value)
             if len(waiting) == 10_000:
@@ -311,7 +347,8 @@ def exact_groups(
     has none; repeated rows count in ``group_size`` and, where their id stays, are all kept.  An
     empty table gives no row.  The digest only carries a group's result back to its rows, it never
     decides equality; the join has one row on the side of the groups, so a hot group can be split.
-    A row whose digest finds no group is an error.
+    A row whose digest finds no group is an error; rows of two texts with one SHA-256 digest would
+    come twice.
     """
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     digests = rows.mapInArrow(_digests, "doc_id bigint, digest binary, n_bytes bigint")
@@ -329,9 +366,15 @@ def exact_groups(
 def drop_exact_duplicates(
     docs: DataFrame, keep: str = "smallest", id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` whose id stays, with all their columns."""
-    stay = (
-        text_groups(docs, keep, id_column, text_column)
-        .select(F.col("keep_id").alias("__keep_id"))
+    """One row of ``docs`` for each distinct text, with all its columns: one whose id stays.
+
+    Of rows that share id and text one stays, whichever Spark reads first; of a group without ids one
+    row without id.  Rows that share an id but not a text are judged apart.
+    """
+    stay = text_groups(docs, keep, id_column, text_column).select(
+        F.col("digest").alias("__kept_digest"), F.col("keep_id").alias("__keep_id")
     )
-    return docs.join(stay, docs[id_column].eqNullSafe(stay["__keep_id"]), "left_semi")
+    folded = F.translate(F.coalesce(F.col(text_column), F.lit("")), ascii_uppercase, ascii_lowercase)
+    marked = docs.withColumn("__digest", F.unhex(F.sha2(folded, 256))).dropDuplicates([id_column, "__digest"])
+    same = (F.col("__digest") == F.col("__kept_digest")) & F.col(id_column).eqNullSafe(F.col("__keep_id"))
+    return marked.join(stay, same, "left_semi").select(*docs.columns)
