@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,29 +63,44 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = np.ones(1, np.uint64)
-_INVERSES = np.ones(1, np.uint64)
+#: Key of the word hashes.  The corpus can't aim at a hash whose values are spread by a keyed digest.
+_KEY = b"lexgrain words"
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    steps = np.full(n, base, np.uint64)
-    steps[0] = 1
-    return np.cumprod(steps, dtype=np.uint64)
+def piece_codes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """``(codes, distinct)`` of the pieces ``flat[start:end]``, which follow each other without overlap."""
+    n = len(starts)
+    borders = np.empty(2 * n + 1, np.int64)  # pieces and what lies between them in turn
+    borders[0:-1:2], borders[1::2], borders[-1] = starts, ends, len(flat)
+    parts = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), 2 * n, [None, pa.py_buffer(borders.tobytes()), pa.py_buffer(np.ascontiguousarray(flat))]
+    )
+    encoded = pc.dictionary_encode(parts.take(pa.array(np.arange(0, 2 * n, 2))))
+    return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each ``values[start:end]``, a polynomial of an odd base modulo 2**64."""
-    global _POWERS, _INVERSES
-    n = len(values) + 1
-    powers, inverses = _POWERS, _INVERSES
-    if len(powers) < n:
-        powers, inverses = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
-        if n <= SHARD_BYTES + 1:  # those of a longer text would stay for the life of the worker
-            _POWERS, _INVERSES = powers, inverses
-    sums = np.zeros(n, np.uint64)
-    np.cumsum(values * powers[: n - 1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverses[starts])
+def piece_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each piece, as a table of two columns.
+
+    Each distinct piece goes through a keyed cryptographic digest, so no arrangement of bytes makes
+    different pieces collide.
+    """
+    codes, distinct = piece_codes(flat, starts, ends)
+    digests = [hashlib.blake2b(p, digest_size=16, key=_KEY).digest() for p in distinct.to_pylist()]
+    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)[codes]
+
+
+def sequence_hashes(values: np.ndarray, owner: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each of n sequences: entry i is element ``place[i]`` of sequence ``owner[i]``.
+
+    Entries are ordered by owner.  Every element is mixed with its place before the sum, so order
+    counts and no products of places arise.
+    """
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(mixed(values ^ mixed(place.astype(np.uint64) + np.uint64(1))), out=sums[1:])
+    borders = np.searchsorted(owner, np.arange(n + 1))
+    sizes = np.diff(borders).astype(np.uint64)
+    return mixed(sums[borders[1:]] - sums[borders[:-1]] + mixed(sizes))
 
 
 def word_spans(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgrain.llm.arrow_text import shards, span_hashes, utf8, word_spans
+from lexgrain.llm.arrow_text import piece_codes, shards, utf8, word_spans
 
 WINDOW_WORDS = 13
 #: Benchmark text in one broadcast; a larger benchmark is looked up block after block.
@@ -30,13 +31,28 @@ _IS_WORD = np.ones(256, bool)
 _IS_WORD[0x00:0x30] = _IS_WORD[0x3A:0x61] = _IS_WORD[0x7B:0x80] = False
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(hashes, rows)``: a 64-bit hash of each word, and the number of words up to each text's end."""
+@dataclass
+class Words:
+    """The words of some texts as numbers of their ``distinct`` spellings.
+
+    ``rows[i]`` is the number of words up to the end of text i.
+    """
+
+    codes: np.ndarray
+    distinct: pa.Array
+    rows: np.ndarray
+
+    def symbols(self, vocabulary: pa.Array) -> np.ndarray:
+        """One more than each word's place in the vocabulary, compared by bytes, or 0."""
+        found = pc.fill_null(pc.index_in(self.distinct, value_set=vocabulary), -1)
+        return (found.to_numpy(zero_copy_only=False) + 1).astype(np.uint32)[self.codes]
+
+
+def words_of(texts: pa.Array) -> Words:
     flat, offsets = utf8(texts)
     low = _LOWER[flat]
     starts, ends = word_spans(_IS_WORD[low], offsets)
-    hashes = span_hashes(low.astype(np.uint64) + np.uint64(1), starts, ends)
-    return hashes, np.searchsorted(starts, offsets[1:], side="left")
+    return Words(*piece_codes(low, starts, ends), np.searchsorted(starts, offsets[1:], side="left"))
 
 
 @dataclass
@@ -47,7 +63,7 @@ class TestSuffixes:
     ``least[s]`` the length of the shortest window that begins with symbol s.
     """
 
-    vocabulary: np.ndarray
+    vocabulary: pa.Array
     keys: np.ndarray
     lengths: np.ndarray
     owners: list[np.ndarray]
@@ -56,9 +72,9 @@ class TestSuffixes:
 
 
 def test_suffixes(texts: list[str | None], window: int = WINDOW_WORDS) -> TestSuffixes:
-    hashes, rows = words_of(pa.array(texts, pa.string()))
-    vocabulary, symbols = np.unique(hashes, return_inverse=True)
-    symbols = symbols.astype(">u4") + 1
+    words = words_of(pa.array(texts, pa.string()))
+    vocabulary, rows = words.distinct, words.rows
+    symbols = words.codes.astype(">u4") + 1
     found: dict[bytes, list[int]] = {}
     begin = 0
     for item, end in enumerate(rows.tolist()):
@@ -76,19 +92,16 @@ def test_suffixes(texts: list[str | None], window: int = WINDOW_WORDS) -> TestSu
     return TestSuffixes(vocabulary, np.array(keys, f"S{width}"), lengths, owners, least, width)
 
 
-def suffix_array(
-    hashes: np.ndarray, rows: np.ndarray, test: TestSuffixes
-) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(words: Words, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
     """``(sorted suffixes, their word positions)`` of a shard.
 
     Left out are only suffixes that can't begin with any window: a run of known words shorter than
     the shortest window with the same first word.
     """
-    n, known = len(hashes), len(test.vocabulary)
-    if not n or not known:
+    n, rows = len(words.codes), words.rows
+    if not n or not len(test.vocabulary):
         return np.zeros(0, f"S{test.width}"), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(test.vocabulary, hashes), known - 1)
-    symbols = np.where(test.vocabulary[at] == hashes, at + 1, 0).astype(np.uint32)
+    symbols = words.symbols(test.vocabulary)
     # A run of known words ends at the next unknown word or start of a text.
     border = np.full(n + 1, n, np.int64)
     unknown = np.flatnonzero(symbols == 0)
@@ -114,8 +127,8 @@ class Matches:
     lengths: np.ndarray
 
 
-def find_windows(hashes: np.ndarray, rows: np.ndarray, test: TestSuffixes) -> Matches:
-    suffixes, positions = suffix_array(hashes, rows, test)
+def find_windows(words: Words, test: TestSuffixes) -> Matches:
+    suffixes, positions = suffix_array(words, test)
     low = np.searchsorted(suffixes, test.keys, side="left")
     # The last suffix that begins with a key: its symbols, then the largest possible ones.
     high_keys = np.frombuffer(
@@ -150,16 +163,17 @@ class ShardHits:
 
 
 def shard_hits(texts: pa.Array, blocks: Callable[[], Iterator[TestSuffixes]], sizes: list[int]) -> ShardHits:
-    hashes, rows = words_of(texts)
+    words = words_of(texts)
+    rows = words.rows
     begins = np.concatenate([[0], rows[:-1]]).astype(np.int64)
-    n = len(hashes)
+    n = len(words.codes)
     spans: list[list[tuple[int, int]]] = [[] for _ in rows]
     items: list[set[int]] = [set() for _ in rows]
     everywhere = Matches(*(np.zeros(0, np.int64) for _ in range(3)))
     longest = np.zeros(len(rows), np.int64)
     base = 0
     for test, size in zip(blocks(), sizes, strict=True):
-        found = find_windows(hashes, rows, test)
+        found = find_windows(words, test)
         of = np.searchsorted(rows, found.positions, side="right")
         pairs = np.unique(np.stack([of, found.windows]), axis=1) if len(of) else np.zeros((2, 0), int)
         for row, window in pairs.T.tolist():

@@ -14,6 +14,7 @@ or by sketches of the union, and only links leave the task.  Links are confirmed
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexgrain.llm.arrow_text import mixed, shards, span_hashes, utf8, word_spans
+from lexgrain.llm.arrow_text import mixed, piece_hashes, shards, utf8, word_spans
 from lexgrain.llm.components import Scratch, connected_components
 
 SHINGLE_WORDS = 5
@@ -60,7 +61,7 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     flat, offsets = utf8(texts)
     low = _LOWER[flat]
     starts, ends = word_spans(_IS_WORD[low], offsets)
-    words = span_hashes(low.astype(np.uint64) + np.uint64(1), starts, ends)
+    words = piece_hashes(low, starts, ends)[:, 0]
     rows = np.searchsorted(starts, offsets[1:])
     m = max(len(words) - SHINGLE_WORDS + 1, 0)
     hashes = np.zeros(m, np.uint64)
@@ -84,15 +85,14 @@ def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
             sets = shingle_sets(shard.column("text"))
-            other = np.uint64(0x2545F4914F6CDD1D)
-            low = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64)
-            high = np.array([mixed(s ^ other).sum(dtype=np.uint64) for s in sets], np.uint64)
+            digests = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
+            low, high = np.frombuffer(digests, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays(
                 [
                     shard.column("doc_id").cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(low.view(np.int64)),
-                    pa.array(high.view(np.int64)),
+                    pa.array(low),
+                    pa.array(high),
                     pa.array([s[:k].tobytes() for s in sets], pa.binary()),
                 ],
                 names=["doc_id", "n", "low", "high", "sketch"],

@@ -19,11 +19,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexgrain.llm.arrow_text import mixed, shards, utf8, word_spans
+from lexgrain.llm.arrow_text import mixed, piece_codes, shards, utf8, word_spans
 
 LEAST_WORDS = 24
 LEAST_PERIODS = 3
@@ -53,16 +52,7 @@ class Words:
 def words_of(texts: pa.Array) -> Words:
     flat, offsets = utf8(texts)
     starts, ends = word_spans(_IS_WORD[flat], offsets)
-    pieces = np.empty(2 * len(starts) + 1, np.int64)  # words and the space between them in turn
-    pieces[0:-1:2], pieces[1::2], pieces[-1] = starts, ends, len(flat)
-    if len(starts):
-        parts = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), 2 * len(starts), [None, pa.py_buffer(pieces.tobytes()), pa.py_buffer(flat)]
-        )
-        words = parts.take(pa.array(np.arange(0, 2 * len(starts), 2)))
-        ids = pc.dictionary_encode(words).indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    else:
-        ids = np.zeros(0, np.int64)
+    ids = piece_codes(flat, starts, ends)[0]
     rows = np.concatenate([[0], np.searchsorted(starts, offsets[1:], side="left")])
     return Words(flat, offsets, starts, ends, ids, rows)
 

@@ -102,41 +102,42 @@ def components(rows):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-def _units(text):
-    """``(start, end, words)`` of the units of a text that have words."""
-    raw, hard = [0], {0, len(text)}
-    for at, c in enumerate(text):
-        if c == "\n":
-            raw.append(at + 1)
-            hard.add(at + 1)
-        elif c in ".!?" and text[at + 1 : at + 2] in (" ", "\t") and at + 1 < len(text):
-            raw.append(at + 1)
-    raw = sorted({*raw, len(text)})
-    kept = [0]
-    for a, b in zip(raw, raw[1:], strict=False):
-        if b in hard or len(WORDS6.findall(low(text[a:b]))) >= 5:
-            kept.append(b)
-    spans = zip(kept, kept[1:], strict=False)
-    found = [(a, b, tuple(WORDS6.findall(low(text[a:b])))) for a, b in spans]
+def units(text):
+    """``(start, end, words)`` of every sentence and line that has words."""
+    cuts = sorted({0, len(text), *(m.end() for m in re.finditer(r"\n|[.!?](?=[ \t])", text))})
+    found = [(a, b, tuple(WORDS6.findall(low(text[a:b])))) for a, b in zip(cuts, cuts[1:], strict=False)]
     return [u for u in found if u[2]]
 
 
 def passages(rows, least_words=20):
-    """``(doc_id, start, end, n_units, n_words, first_doc_ids)`` for unique ids."""
-    first = {}
-    units = {i: _units(t or "") for i, t in rows}
-    for i in sorted(units):
-        for a, _, words in units[i]:
-            first.setdefault(words, (i, a))
-    out = []
-    for i, found in units.items():
-        run = []
-        for unit in [*found, None]:
-            if unit and first[unit[2]] != (i, unit[0]):
-                run.append(unit)
-                continue
-            if run and sum(len(w) for *_, w in run) >= least_words:
-                ids = sorted({first[w][0] for *_, w in run})
-                out.append((i, run[0][0], run[-1][1], len(run), sum(len(w) for *_, w in run), ids))
-            run = []
+    """``(doc_id, start, end, n_units, n_words, first_doc_ids, first_unit)`` for unique ids.
+
+    All stretches of units with enough words are looked up, and only least ones are reported: those
+    that have too few words without their first or without their last unit.
+    """
+    texts = {i: units(t or "") for i, t in rows}
+    first, out = {}, []
+    for i in sorted(texts):
+        found = texts[i]
+        sources = defaultdict(list)
+        for a in range(len(found)):
+            for b in range(a, len(found)):
+                sizes = [len(u[2]) for u in found[a : b + 1]]
+                if sum(sizes) < least_words:
+                    continue
+                if min(sum(sizes[1:]), sum(sizes[:-1])) >= least_words:
+                    break
+                doc, unit = first.setdefault(tuple(u[2] for u in found[a : b + 1]), (i, a))
+                if (doc, unit) != (i, a):
+                    sources[doc, unit - a].append((a, b))
+        for (doc, shift), spans in sources.items():
+            joined = []
+            for a, b in sorted(spans):
+                if joined and a <= joined[-1][1] + 1:
+                    joined[-1][1] = max(joined[-1][1], b)
+                else:
+                    joined.append([a, b])
+            for a, b in joined:
+                n = sum(len(u[2]) for u in found[a : b + 1])
+                out.append((i, found[a][0], found[b][1], b - a + 1, n, [doc], a + shift))
     return out

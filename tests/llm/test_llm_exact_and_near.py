@@ -7,8 +7,10 @@ from conftest import words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lexgrain.llm.decontaminate import contamination
 from lexgrain.llm.exact_dedup import PatriciaTrie, _owner_tries, drop_exact_duplicates, exact_groups
 from lexgrain.llm.near_dedup import NearSettings, drop_near_duplicates, near_groups
+from lexgrain.llm.substring_dedup import repeated_passages
 
 
 def found(table):
@@ -51,6 +53,18 @@ def test_trie_keeps_strings_while_their_common_start_shrinks():
     assert sorted(trie.drain()) == [1] * (len(strings) - len(strings[::3])) + [2] * len(strings[::3])
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_trie_of_nested_prefixes_spills(order):
+    trie = PatriciaTrie(lambda a, b: a + b, 5000)
+    strings = [b"ab" * k for k in range(1000)][::order]
+    most = 0
+    for s in strings + strings[::5]:
+        trie.insert(s, 1)
+        most = max(most, trie.size)
+    assert trie.spills > 1 and most < 5000 + 3000
+    assert sorted(trie.drain()) == [1] * 800 + [2] * 200
+
+
 def test_owner_fails_when_rows_are_lost(monkeypatch):
     batch = pa.record_batch(
         {"digest": [b"a", b"b"], "n_bytes": [1, 1], "keep_id": [1, 2], "group_size": [1, 1], "body": [b"a", b"b"]}
@@ -78,7 +92,13 @@ def test_drop_exact_duplicates_keeps_all_columns(make, edge_rows):
     kept = drop_exact_duplicates(docs, "largest")
     assert kept.columns == docs.columns
     ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
-    assert ids == [2, 4, 5, 7, 8, 8, 9, 10, 11, 12]
+    assert ids == [2, 4, 5, 7, 8, 9, 10, 11, 12]
+
+
+def test_drop_exact_duplicates_with_repeated_ids(make):
+    rows = [(1, "a"), (1, "b"), (2, "B"), (2, "B"), (None, "c"), (None, "C"), (3, None), (4, "")]
+    kept = [(r["doc_id"], (r["text"] or "").lower()) for r in drop_exact_duplicates(make(rows), "largest").collect()]
+    assert sorted(kept, key=repr) == [(1, "a"), (2, "b"), (4, ""), (None, "c")]
 
 
 def check_near(rows, table):
@@ -120,6 +140,23 @@ def test_near_groups_match_brute_force(spark, make):
     check_near(rows, near_groups(spark, make(rows, 5)))
 
 
+def thue_morse(n):
+    return ["ab"[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_structured_texts_do_not_collide(spark, make):
+    """Words and sequences that polynomial hashes modulo a power of two can't tell apart."""
+    a = thue_morse(4096)
+    b = ["ba"["ab".index(c)] for c in a]
+    rows = [(1, "".join(a)), (2, "".join(b)), (3, " ".join(a)), (4, " ".join(b)), (5, "x " + "".join(a))]
+    check_near(rows, near_groups(spark, make(rows)))
+    items = spark.createDataFrame([(1, "".join(b))], "item_id long, text string")
+    hit = {r["doc_id"]: r["n_hit"] for r in contamination(spark, make(rows), items).collect()}
+    assert hit == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0}
+    texts = [(i, f"{t} {' '.join(words(25, i))}.") for i, t in rows[:4]]
+    assert repeated_passages(make([(i, t + "\n" + " ".join(words(30, 50 + i))) for i, t in texts])).count() == 0
+
+
 def test_near_groups_with_lists_cut_into_blocks(spark, make):
     rows = [(i, " ".join(edited(words(120, 5), 1 + i % 9, i))) for i in range(120)]
     small = NearSettings(block_rows=16, hubs=1, list_values=32)
