@@ -473,8 +473,6 @@ newton as (
       group by i, wa, wb, w0))),
 fitted as (select wa, wb, w0 from newton where i = 20)"""
 
-HOLDOUT_SQL = ORACLE["stratified_holdout"]
-
 ORACLE |= {
     "stacker_fit": f"""{NEWTON},
 scored as (
@@ -488,13 +486,49 @@ from fitted""",
 means as (
   select id, avg(p) filter (fold % 2 = 0) as a, avg(p) filter (fold % 2 = 1) as b from oof group by id)
 select id, (case when wa * a + wb * b + w0 > 0 then 1 else 0 end)::int as target from means, fitted""",
-    "rf_pipeline": f"""with held_out as (select label from ({HOLDOUT_SQL}) where is_test),
-classes as (select label::varchar as class, count(*) as support from held_out group by label)
-select class, support, true as in_range from classes
-union all
-select unnest(['accuracy', 'macro avg', 'weighted avg']), (select count(*) from held_out), true""",
-    "rf_predict": f"with {TEST} select id, true as has_label from test",
-    "oof_generate": f"with {KFOLD} select id, label, fold, true as is_probability from folds",
-    "fold_test_scores": f"""with {TEST}
-select id, 5::bigint as n_folds, true as consistent from test""",
+}
+
+# One model per fold on the rows of the other folds; Newton steps on all of them at once.
+FOLD_MODELS = f"""with recursive {KFOLD}, {TEST},
+shaped as (
+  select f.id, f.fold, f.label::double as y, ln(length(s.sentence) + 1.0::double) / 10 as a,
+    (length(s.sentence) - length(replace(s.sentence, ' ', ''))) / (length(s.sentence) + 1.0::double) as b
+  from folds f join sent s on f.id = s.id),
+newton as (
+  select 0 as i, m::int as m, 0.0::double as wa, 0.0::double as wb, 0.0::double as w0 from range(5) r(m)
+  union all
+  select i + 1, m,
+    wa - (ga * (hbb * h00 - hb0 * hb0) - hab * (gb * h00 - hb0 * g0) + ha0 * (gb * hb0 - hbb * g0)) / det,
+    wb - (haa * (gb * h00 - g0 * hb0) - ga * (hab * h00 - hb0 * ha0) + ha0 * (hab * g0 - gb * ha0)) / det,
+    w0 - (haa * (hbb * g0 - hb0 * gb) - hab * (hab * g0 - gb * ha0) + ga * (hab * hb0 - hbb * ha0)) / det
+  from (
+    select *, haa * (hbb * h00 - hb0 * hb0) - hab * (hab * h00 - hb0 * ha0)
+      + ha0 * (hab * hb0 - hbb * ha0) as det
+    from (
+      select i, m, wa, wb, w0, sum((p - y) * a) + wa as ga, sum((p - y) * b) + wb as gb, sum(p - y) as g0,
+        sum(q * a * a) + 1 as haa, sum(q * b * b) + 1 as hbb, sum(q) as h00,
+        sum(q * a * b) as hab, sum(q * a) as ha0, sum(q * b) as hb0
+      from (
+        select n.*, s.a, s.b, s.y, 1 / (1 + exp(-(wa * s.a + wb * s.b + w0))) as p,
+          1 / (1 + exp(-(wa * s.a + wb * s.b + w0))) * (1 - 1 / (1 + exp(-(wa * s.a + wb * s.b + w0)))) as q
+        from newton n join shaped s on s.fold <> n.m where n.i < 12)
+      group by i, m, wa, wb, w0))),
+fitted as (select * from newton where i = 12),
+logits as (
+  select t.id, m as fold, wa * (ln(length(sentence) + 1.0::double) / 10) + w0
+    + wb * ((length(sentence) - length(replace(sentence, ' ', ''))) / (length(sentence) + 1.0::double)) as l1
+  from test t, fitted)"""
+
+ORACLE |= {
+    "json_array_scan": f"""with {SENT}
+select id // 2000 as file, case when id % 3 <> 0 then id
+  else row_number() over (partition by id // 2000 order by id) - 1 end as id, sentence, label
+from sent""",
+    "oof_generate": f"""{FOLD_MODELS}
+select s.id, y::int as label, s.fold, round(1 / (1 + exp(-(wa * a + wb * b + w0))), 5) as pred_prob
+from shaped s join fitted f on s.fold = f.m""",
+    "fold_test_scores": f"""{FOLD_MODELS}
+select id, round(1 / (1 + exp(-avg(l1))), 5) as pred_prob, (avg(l1) > 0)::int as label, count(*) as n_folds
+from logits group by id""",
+    "stored_fold_scores": f"{FOLD_MODELS} select id, fold, round(l1, 5) as l1 from logits",
 }

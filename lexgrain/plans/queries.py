@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexgrain.functions import scores
 from lexgrain.functions import text as tx
-from lexgrain.operators import compare, ensemble, features, metrics, models, profile, splits
+from lexgrain.operators import compare, ensemble, features, fold_models, metrics, models, profile, splits
 from lexgrain.operators.layout import with_positions
 from lexgrain.operators.tfidf import TfidfModel, ngram_frequencies, ngram_rows, vocabulary
 from lexgrain.plans import relations as rel
 from lexgrain.plans import workflows
-from lexgrain.session import new_scratch_path
+from lexgrain.session import kept_table, new_scratch_path
 from lexgrain.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,29 @@ def flat_labelled_scan(spark, folder):
     return readers.parse_flat(arrays, keep=("doc",))
 
 
+@query
+def json_array_scan(spark, folder):
+    """Records in array files, each cut among tasks; every third id goes without idx and takes its place."""
+    path = new_scratch_path(spark, "arrays")
+    record = F.struct(
+        "sentence",
+        F.col("label").cast("string").alias("label"),
+        F.when(F.col("id") % 3 != 0, F.col("id")).alias("idx"),
+    )
+    place = Window.partitionBy("file").orderBy("id")
+    back = Window.partitionBy("file").orderBy(F.desc("id"))
+    rows = rel.sent(spark, folder).withColumn("file", F.expr("id div 2000"))
+    rows = rows.select("file", "id", "sentence", "label", F.row_number().over(place).alias("n"), F.row_number().over(back).alias("m"))
+    value = F.concat(
+        F.when(F.col("n") == 1, "[").otherwise(""), F.to_json(record), F.when(F.col("m") == 1, "]").otherwise("")
+    )
+    # Stretches between commas: the text sink puts one behind every record.
+    written = rows.select("file", "id", value.alias("value")).repartition("file").sortWithinPartitions("file", "id")
+    written.drop("id").write.partitionBy("file").option("lineSep", ",").text(path)
+    name = F.regexp_extract("file", r"/file=(\d+)/", 1).cast("bigint")
+    return readers.read_flat(spark, path, keep=("file",)).withColumn("file", name)
+
+
 def _json_lines(spark, rows, name):
     """Write rows as JSON Lines and return the path."""
     path = new_scratch_path(spark, name)
@@ -470,19 +493,16 @@ def truncate_pad(spark, folder):
 
 @query
 def rf_pipeline(spark, folder):
-    """The real fit; of its report what does not depend on how the trees are grown."""
-    report = models.fit_text_classifier(rel.sent(spark, folder)).report
-    in_range = F.col("f1").between(0, 1) & F.col("precision").between(0, 1)
-    return report.select("class", "support", in_range.alias("in_range"))
+    """The real fit and the report of its hold-out."""
+    return models.fit_text_classifier(rel.sent(spark, folder)).report
 
 
 @query
 def rf_predict(spark, folder):
-    """The real fit saved, loaded and applied: one row per id, each with one of the two labels."""
+    """The real fit saved, loaded and applied: one target per id."""
     path = new_scratch_path(spark, "classifier")
     models.fit_text_classifier(rel.sent(spark, folder), evaluate=False).save(path)
-    predicted = models.TextClassifier.load(spark, path).predict(rel.unlabelled(spark, folder))
-    return predicted.select("id", F.col("target").isin(0, 1).alias("has_label"))
+    return models.TextClassifier.load(spark, path).predict(rel.unlabelled(spark, folder))
 
 
 @query
@@ -503,30 +523,42 @@ def stacker_predict(spark, folder):
     return fitted.predict(ensemble.stack_probabilities(mean_a, mean_b)).select("id", "target")
 
 
-@query
-def oof_generate(spark, folder):
-    """The real fits: one row per id with its fold and a score that is a probability."""
-    scored = models.out_of_fold(_folded(spark, folder), parallelism=5)
-    return scored.select(
-        "id", "label", "fold", F.col("pred_prob").between(0, 1).alias("is_probability")
-    )
+def _fold_models(spark, folder):
+    """Folded rows with their features, written once, and the models of all folds."""
+    folds = splits.stratified_kfold(rel.labelled_ids(spark, folder).select("id", "label"))
+    shaped = fold_models.with_text_shape(rel.sent(spark, folder))
+    folded = kept_table(shaped.join(folds.select("id", "fold"), "id"), "folded")
+    return folded, fold_models.FoldModels.fit(folded, SHAPE)
 
 
-def _folded(spark, folder):
-    folds = splits.stratified_kfold(rel.labelled_ids(spark, folder).select("id", "label"))
-    counted = models.with_hashed_counts(rel.sent(spark, folder))
-    return counted.join(folds.select("id", "fold"), "id")
+SHAPE = ("log_length", "space_share")
+
+
+@query
+def oof_generate(spark, folder):
+    """Every fold scored by the model that hasn't seen it; all models in one pass a step."""
+    folded, fitted = _fold_models(spark, folder)
+    return rounded(fitted.out_of_fold(folded), 5)
 
 
 @query
 def fold_test_scores(spark, folder):
-    """Fold fits, test logits of every fold's model, their mean per id and the label."""
-    test = models.with_hashed_counts(rel.unlabelled(spark, folder))
-    _, logits = workflows.cross_validated_scores(_folded(spark, folder), test, parallelism=5)
+    """Test rows under every fold's model, their mean logit as probability and label."""
+    _, fitted = _fold_models(spark, folder)
+    logits = fitted.scores(fold_models.with_text_shape(rel.unlabelled(spark, folder)))
     folds = logits.groupBy("id").agg(F.count_distinct("fold").alias("n_folds"))
-    mean = ensemble.mean_logit(logits)
-    consistent = (F.col("pred_prob") > 0.5) == (F.col("label") == 1)
-    return mean.join(folds, "id").select("id", "n_folds", consistent.alias("consistent"))
+    return rounded(ensemble.mean_logit(logits).join(folds, "id"), 5)
+
+
+@query
+def stored_fold_scores(spark, folder):
+    """The fold models saved, loaded by workers and applied in batches: a logit per id and fold."""
+    path = new_scratch_path(spark, "fold-models") + "/weights.npy"
+    _fold_models(spark, folder)[1].save(path)
+    score = models.batch_scorer(fold_models.stored_scorer(path), width=len(SHAPE), batch_size=1024)
+    test = fold_models.with_text_shape(rel.unlabelled(spark, folder))
+    scored = test.select("id", F.posexplode(score(F.array(*SHAPE))).alias("fold", "l1"))
+    return rounded(scored, 5)
 
 
 @query

@@ -1,7 +1,7 @@
 """Readers for corpora, predictions and fold outputs.
 
-A file holding one big JSON array cannot be split between tasks.  Read such files once, write
-Parquet, and let everything downstream scan Parquet; JSON Lines input is splittable as it is.
+A file holding one big JSON array is cut among tasks by ``json_arrays`` and read twice.  Read such
+files once, write Parquet, and let everything downstream scan Parquet.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexgrain.session import ship_package
+from lexgrain.sources.json_arrays import read_array_elements
+
 PAIR_SCHEMA = "sentence_pair array<string>, label_pair array<int>"
 TEST_SCHEMA = "idx bigint, sentence string"
 FLAT_SCHEMA = "array<struct<sentence: string, label: string, idx: bigint>>"
@@ -47,22 +50,26 @@ def read_pairs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
     ``record`` increases with the place in its ``file``; ``with_positions`` over ``file, record, pos``
     of the exploded pairs gives the list position of every sentence.
     """
-    return (
-        spark.read.schema(PAIR_SCHEMA)
-        .option("mode", "FAILFAST")
-        .option("multiLine", not lines)
-        .json(path)
-        .withColumn("file", F.col("_metadata.file_path"))
-        .withColumn("record", F.monotonically_increasing_id())
+    if lines:
+        records = spark.read.schema(PAIR_SCHEMA).option("mode", "FAILFAST").json(path)
+        records = records.withColumn("file", F.col("_metadata.file_path"))
+        return records.withColumn("record", F.monotonically_increasing_id())
+    return _elements(spark, path, f"struct<{PAIR_SCHEMA.replace(' array', ': array')}>").select(
+        "_r.*", "file", F.col("index").alias("record")
     )
 
 
-def parse_flat(df: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(keep..., id, sentence, label)`` from JSON array texts; a missing idx is the position."""
-    records = F.from_json(value, FLAT_SCHEMA, {"mode": "FAILFAST"})
-    return df.select(*keep, F.posexplode(records).alias("_pos", "_r")).select(
+def _elements(spark: SparkSession, path: str, schema: str, keep: tuple[str, ...] = ("file", "index")) -> DataFrame:
+    """``(keep..., _r)``: the elements of array files as records of the schema."""
+    ship_package(spark)
+    found = read_array_elements(spark, path)
+    return found.select(*keep, F.from_json("element", schema, {"mode": "FAILFAST"}).alias("_r"))
+
+
+def _flat_records(records: DataFrame, position: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return records.select(
         *keep,
-        F.coalesce("_r.idx", F.col("_pos").cast("bigint")).alias("id"),
+        F.coalesce("_r.idx", F.col(position).cast("bigint")).alias("id"),
         _required(F.col("_r.sentence"), "record without sentence").alias("sentence"),
         # Through double, so that 1, "1" and 1.0 are all accepted.
         _required(F.col("_r.label"), "record without label")
@@ -72,9 +79,17 @@ def parse_flat(df: DataFrame, value: str = "value", keep: tuple[str, ...] = ())
     )
 
 
-def read_flat(spark: SparkSession, path: str) -> DataFrame:
-    """Flat labelled records from a JSON array file."""
-    return parse_flat(spark.read.text(path, wholetext=True))
+def parse_flat(df: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(keep..., id, sentence, label)`` from JSON array texts; a missing idx is the position."""
+    records = F.from_json(value, FLAT_SCHEMA, {"mode": "FAILFAST"})
+    exploded = df.select(*keep, F.posexplode(records).alias("_pos", "_r"))
+    return _flat_records(exploded, "_pos", keep)
+
+
+def read_flat(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(keep..., id, sentence, label)`` from JSON array files; a missing idx is the place in its file."""
+    record = FLAT_SCHEMA.removeprefix("array<").removesuffix(">")
+    return _flat_records(_elements(spark, path, record), "index", keep)
 
 
 def read_test(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -121,9 +136,29 @@ def parse_documents(df: DataFrame, value: str = "value", keep: tuple[str, ...] =
     return df.select(*keep, F.inline(entries))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, text)`` from a JSON file of any of the three shapes."""
-    return parse_documents(spark.read.text(path, wholetext=True))
+def read_documents(spark: SparkSession, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(keep..., id, text)`` from JSON files of any of the three shapes; ``keep`` may name ``file``.
+
+    Elements that are objects are records, others are texts; a missing id is the place in its file.
+    """
+    ship_package(spark)
+    found = read_array_elements(spark, path)
+    strict = {"mode": "FAILFAST"}
+    record = F.from_json("element", "struct<sentence: string, idx: bigint>", strict)
+    text = F.from_json(F.concat(F.lit("["), "element", F.lit("]")), "array<string>", strict)[0]
+    is_record = F.col("element").rlike(r"^\s*\{")
+    is_text = F.col("element").rlike(r"^\s*(\"|null)")
+    checked = F.when(is_record | is_text, F.col("element")).otherwise(
+        F.raise_error(F.lit("unknown document shape"))
+    )
+    parsed = found.withColumn("element", checked).select(
+        *keep, "index", is_record.alias("_is"), F.when(is_record, record).alias("_r"), F.when(~is_record, text).alias("_t")
+    )
+    return parsed.select(
+        *keep,
+        F.coalesce("_r.idx", "index").alias("id"),
+        F.when(F.col("_is"), _required(F.col("_r.sentence"), "record without sentence")).otherwise(F.col("_t")).alias("text"),
+    )
 
 
 def read_predictions(spark: SparkSession, path: str, target: str = "target") -> DataFrame:
