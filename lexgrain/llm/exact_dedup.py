@@ -19,7 +19,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgrain.llm.arrow_text import SHARD_BYTES, shards
@@ -371,10 +371,14 @@ def drop_exact_duplicates(
     Of rows that share id and text one stays, whichever Spark reads first; of a group without ids one
     row without id.  Rows that share an id but not a text are judged apart.
     """
+    def name(id: Column) -> Column:
+        return F.coalesce(id.cast("string"), F.lit(""))  # a plain key, so that texts are shuffled once
+
     stay = text_groups(docs, keep, id_column, text_column).select(
-        F.col("digest").alias("__kept_digest"), F.col("keep_id").alias("__keep_id")
+        F.col("digest").alias("__kept_digest"), name(F.col("keep_id")).alias("__kept_name")
     )
     folded = F.translate(F.coalesce(F.col(text_column), F.lit("")), ascii_uppercase, ascii_lowercase)
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(folded, 256))).dropDuplicates([id_column, "__digest"])
-    same = (F.col("__digest") == F.col("__kept_digest")) & F.col(id_column).eqNullSafe(F.col("__keep_id"))
-    return marked.join(stay, same, "left_semi").select(*docs.columns)
+    marked = docs.withColumns({"__digest": F.unhex(F.sha2(folded, 256)), "__name": name(F.col(id_column))})
+    same = (F.col("__digest") == F.col("__kept_digest")) & (F.col("__name") == F.col("__kept_name"))
+    single = marked.dropDuplicates(["__digest", "__name"])
+    return single.join(stay, same, "left_semi").select(*docs.columns)
