@@ -74,13 +74,87 @@ def ngram_frequencies(df: DataFrame, text: str = "sentence") -> DataFrame:
     return _frequencies(_occurrences(rows, F.col("ngrams")))
 
 
-def _bigram_frequencies(tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """Frequencies of the pairs whose two words are both in ``words(word)``."""
-    pairs = _occurrences(tokens, tx.bigrams(F.col("_tokens")))
-    for place in (1, -1):
-        own = F.substring_index("term", " ", place)
-        pairs = pairs.join(words, own == F.col("word"), "left_semi")
-    return _frequencies(pairs)
+class PairSketch:
+    """Count-min sketch of pair occurrences, held as rows of a grouping.
+
+    Each pair falls into one slot of every row of ``width`` slots.  Counts of a slot add up over
+    tasks, so sketches of parts merge by addition, in the map-side combine and after the shuffle;
+    a task holds at most ``ROWS * width`` of them.  A slot counts all pairs that fall into it, thus
+    the least slot of a pair is never below the pair's count.  Of N occurrences it lies more than
+    ``e * N / width`` above it with a probability of at most ``e ** -ROWS``.
+    """
+
+    ROWS = 2
+
+    def __init__(self, width_bits: int = 18):
+        if not 6 <= width_bits <= 31:
+            raise ValueError("width_bits must be between 6 and 31")
+        self.bits = width_bits
+
+    def slots(self, pair: Column) -> list[Column]:
+        """Slot of ``pair`` in every row; the rows take separate bits of one 64-bit hash."""
+        mask = F.lit((1 << self.bits) - 1).cast("bigint")
+        digest = F.xxhash64(pair)
+        return [
+            F.shiftrightunsigned(digest, row * self.bits).bitwiseAND(mask)
+            + F.lit(row << self.bits).cast("bigint")
+            for row in range(self.ROWS)
+        ]
+
+    def packed(self, counts: DataFrame, least: int) -> list[int]:
+        """64 slots to a word, bit set where a slot of ``counts(slot, n)`` reaches ``least``.
+
+        Collected are at most ``ROWS * width / 64`` words: 64 KB with the default width.
+        """
+        word = F.shiftright("slot", 6)
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("slot") % 64).cast("int"))
+        rows = counts.where(F.col("n") >= least).groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+        words = [0] * ((self.ROWS << self.bits) // 64)
+        for row in rows.collect():
+            words[row["word"]] = row["bits"]
+        return words
+
+    def may_reach(self, pairs: Column, words: list[int]) -> Column:
+        """The elements of an array of pairs all of whose slots are set, tested inside the row."""
+        table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+
+        def is_set(slot: Column) -> Column:
+            return F.getbit(F.get(table, F.shiftright(slot, 6).cast("int")), (slot % 64).cast("int")) == 1
+
+        def all_set(pair: Column) -> Column:
+            first, *others = [is_set(slot) for slot in self.slots(pair)]
+            for other in others:
+                first = first & other
+            return first
+
+        return F.filter(pairs, all_set)
+
+
+def _words_and_slots(tokens: DataFrame, sketch: PairSketch) -> DataFrame:
+    """``(term, slot, df, cf)`` in one scan: words with a null slot, sketch counts with a null term.
+
+    Neither is set on the row that counts the documents.
+    """
+    marked = F.sort_array(F.concat(F.array(F.lit(None).cast("string")), F.col("_tokens")))
+    slots = F.flatten(
+        F.transform(tx.bigrams(F.col("_tokens")), lambda pair: F.array(*sketch.slots(pair)))
+    )
+    no_term, no_slot = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    sorted_words = tokens.select(marked.alias("_words"), slots.alias("_slots"))
+    before = F.slice(F.concat(F.array(no_term), F.col("_words")), F.lit(1), F.size("_words"))
+    words = F.zip_with(
+        "_words",
+        before,
+        lambda t, b: F.struct(
+            t.alias("term"), no_slot.alias("slot"), F.when(t == b, 0).otherwise(1).alias("d")
+        ),
+    )
+    counts = F.transform(
+        "_slots",
+        lambda s: F.struct(no_term.alias("term"), s.alias("slot"), F.lit(0).alias("d")),
+    )
+    rows = sorted_words.select(F.inline(F.concat(words, counts)))
+    return rows.groupBy("term", "slot").agg(F.sum("d").alias("df"), F.count("*").alias("cf"))
 
 
 def vocabulary(
@@ -89,23 +163,26 @@ def vocabulary(
     max_features: int = 5000,
     min_df: int = 2,
     max_df: float = 0.95,
+    width_bits: int = 18,
 ) -> DataFrame:
     """``(term, df, cf, idf, idx)`` of the most frequent terms within the document bounds.
 
     Ties at the cap go to the alphabetically first term; ``idx`` numbers terms alphabetically.
 
-    Almost all distinct pairs of a large corpus are far too rare to be kept, so pairs are counted
-    only where they can matter.  A pair occurs at most as often, and in at most as many documents,
-    as either of its words.  Once single words alone fill the vocabulary down to some frequency,
-    rarer pairs are out, and so is every pair with a rarer word.
+    Almost all distinct pairs of a large corpus are far too rare to be kept.  A first scan counts
+    single words and, in a sketch of ``2 ** width_bits`` slots a row, pairs.  Once words alone fill
+    the vocabulary down to some frequency, a pair below it is out, and so is one in fewer than
+    ``min_df`` documents.  A second scan drops the pairs whose sketch shows that inside the row,
+    before any shuffle, and counts the others exactly; a wrongly kept pair costs time only.
 
-    The frequencies of single words are written to the shared folder: they give the number of
-    documents (a null word stands once in every text), the frequency bound and the words of pairs.
+    The counts of the first scan are written to the shared folder: they give the number of
+    documents (a null word stands once in every text), the frequency bound and the sketch.
     """
     source = df.select(text).where(F.col(text).isNotNull())
     tokens = source.select(tx.word_tokens(F.col(text)).alias("_tokens"))
-    marked = F.concat(F.array(F.lit(None).cast("string")), F.col("_tokens"))
-    words = kept_table(_frequencies(_occurrences(tokens, marked)), "words")
+    sketch = PairSketch(width_bits)
+    counted = kept_table(_words_and_slots(tokens, sketch), "words")
+    words = counted.where(F.col("slot").isNull()).drop("slot")
     documents = words.where(F.col("term").isNull()).select("df").first()
     n_docs = documents["df"] if documents else 0
     in_bounds = (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs))
@@ -117,11 +194,11 @@ def vocabulary(
         .first()
     )
     lowest = filled["cf"] if filled["n"] == max_features else 0
-    frequent = words.where(
-        F.col("term").isNotNull() & (F.col("df") >= min_df) & (F.col("cf") >= lowest)
-    ).select(F.col("term").alias("word"))
+    slots = counted.where(F.col("slot").isNotNull()).select("slot", F.col("cf").alias("n"))
+    frequent = sketch.packed(slots, max(lowest, min_df))
+    pairs = sketch.may_reach(tx.bigrams(F.col("_tokens")), frequent)
     candidates = eligible.where(F.col("cf") >= lowest).unionByName(
-        _bigram_frequencies(tokens, frequent)
+        _frequencies(_occurrences(tokens, pairs))
     )
     kept = candidates.where(in_bounds).orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
     # At most max_features rows reach this window.

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexgrain.operators import splits
-from lexgrain.operators.tfidf import TfidfModel, ngram_frequencies, vocabulary
+from lexgrain.operators.tfidf import PairSketch, TfidfModel, ngram_frequencies, vocabulary
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +119,41 @@ def test_ties_beyond_the_word_list_count_all_pairs(spark):
         rows = vocabulary(df, max_features=k, max_df=0.7).collect()
         found = sorted((r["term"], r["df"], r["cf"]) for r in rows)
         assert found == brute_force_vocabulary(texts, k, max_df=0.7)
+
+
+@pytest.mark.parametrize("width_bits", [6, 12])
+def test_crowded_sketches_lose_no_pair(spark, tables, width_bits):
+    """Many pairs share a slot; the recount corrects what the sketch lets through."""
+    df = spark.read.parquet(f"{tables}/documents.parquet").withColumnRenamed("text", "sentence")
+    texts = [r["sentence"] for r in df.select("sentence").collect()]
+    rows = vocabulary(df, max_features=700, width_bits=width_bits).collect()
+    assert sorted((r["term"], r["df"], r["cf"]) for r in rows) == brute_force_vocabulary(texts, 700)
+
+
+def test_sketch_never_counts_too_little_and_keeps_its_bound(spark):
+    pairs = [f"p{i} q" for i in range(3000) for _ in range(1 + (i < 20) * 500)]
+    df = spark.createDataFrame([(p,) for p in pairs], "pair string").repartition(6)
+    sketch = PairSketch(10)
+    slots = df.select(F.explode(F.array(*sketch.slots(F.col("pair")))).alias("slot"))
+    counts = {r["slot"]: r["n"] for r in slots.groupBy("slot").agg(F.count("*").alias("n")).collect()}
+    slot_of = df.distinct().select("pair", F.array(*sketch.slots(F.col("pair"))).alias("s")).collect()
+    real = Counter(pairs)
+    estimates = {r["pair"]: min(counts[s] for s in r["s"]) for r in slot_of}
+    assert all(estimates[p] >= real[p] for p in real)
+    too_much = sum(estimates[p] - real[p] > math.e * len(pairs) / 1024 for p in real)
+    assert too_much / len(real) <= math.exp(-PairSketch.ROWS)
+    table = spark.createDataFrame(list(counts.items()), "slot long, n long")
+    words = sketch.packed(table, 400)
+    asked = df.groupBy().agg(F.collect_set("pair").alias("all"))
+    left = asked.select(F.explode(sketch.may_reach(F.col("all"), words)).alias("p")).collect()
+    assert {r["p"] for r in left} == {p for p in real if estimates[p] >= 400}
+
+
+def test_pairs_are_ruled_out_without_a_join(docs):
+    plan = vocabulary(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_width_of_a_sketch_is_checked():
+    with pytest.raises(ValueError, match="width_bits"):
+        PairSketch(40)
