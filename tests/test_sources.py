@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from lexgrain.operators.layout import with_positions
@@ -158,6 +159,30 @@ def test_positions_are_dense_and_ordered(spark):
     assert sorted((r["pos"], r["k"]) for r in rows) == [(i, i) for i in range(1000)]
 
 
+def test_positions_with_ties_nulls_and_a_hot_key(spark):
+    """A third of the rows share one key, nulls come first, other rows repeat a few keys."""
+    key = "case when id % 3 = 0 then 50 when id % 11 = 1 then null else id % 100 end"
+    df = spark.range(3000).selectExpr(f"{key} as k", "id as text", "'old' as pos").repartition(9)
+    rows = sorted(with_positions(df, ["k"], "pos").collect(), key=lambda r: r["pos"])
+    assert [r["pos"] for r in rows] == list(range(3000))
+    assert sorted(r["text"] for r in rows) == list(range(3000))
+    keys = [-1 if r["k"] is None else r["k"] for r in rows]
+    assert keys == sorted(keys) and keys[0] == -1
+
+
+def test_numbering_moves_texts_only_in_the_last_join(spark):
+    df = spark.range(50).selectExpr("id % 50 as k", "repeat('x', 20) as sentence")
+    plan = with_positions(df, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan and "Sort" not in plan
+    assert plan.count("AS sentence") == 1 and plan.count("Join") == 1
+
+
+def test_positions_by_expressions(spark):
+    df = spark.range(20).withColumnRenamed("id", "k")
+    rows = with_positions(df, [-F.col("k")], "pos").collect()
+    assert {r["pos"]: r["k"] for r in rows} == {i: 19 - i for i in range(20)}
+
+
 def test_positions_of_nothing(spark):
     assert with_positions(spark.range(0), ["id"], "pos").collect() == []
 
