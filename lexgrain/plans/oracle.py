@@ -302,6 +302,15 @@ select label, n, round(mean, 6) as mean, round(q1, 6) as q1, round(median, 6) as
 from placed group by label, n, placed.mean, placed.q1, placed.median, placed.q3""",
     "box_outliers": f"""with {BOX}
 select label, v as value, count(*) as n from placed where v < lo or v > hi group by label, v""",
+    "feature_quartiles": f"""with {SENT},
+featured as (select label, {feature_columns()} from sent)
+"""
+    + " union all ".join(
+        f"select label, '{f}' as metric, {p}::double as probability, count(*) as n, "
+        f"round(quantile_cont({f}, {p}), 6) as value from featured group by label"
+        for f in ("avg_word_len", "punctuation_ratio", "upper_ratio", "space_ratio")
+        for p in (0.25, 0.5, 0.75)
+    ),
     "accuracy_f1": f"""with {PREDS}
 select model, count(*) as n, round(avg((y = target)::int), 6) as accuracy,
   round(coalesce(2.0::double * count(*) filter (y = 1 and target = 1)

@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 
 from lexgrain.functions import scores
 from lexgrain.functions import text as tx
-from lexgrain.operators import compare, ensemble, features, fold_models, metrics, models, profile, splits
+from lexgrain.operators import (
+    compare,
+    ensemble,
+    features,
+    fold_models,
+    metrics,
+    models,
+    profile,
+    quantiles,
+    splits,
+)
 from lexgrain.operators.layout import with_positions
 from lexgrain.operators.tfidf import TfidfModel, ngram_frequencies, ngram_rows, vocabulary
 from lexgrain.plans import relations as rel
@@ -290,6 +300,14 @@ def box_outliers(spark, folder):
     return profile.box_outliers(rel.sent(spark, folder))
 
 
+@query
+def feature_quartiles(spark, folder):
+    """Quartiles of the ratios, which have about as many values as rows."""
+    shaped = features.with_text_features(rel.sent(spark, folder))
+    ratios = ["avg_word_len", "punctuation_ratio", "upper_ratio", "space_ratio"]
+    return rounded(quantiles.exact_quantiles(shaped, ratios, by=("label",)))
+
+
 @query
 def accuracy_f1(spark, folder):
     return rounded(metrics.accuracy_f1(rel.preds(spark, folder), "y", "target", ("model",)))
