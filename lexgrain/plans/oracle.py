@@ -410,6 +410,9 @@ select word from words where label = 0 intersect select word from words where la
     "union_predictions": f"with {PREDS} select id, target from preds",
     "clean_text": f"with {DIRTY} select id, {CLEAN} as sentence, label from dirty",
     "text_features": f"with {DIRTY} select id, label, {feature_columns(6)} from dirty",
+    "streamed_features": f"""with {SENT},
+cleaned as (select id, label, {CLEAN} as sentence from sent)
+select id, label, {feature_columns(6)} from cleaned""",
     "tokens_ws": f"with {WORDS} select id, pos::int as pos, word as token from words",
     "tokens_word": f"""with {SENT},
 lists as (

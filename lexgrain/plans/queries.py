@@ -26,6 +26,7 @@ from lexgrain.plans import relations as rel
 from lexgrain.plans import workflows
 from lexgrain.session import kept_table, new_scratch_path
 from lexgrain.sources import readers, sinks
+from lexgrain.streaming.files import process_new_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -431,6 +432,26 @@ def text_features(spark, folder):
     return rounded(features.with_text_features(rel.dirty(spark, folder)).drop("sentence"))
 
 
+@query
+def streamed_features(spark, folder):
+    """Cleaning and features of the labelled documents, which arrive as a stream of files."""
+    labels = rel.table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+
+    def featured(documents):
+        cleaned = features.with_cleaned(documents.join(labels, "doc_id"), "text")
+        return features.with_text_features(cleaned.withColumnRenamed("doc_id", "id"), "text").drop("text")
+
+    rows = process_new_files(
+        spark,
+        f"{folder}/documents.parquet*",
+        rel.table(spark, folder, "documents").select("doc_id", "text").schema,
+        featured,
+        new_scratch_path(spark, "streamed"),
+        new_scratch_path(spark, "stream-progress"),
+    )
+    return rounded(rows)
+
+
 @query
 def tokens_ws(spark, folder):
     tokens = F.posexplode(tx.whitespace_tokens(F.col("sentence"))).alias("pos", "token")
