@@ -9,20 +9,28 @@ matches that continue each other are joined into longest verbatim matches with t
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgrain.llm.arrow_text import piece_codes, shards, utf8, word_spans
+from lexgrain.session import new_scratch_path
 
 WINDOW_WORDS = 13
-#: Benchmark text in one broadcast; a larger benchmark is looked up block after block.
-BLOCK_BYTES = 16 << 20
+#: Benchmark text in one block; a larger benchmark is looked up block after block.
+BLOCK_BYTES = 4 << 20
+#: Training text for which a task reads the blocks once.
+SWEEP_BYTES = 64 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -59,37 +67,53 @@ def words_of(texts: pa.Array) -> Words:
 class TestSuffixes:
     """The windows of one block of test items: every suffix, cut at the window's length.
 
-    ``keys`` are the distinct windows as big-endian symbols, ``owners`` the items of each, and
-    ``least[s]`` the length of the shortest window that begins with symbol s.
+    ``keys`` are the distinct windows as big-endian symbols, padded with zeros, ``lengths`` the words
+    of each, and ``least[s]`` the length of the shortest window that begins with symbol s.  The items
+    of window k are ``owners[borders[k]:borders[k + 1]]``, numbers of the block's ``names``.
     """
 
+    names: list[str]
     vocabulary: pa.Array
     keys: np.ndarray
     lengths: np.ndarray
-    owners: list[np.ndarray]
+    owners: np.ndarray
+    borders: np.ndarray
     least: np.ndarray
     width: int
 
+    def items(self, window: int) -> np.ndarray:
+        return self.owners[self.borders[window] : self.borders[window + 1]]
 
-def test_suffixes(texts: list[str | None], window: int = WINDOW_WORDS) -> TestSuffixes:
+    def tops(self) -> np.ndarray:
+        """Each key followed by the largest possible symbols."""
+        table = self.keys.view(">u4").reshape(len(self.keys), self.width // 4)
+        after = np.arange(table.shape[1]) >= self.lengths[:, None]
+        return np.ascontiguousarray(np.where(after, 0xFFFFFFFF, table).astype(">u4")).view(f"S{self.width}").ravel()
+
+
+def test_suffixes(names: list[str], texts: list[str | None], window: int = WINDOW_WORDS) -> TestSuffixes:
     words = words_of(pa.array(texts, pa.string()))
-    vocabulary, rows = words.distinct, words.rows
-    symbols = words.codes.astype(">u4") + 1
-    found: dict[bytes, list[int]] = {}
-    begin = 0
-    for item, end in enumerate(rows.tolist()):
-        size = min(window, end - begin)
-        for at in range(begin, end - size + 1) if size else ():
-            found.setdefault(symbols[at : at + size].astype(">u4").tobytes(), []).append(item)
-        begin = end
-    keys = sorted(found)
-    lengths = np.array([len(k) // 4 for k in keys], np.int64)
-    least = np.full(len(vocabulary) + 1, np.iinfo(np.int64).max)
-    first = [int.from_bytes(k[:4], "big") for k in keys]
-    np.minimum.at(least, first, lengths)
-    width = int(lengths.max(initial=1)) * 4
-    owners = [np.unique(found[k]) for k in keys]
-    return TestSuffixes(vocabulary, np.array(keys, f"S{width}"), lengths, owners, least, width)
+    symbols = words.codes + 1
+    begins = np.concatenate([[0], words.rows[:-1]]).astype(np.int64)
+    sizes = np.minimum(window, words.rows - begins)
+    counts = np.where(sizes > 0, words.rows - begins - sizes + 1, 0)
+    item = np.repeat(np.arange(len(sizes)), counts)
+    starts = begins[item] + np.arange(len(item)) - np.repeat(np.cumsum(counts) - counts, counts)
+    size = sizes[item]
+    steps = np.arange(max(int(size.max(initial=1)), 1))
+    places = np.minimum(starts[:, None] + steps, max(len(symbols) - 1, 0))
+    inside = steps < size[:, None]
+    table = np.where(inside, symbols[places] if len(symbols) else 0, 0).astype(">u4")
+    width = len(steps) * 4
+    keys, first, of = np.unique(
+        np.ascontiguousarray(table).view(f"S{width}").ravel(), return_index=True, return_inverse=True
+    )
+    pairs = np.unique(np.stack([of, item]), axis=1)
+    borders = np.searchsorted(pairs[0], np.arange(len(keys) + 1))
+    least = np.full(len(words.distinct) + 1, np.iinfo(np.int64).max)
+    if len(item):
+        np.minimum.at(least, symbols[starts], size)
+    return TestSuffixes(names, words.distinct, keys, size[first], pairs[1].astype(np.int32), borders, least, width)
 
 
 def suffix_array(words: Words, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
@@ -130,12 +154,8 @@ class Matches:
 def find_windows(words: Words, test: TestSuffixes) -> Matches:
     suffixes, positions = suffix_array(words, test)
     low = np.searchsorted(suffixes, test.keys, side="left")
-    # The last suffix that begins with a key: its symbols, then the largest possible ones.
-    high_keys = np.frombuffer(
-        b"".join(k.ljust(n * 4, b"\0").ljust(test.width, b"\xff") for k, n in zip(test.keys.tolist(), test.lengths, strict=True)),
-        f"S{test.width}",
-    )
-    high = np.searchsorted(suffixes, high_keys, side="right")
+    # The last suffix that begins with a key.
+    high = np.searchsorted(suffixes, test.tops(), side="right")
     counts = high - low
     windows = np.repeat(np.arange(len(counts)), counts)
     nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -158,40 +178,45 @@ class ShardHits:
 
     n_words: np.ndarray
     spans: list[list[tuple[int, int]]]
-    items: list[set[int]]
+    items: list[set[str]]
     longest: np.ndarray
 
 
-def shard_hits(texts: pa.Array, blocks: Callable[[], Iterator[TestSuffixes]], sizes: list[int]) -> ShardHits:
-    words = words_of(texts)
-    rows = words.rows
-    begins = np.concatenate([[0], rows[:-1]]).astype(np.int64)
-    n = len(words.codes)
-    spans: list[list[tuple[int, int]]] = [[] for _ in rows]
-    items: list[set[int]] = [set() for _ in rows]
-    everywhere = Matches(*(np.zeros(0, np.int64) for _ in range(3)))
-    longest = np.zeros(len(rows), np.int64)
-    base = 0
-    for test, size in zip(blocks(), sizes, strict=True):
-        found = find_windows(words, test)
-        of = np.searchsorted(rows, found.positions, side="right")
+class ShardSearch:
+    """The words of a shard and what the blocks looked up so far have found in it."""
+
+    def __init__(self, texts: pa.Array):
+        self.words = words_of(texts)
+        self._items: list[set[str]] = [set() for _ in self.words.rows]
+        self._found: list[Matches] = []
+        self._longest = np.zeros(len(self.words.rows), np.int64)
+
+    def look_up(self, test: TestSuffixes) -> None:
+        found = find_windows(self.words, test)
+        of = np.searchsorted(self.words.rows, found.positions, side="right")
         pairs = np.unique(np.stack([of, found.windows]), axis=1) if len(of) else np.zeros((2, 0), int)
         for row, window in pairs.T.tolist():
-            items[row].update((base + test.owners[window]).tolist())
-        _longest_matches(found, of, test, longest)
+            self._items[row].update(test.names[i] for i in test.items(window))
+        _longest_matches(found, of, test, self._longest)
+        self._found.append(found)
+
+    def hits(self) -> ShardHits:
+        rows = self.words.rows
+        begins = np.concatenate([[0], rows[:-1]]).astype(np.int64)
+        spans: list[list[tuple[int, int]]] = [[] for _ in rows]
+        nothing = Matches(*(np.zeros(0, np.int64) for _ in range(3)))
         everywhere = Matches(
-            *(np.concatenate([a, b]) for a, b in zip(vars(everywhere).values(), vars(found).values(), strict=True))
+            *(np.concatenate(parts) for parts in zip(*(vars(m).values() for m in [nothing, *self._found]), strict=True))
         )
-        base += size
-    for start, end in zip(*(x.tolist() for x in _spans(everywhere, n)), strict=True):
-        row = int(np.searchsorted(rows, start, side="right"))
-        # A run may go on into the next text where both are hit up to their border.
-        while start < end:
-            stop = min(end, int(rows[row]))
-            if stop > start:
-                spans[row].append((start - int(begins[row]), stop - int(begins[row])))
-            start, row = max(start, stop), row + 1
-    return ShardHits(rows - begins, spans, items, longest)
+        for start, end in zip(*(x.tolist() for x in _spans(everywhere, len(self.words.codes))), strict=True):
+            row = int(np.searchsorted(rows, start, side="right"))
+            # A run may go on into the next text where both are hit up to their border.
+            while start < end:
+                stop = min(end, int(rows[row]))
+                if stop > start:
+                    spans[row].append((start - int(begins[row]), stop - int(begins[row])))
+                start, row = max(start, stop), row + 1
+        return ShardHits(rows - begins, spans, self._items, self._longest)
 
 
 def _longest_matches(found: Matches, of: np.ndarray, test: TestSuffixes, longest: np.ndarray) -> None:
@@ -205,38 +230,106 @@ def _longest_matches(found: Matches, of: np.ndarray, test: TestSuffixes, longest
         if of[k] != row:
             row, last = int(of[k]), {}
         here, size = int(found.positions[k]), int(found.lengths[k])
-        for item in test.owners[int(found.windows[k])].tolist():
+        for item in test.items(int(found.windows[k])).tolist():
             begin, end = last.get(item, (here, here))
             begin = begin if end == here + size - 1 and size == WINDOW_WORDS else here
             last[item] = (begin, here + size)
             longest[row] = max(longest[row], here + size - begin)
 
 
-def _blocks(benchmark: DataFrame, id_column: str, text_column: str, block_bytes: int):
-    """``[(ids, texts)]``: the test items in blocks of bounded size."""
-    block: list[tuple] = []
-    held = 0
-    for row in benchmark.select(
-        F.col(id_column).cast("string").alias("i"), F.col(text_column).alias("t")
-    ).toLocalIterator():
-        size = len(row["t"] or "")
-        if block and held + size > block_bytes:
-            yield block
-            block, held = [], 0
-        block.append((row["i"], row["t"]))
-        held += size
-    if block:
-        yield block
+def _written_blocks(benchmark: DataFrame, id_column: str, text_column: str, block_bytes: int) -> str:
+    """Build the blocks in tasks, one row each, and write them to the shared folder.
 
+    Only the number of bytes reaches the driver.  Items are dealt by their hash, equal rows once.
+    """
+    spark = benchmark.sparkSession
+    items = benchmark.select(
+        F.coalesce(F.col(id_column).cast("string"), F.lit("null")).alias("name"),
+        F.coalesce(F.col(text_column), F.lit("")).alias("text"),
+    )
+    held = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[str] = []
+        texts: list[str] = []
+        size = 0
+
+        def block() -> pa.RecordBatch:
+            payload = pickle.dumps(test_suffixes(names, texts))
+            return pa.RecordBatch.from_arrays([pa.array([payload], pa.binary())], names=["block"])
+
+        for batch in batches:
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if texts and size + len(text) > block_bytes:
+                    yield block()
+                    names, texts, size = [], [], 0
+                names.append(name)
+                texts.append(text)
+                size += len(text)
+        if texts:
+            yield block()
+
+    path = new_scratch_path(spark, "benchmark-blocks")
+    dealt = items.distinct().repartition(max(1, -(-held // block_bytes)), F.xxhash64("name", "text"))
+    dealt.mapInArrow(build, "block binary").write.parquet(path)
+    return path
+
+
+def _places(path: str) -> list[tuple[fs.FileSystem, str]]:
+    """File system and name of the files of blocks, in a fixed order."""
+    system, root = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    found = system.get_file_info(fs.FileSelector(root))
+    return [(system, file) for file in sorted(f.path for f in found if f.path.endswith(".parquet"))]
+
+
+@lru_cache(maxsize=1)
+def _only_block(path: str) -> TestSuffixes | None:
+    """The block of a benchmark that has one, kept by the worker; None if there are several."""
+    blocks = list(islice(_stored_blocks(path), 2))
+    if not blocks:
+        return test_suffixes([], [])
+    return blocks[0] if len(blocks) == 1 else None
+
+
+def _stored_blocks(path: str) -> Iterator[TestSuffixes]:
+    for system, file in _places(path):
+        with system.open_input_file(file) as source:
+            for batch in pq.ParquetFile(source).iter_batches(batch_size=1, columns=["block"]):
+                for payload in batch.column("block"):
+                    yield pickle.loads(payload.as_buffer())
+
+
+def _blocks(path: str) -> Iterator[TestSuffixes]:
+    only = _only_block(path)
+    if only is not None:
+        yield only
+    else:
+        yield from _stored_blocks(path)
+
+
+def _searched(
+    batches: Iterator[pa.RecordBatch], text: str, path: str
+) -> Iterator[tuple[pa.RecordBatch, ShardHits]]:
+    """Shards with their hits.  All blocks are read once for ``SWEEP_BYTES`` of text, one at a time."""
+    sweep: list[tuple[pa.RecordBatch, ShardSearch]] = []
+    held = 0
 
-def _lookup(spark: SparkSession, benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
-    """``(broadcasts, item ids, items by block)``."""
-    sent, ids, sizes = [], [], []
-    for block in _blocks(benchmark, item_id, text, block_bytes):
-        sent.append(spark.sparkContext.broadcast(test_suffixes([t for _, t in block])))
-        ids += [i for i, _ in block]
-        sizes.append(len(block))
-    return sent, ids, sizes
+    def searched() -> Iterator[tuple[pa.RecordBatch, ShardHits]]:
+        for test in _blocks(path):
+            for _, search in sweep:
+                search.look_up(test)
+        for shard, search in sweep:
+            yield shard, search.hits()
+
+    for shard in shards(batches, text):
+        size = shard.column(text).nbytes
+        if sweep and held + size > SWEEP_BYTES:
+            yield from searched()
+            sweep, held = [], 0
+        sweep.append((shard, ShardSearch(shard.column(text))))
+        held += size
+    if sweep:
+        yield from searched()
 
 
 REPORT = (
@@ -277,16 +370,15 @@ def contamination(
     A window is 13 consecutive words of an item, or the whole item if it has fewer.  Null and empty
     texts have no words and no hits; null ids and repeated rows are judged like others; items with
     one id count once, an item without id counts as ``null``; an empty benchmark hits nothing.
-    Nothing is shuffled: a document is judged where it is read.
+    No document is shuffled: each is judged where it is read.  Tasks build the blocks of the benchmark
+    in the shared folder, and read one at a time.
     """
-    sent, ids, sizes = _lookup(spark, benchmark, item_column, item_text, block_bytes)
-    names = [i if i is not None else "null" for i in ids]
+    path = _written_blocks(benchmark, item_column, item_text, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches):
-            hits = shard_hits(shard.column("text"), lambda: (b.value for b in sent), sizes)
+        for shard, hits in _searched(batches, "text", path):
             n_hit = [sum(e - s for s, e in spans) for spans in hits.spans]
-            found = [sorted({names[i] for i in items}) for items in hits.items]
+            found = [sorted(items) for items in hits.items]
             n_words = hits.n_words.tolist()
             columns = [
                 shard.column("doc_id").cast(pa.int64()),
@@ -321,11 +413,10 @@ def drop_contaminated(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all their columns."""
-    sent, _, sizes = _lookup(spark, benchmark, item_column, item_text, block_bytes)
+    path = _written_blocks(benchmark, item_column, item_text, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, text_column):
-            hits = shard_hits(shard.column(text_column), lambda: (b.value for b in sent), sizes)
+        for shard, hits in _searched(batches, text_column, path):
             clean = [
                 not _is_contaminated(sum(e - s for s, e in spans), n, one_in)
                 for spans, n in zip(hits.spans, hits.n_words.tolist(), strict=True)

@@ -3,7 +3,7 @@ import pytest
 from check_oracle import compare, connect
 
 import __spark_entry__ as contract
-from lexgrain.llm.decontaminate import contamination, drop_contaminated
+from lexgrain.llm.decontaminate import _stored_blocks, _written_blocks, contamination, drop_contaminated
 from lexgrain.llm.licenses import known_licenses, license_scan
 from lexgrain.llm.secret_scan import BASE_RULES, Rule, find_secrets, secret_report, trigram_query
 from lexgrain.llm.url_filter import url_verdicts
@@ -56,6 +56,31 @@ def test_contamination_matches_brute_force(spark, make, edge_rows):
     assert longest[100] == 20 and longest[101] == 13 and longest[105] == 14 and longest[103] == 3
 
 
+def test_blocks_hold_every_window_once(spark):
+    """Items dealt to blocks in tasks: together they hold each item's windows, ids as strings."""
+    texts = [(i, " ".join(f"w{(i * k) % 37}" for k in range(i))) for i in range(1, 60)] + [(7, None), (None, "a b")]
+    items = spark.createDataFrame(texts, "item_id long, text string")
+    path = _written_blocks(items, "item_id", "text", 500)
+    blocks = list(_stored_blocks(path))
+    assert len(blocks) > 5
+    found = set()
+    for block in blocks:
+        spelled = [w.decode() for w in block.vocabulary.to_pylist()]
+        table = block.keys.view(">u4").reshape(len(block.keys), block.width // 4)
+        for window, (row, size) in enumerate(zip(table.tolist(), block.lengths.tolist(), strict=True)):
+            words = tuple(spelled[s - 1] for s in row[:size])
+            for item in block.items(window).tolist():
+                assert (block.names[item], words) not in found
+                found.add((block.names[item], words))
+    expected = set()
+    for item, text in texts:
+        words = (text or "").split()
+        size = min(13, len(words))
+        for k in range(len(words) - size + 1 if size else 0):
+            expected.add((str(item) if item is not None else "null", tuple(words[k : k + size])))
+    assert found == expected
+
+
 def test_contamination_without_rows_or_items(spark, make, edge_rows):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert contamination(spark, make([]), items).count() == 0
