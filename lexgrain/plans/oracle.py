@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from lexgrain.functions import charclasses as cc
 from lexgrain.operators.features import FEATURES
+from lexgrain.operators.subwords import byte_letters
+from lexgrain.plans.relations import PIECES
 
 WS, NOT_WS = cc.WS, cc.NOT_WS
 PUNCT = f"[{cc.PUNCTUATION.replace(chr(39), chr(39) * 2)}]"
@@ -178,6 +180,39 @@ placed as (
     q1 - 1.5 * (q3 - q1) as lo, q3 + 1.5 * (q3 - q1) as hi
   from counted c join fences f on c.label = f.label)"""
 
+# Words in byte-level letters, then from place to place by the longest piece; a piece that reaches the
+# last letter must hold the end mark as well.
+LETTERS = ", ".join("'" + letter.replace("'", "''") + "'" for letter in byte_letters())
+SUBWORDS = f"""{WORDS},
+pieces as (
+  select key as piece, value::int as piece_id, length(key) as size
+  from json_each((select content from read_text('{PIECES}')), '$.model.vocab')),
+spelled as (
+  select word, list_aggregate(list_transform(range(1, octet_length(encode(word)) + 1),
+    lambda i: [{LETTERS}][('0x' || hex(encode(word))[2 * i - 1:2 * i])::int + 1]),
+    'string_agg', '') as w
+  from (select distinct word from words)),
+places as (select word, w, unnest(range(1, length(w) + 1)) as place from spelled),
+tries as (
+  select word, place, size,
+    substring(w, place, size) || case when place + size > length(w) then '</w>' else '' end as piece
+  from places, (select unnest(range(1, (select max(size) + 1 from pieces))) as size)
+  where place + size <= length(w) + 1),
+best as (
+  select word, place, max(t.size) as step, arg_max(piece_id, t.size) as piece_id
+  from tries t join pieces using (piece) group by word, place),
+chain as (
+  with recursive steps as (
+    select word, 1::bigint as place from spelled
+    union all
+    select s.word, s.place + b.step from steps s join best b on s.word = b.word and s.place = b.place)
+  select word, place, piece_id from steps join best using (word, place)),
+cut as (select word, list(piece_id order by place) as ids from chain group by word),
+pieced as (
+  select id, coalesce(flatten(list(ids order by pos)), []) as ids from words join cut using (word)
+  group by id),
+filled as (
+  select sent.id, coalesce(ids, []) as ids from sent left join pieced on sent.id = pieced.id)"""
 ORACLE: dict[str, str] = {
     "pair_explode": f"with {PAIRS} select conv_id, pair_no, pos, sentence, label from turns",
     "positional_ids": f"""with {PAIRS}
@@ -398,11 +433,23 @@ names as (
 select name, count(*) as n,
   coalesce(nullif(regexp_replace(name, '[^0-9]', '', 'g'), '')::bigint, 999) as sort_key
 from names group by name""",
+    "subword_inputs": f"""with {SUBWORDS}
+select id, array_to_string(list_resize(ids[:128], 128, 0), ',') as input_ids,
+  rpad(repeat('1', least(len(ids), 128)::int), 128, '0') as mask, len(ids) as n_pieces,
+  len(ids) > 128 as truncated from filled""",
     "vocab_overlap": f"""with {WORDS},
 flags as (
   select word, bool_or(label = 0) as a, bool_or(label = 1) as b from words group by word)
 select count(*) filter (a and not b) as only_first, count(*) filter (b and not a) as only_second,
   count(*) filter (a and b) as shared from flags""",
+    "sketched_vocab_by_label": f"""with {WORDS}
+select label, count(distinct word) as unique_words, count(*) as total_words, 0::bigint as bound
+from words group by label""",
+    "sketched_vocab_overlap": f"""with {WORDS},
+flags as (
+  select word, bool_or(label = 0) as a, bool_or(label = 1) as b from words group by word)
+select count(*) filter (a and not b) as only_first, count(*) filter (b and not a) as only_second,
+  count(*) filter (a and b) as shared, 0::bigint as bound from flags""",
     "vocab_except": f"""with {WORDS}
 select word from words where label = 0 except select word from words where label = 1""",
     "vocab_intersect": f"""with {WORDS}

@@ -18,7 +18,9 @@ from lexgrain.operators import (
     models,
     profile,
     quantiles,
+    sketches,
     splits,
+    subwords,
 )
 from lexgrain.operators.layout import with_positions
 from lexgrain.operators.tfidf import TfidfModel, ngram_frequencies, ngram_rows, vocabulary
@@ -403,6 +405,24 @@ def vocab_overlap(spark, folder):
     return profile.vocab_overlap(rel.sent(spark, folder))
 
 
+def _stored_sketches(spark, folder):
+    """Sketches by part and label, written to a folder and merged from there."""
+    path = new_scratch_path(spark, "sketches")
+    parts = rel.sent(spark, folder).withColumn("part", F.col("id") % 8)
+    sketches.store_sketches(sketches.vocabulary_sketches(parts, ("part", "label")), path)
+    return sketches.merged_sketches(spark.read.parquet(path))
+
+
+@query
+def sketched_vocab_by_label(spark, folder):
+    return sketches.sketched_sizes(_stored_sketches(spark, folder))
+
+
+@query
+def sketched_vocab_overlap(spark, folder):
+    return sketches.sketched_overlap(_stored_sketches(spark, folder))
+
+
 @query
 def vocab_except(spark, folder):
     return profile.vocab_except(rel.sent(spark, folder))
@@ -511,6 +531,20 @@ def log_metric_extract(spark, folder):
     return compare.log_accuracy(rel.logs(spark, folder))
 
 
+@query
+def subword_inputs(spark, folder):
+    """Model inputs of 128 ids by longest match in a public vocabulary."""
+    trie = subwords.PieceTrie.of(subwords.read_pieces(rel.PIECES))
+    made = subwords.subword_inputs(rel.sent(spark, folder), trie, 128)
+    return made.select(
+        "id",
+        F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("input_ids"),
+        F.array_join(F.col("attention_mask").cast("array<string>"), "").alias("mask"),
+        "n_pieces",
+        "truncated",
+    )
+
+
 @query
 def truncate_pad(spark, folder):
     length = 128

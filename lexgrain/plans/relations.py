@@ -9,6 +9,8 @@ from lexgrain.functions.scores import binary_argmax, positive_probability
 from lexgrain.operators.metrics import accuracy_column
 
 FOLDS = 5
+#: A public vocabulary with word ends.
+PIECES = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
