@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from lexgrain.llm.decontaminate import WINDOW_WORDS
-from lexgrain.llm.licenses import EQUIVALENT, KNOWN
+from lexgrain.llm.license_texts import complete_texts
+from lexgrain.llm.licenses import EQUIVALENT, KNOWN, NO_NOTICE
 from lexgrain.llm.secret_scan import BASE_RULES, MORE_RULES
 
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -19,9 +20,11 @@ def _kept(text: str) -> str:
     words = f"(' ' || replace({words}, chr(10), ' ' || chr(10) || ' ') || ' ')"
     for other, usual in EQUIVALENT:
         words = f"replace({words}, ' {other} ', ' {usual} ')"
-    copyright = "'^(copyright |copr |c \\d{4}\\b|all rights reserved$)'"
     trimmed = f"list_transform(string_split({words}, chr(10)), lambda l: trim(l))"
-    return f"list_filter({trimmed}, lambda l: NOT regexp_matches(l, {copyright}))"
+    sentence = f"'^copyright ({'|'.join(NO_NOTICE)})( |$)'"
+    notice = f"starts_with(l, 'copyright ') AND NOT regexp_matches(l, {sentence})"
+    other = "regexp_matches(l, '^((copyright )?c \\d{4}( |$)|copyright c |copr |all rights reserved$)')"
+    return f"list_filter({trimmed}, lambda l: NOT (({notice}) OR {other}))"
 
 
 def _joined(lines: str) -> str:
@@ -30,7 +33,7 @@ def _joined(lines: str) -> str:
 
 LICENSES = f"""
     WITH known_texts(i, license, text) AS (
-        VALUES {", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate(KNOWN))}
+        VALUES {", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate([*KNOWN, *complete_texts()]))}
     ), known AS (
         SELECT arg_min(license, i) AS license, {_joined(_kept("text"))} AS unit FROM known_texts GROUP BY 2
     ), plain AS (

@@ -1,10 +1,12 @@
 import re
 import textwrap
 
+import duckdb
 import pytest
 
 from lexgrain.llm.license_texts import complete_texts
-from lexgrain.llm.licenses import canonical_digest, known_licenses, license_scan
+from lexgrain.llm.licenses import KNOWN, NO_NOTICE, canonical_digest, known_licenses, license_scan
+from lexgrain.llm.oracle import LICENSES
 
 ISC = """Permission to use, copy, modify, and/or distribute this software for any
 purpose with or without fee is hereby granted, provided that the above
@@ -59,3 +61,20 @@ def test_a_license_with_a_notice_of_its_own(make, known):
     rows = [(1, f"The MIT License (MIT)\n\nCopyright (c) 2020 Some Body\n\n{mit}\n"), (2, f"{mit}\n\nMore.")]
     got = {r["doc_id"]: (r["whole_license"], r["licenses"]) for r in license_scan(make(rows), known).collect()}
     assert got == {1: ("MIT", "MIT"), 2: (None, "MIT")}
+
+
+def test_sql_follows_the_same_rules(make, known):
+    """Wrapped licences, notices and sentences about copyright, by SQL and by the operator."""
+    texts = complete_texts()
+    lines = [f"copyright {w} x" for w in [*NO_NOTICE, "c 2020", "2021 y", "2021y", "c", "someone", "andere", "and\u00e9"]]
+    rows = [(1000 * w + i, wrapped(t, w)) for w in (47, 200) for i, (_, t) in enumerate(texts)]
+    rows += [(5000 + i, f"{line}\n{notice}") for i, (line, (_, notice)) in enumerate(zip(lines, [*KNOWN] * 20, strict=False))]
+    rows += [(6000 + i, f"{notice} {line}") for i, (line, (_, notice)) in enumerate(zip(lines, [*KNOWN] * 20, strict=False))]
+    rows += [(7000, None), (7001, ""), (7002, f"(c) 1999 X\nCopr. Y\nAll rights reserved.\n{ISC}")]
+    connection = duckdb.connect()
+    connection.execute("create table documents (doc_id bigint, text varchar)")
+    connection.executemany("insert into documents values (?, ?)", rows)
+    expected = sorted(connection.execute(LICENSES).fetchall())
+    got = sorted(map(tuple, license_scan(make(rows), known).collect()))
+    assert got == expected
+    assert sum(row[1] is not None for row in got) > 2 * len(texts)
