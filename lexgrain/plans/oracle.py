@@ -591,3 +591,4 @@ select id, round(1 / (1 + exp(-avg(l1))), 5) as pred_prob, (avg(l1) > 0)::int as
 from logits group by id""",
     "stored_fold_scores": f"{FOLD_MODELS} select id, fold, round(l1, 5) as l1 from logits",
 }
+ORACLE["oof_reconciliation"] = ORACLE["oof_alignment_check"]

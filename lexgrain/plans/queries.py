@@ -18,6 +18,7 @@ from lexgrain.operators import (
     models,
     profile,
     quantiles,
+    reconcile,
     sketches,
     splits,
     subwords,
@@ -214,20 +215,33 @@ def pairwise_agreement(spark, folder):
     return rounded(compare.pairwise_agreement(rel.preds(spark, folder)))
 
 
-@query
-def oof_alignment_check(spark, folder):
+def _aligned_sets(spark, folder):
     """Two aligned sets, two of different ids, and two with repeated ids and other labels."""
     a, b = rel.oof(spark, folder, 0), rel.oof(spark, folder, 1)
     other = rel.labelled_ids(spark, folder).select("id", "label")
     third, fifth = a.where("id % 3 = 0"), a.where("id % 5 = 0")
     flipped = third.withColumn("label", 1 - F.col("label"))
     repeated, changed = ensemble.union_all([a, third]), ensemble.union_all([a, flipped, fifth])
-    sets = {"a_b": (a, b), "a_sent": (a, other), "repeated": (repeated, changed)}
+    return {"a_b": (a, b), "a_sent": (a, other), "repeated": (repeated, changed)}
+
+
+def _reports(sets, report):
     return ensemble.union_all(
-        [
-            ensemble.alignment_report(x, y).withColumn("sets", F.lit(name))
-            for name, (x, y) in sets.items()
-        ]
+        [report(x, y, name).withColumn("sets", F.lit(name)) for name, (x, y) in sets.items()]
+    )
+
+
+@query
+def oof_alignment_check(spark, folder):
+    return _reports(_aligned_sets(spark, folder), lambda x, y, _: ensemble.alignment_report(x, y))
+
+
+@query
+def oof_reconciliation(spark, folder):
+    """The same sets by fingerprints of id ranges; rows are compared only where these differ."""
+    return _reports(
+        _aligned_sets(spark, folder),
+        lambda x, y, name: reconcile.reconciliation_report(x, y, unique_ids=name != "repeated"),
     )
 
 
