@@ -1,8 +1,9 @@
 """Sub-word ids of fixed length by longest match, for batches of model inputs.
 
 A vocabulary becomes a trie of flat sorted arrays: an edge is ``node * 256 + byte``, its child stands at
-the same place of another array.  All byte positions of the distinct words of an Arrow batch walk
-the trie together, one binary search a step, so the steps are as many as the longest piece has bytes.
+the same place of another array.  All byte positions of the distinct words of a stretch of an Arrow
+batch walk the trie together, one binary search a step, so the steps are as many as the longest piece
+has bytes.  Stretches are bounded in words and bytes.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from lexgrain.functions.text import whitespace_tokens
 
 #: The end of a word; this byte never occurs in UTF-8.
 END = 0xFF
+#: Words of a batch that are cut at once, and their bytes; a longer word is cut alone.
+MOST_WORDS, MOST_BYTES = 1 << 18, 1 << 22
 #: A larger vocabulary is refused, since every worker holds it.
 MAX_PIECES = 1 << 20
 
@@ -137,6 +140,54 @@ def byte_letters() -> list[str]:
     return [chr(b if b in printable else next(others)) for b in range(256)]
 
 
+def _stretches(words: pa.Array, most_words: int, most_bytes: int) -> Iterator[pa.Array]:
+    """Consecutive words: at most ``most_words`` with ``most_bytes``, or one longer word."""
+    _, ends, _ = words.buffers()
+    width = np.int64 if pa.types.is_large_string(words.type) else np.int32
+    offsets = np.frombuffer(ends, width)[words.offset : words.offset + len(words) + 1] if len(words) else None
+    begin = 0
+    while begin < len(words):
+        stop = min(int(offsets[begin]) + most_bytes, int(offsets[-1]))
+        end = int(np.searchsorted(offsets, width(stop), side="right")) - 1  # the same type: no copy
+        end = min(max(end, begin + 1), begin + most_words, len(words))
+        yield words.slice(begin, end - begin)
+        begin = end
+
+
+def _first_pieces(
+    lists: pa.ListArray, trie: PieceTrie, max_length: int, unknown: int, pad: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """``(ids, sizes)``: the first ``max_length`` ids of each list of words, padded, and all its pieces.
+
+    Words are cut stretch by stretch, across lists, so what is held beside the batch and the result
+    depends neither on the rows of a batch nor on the length of their texts.
+    """
+    table = np.full((len(lists), max_length), pad, np.int32)
+    sizes = np.zeros(len(lists), np.int64)
+    last = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    done = 0
+    for words in _stretches(lists.flatten(), MOST_WORDS, MOST_BYTES):
+        spelled = words.dictionary_encode()
+        codes = spelled.indices.to_numpy(zero_copy_only=False)
+        ids, borders = trie.words(spelled.dictionary.cast(pa.binary()).to_pylist(), unknown)
+        counts = np.diff(borders)[codes]
+        row = np.searchsorted(last, np.arange(done, done + len(words)), side="right")
+        done += len(words)
+        before = np.cumsum(counts) - counts
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        runs = np.diff(np.r_[first, len(row)])
+        # Place of a word's first piece in its text.
+        place = before - np.repeat(before[first], runs) + sizes[row]
+        sizes[row[first]] += np.add.reduceat(counts, first)
+        kept = np.flatnonzero(place < max_length)
+        taken = np.minimum(counts[kept], max_length - place[kept])
+        step = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)
+        table[np.repeat(row[kept], taken), np.repeat(place[kept], taken) + step] = ids[
+            np.repeat(borders[codes[kept]], taken) + step
+        ]
+    return table, sizes
+
+
 def subword_inputs(
     df: DataFrame,
     trie: PieceTrie,
@@ -156,34 +207,23 @@ def subword_inputs(
     held = spark.sparkContext.broadcast(trie)  # bounded by MAX_PIECES
     kind = df.schema[id].dataType
     words = df.select(F.col(id).alias("id"), whitespace_tokens(F.coalesce(F.col(text), F.lit(""))).alias("words"))
-    steps = np.arange(max_length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("words")
-            spelled = lists.flatten().dictionary_encode()
-            codes = spelled.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            ids, borders = held.value.words(spelled.dictionary.cast(pa.binary()).to_pylist(), unknown)
-            counts = np.diff(borders)[codes]
-            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-            # Pieces of all words in the order of the texts.
-            pieces = ids[np.repeat(borders[codes] - ends[:-1], counts) + np.arange(ends[-1])]
-            rows = ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])]
-            sizes = np.diff(rows)
-            real = steps < sizes[:, None]
-            places = np.minimum(rows[:-1, None] + steps, max(len(pieces) - 1, 0))
-            table = np.where(real, pieces[places] if len(pieces) else 0, pad)
+            table, sizes = _first_pieces(batch.column("words"), held.value, max_length, unknown, pad)
+            real = np.arange(max_length) < sizes[:, None]
             offsets = pa.array(np.arange(len(sizes) + 1) * max_length, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
-                    pa.ListArray.from_arrays(offsets, pa.array(table.ravel(), pa.int32())),
+                    pa.ListArray.from_arrays(offsets, pa.array(table.ravel())),
                     pa.ListArray.from_arrays(offsets, pa.array(real.ravel().astype(np.int32))),
-                    pa.array(sizes, pa.int64()),
+                    pa.array(sizes),
                     pa.array(sizes > max_length),
                 ],
                 names=["id", "input_ids", "attention_mask", "n_pieces", "truncated"],
             )
+            pa.default_memory_pool().release_unused()
 
     return words.mapInArrow(
         run,

@@ -1,9 +1,12 @@
 """Longest-match pieces against a plain search, and padded inputs against plain lists."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
+from lexgrain.operators import subwords
 from lexgrain.operators.subwords import END, PieceTrie, byte_letters, read_pieces, subword_inputs
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
@@ -81,3 +84,33 @@ def test_inputs_are_truncated_and_padded(spark):
         )
     assert got == sorted(expected, key=repr)
     assert subword_inputs(df.limit(0), trie, 4).collect() == []
+
+
+@pytest.mark.parametrize("bounds", [(1, 1), (3, 7), (1 << 16, 1 << 20)])
+def test_stretches_cut_across_rows(monkeypatch, bounds):
+    monkeypatch.setattr(subwords, "MOST_WORDS", bounds[0])
+    monkeypatch.setattr(subwords, "MOST_BYTES", bounds[1])
+    pieces = {b"a": 1, b"ab": 2, b"b": 3, b"ba": 4}
+    draw = random.Random(2)
+    lists = [["".join(draw.choices("abc", k=draw.randint(1, 6))) for _ in range(draw.choice([0, 0, 1, 4, 9]))] for _ in range(50)]
+    column = pa.array([["x"], *lists], pa.list_(pa.string())).slice(1)
+    table, sizes = subwords._first_pieces(column, PieceTrie.of(pieces.items()), 5, 9, -1)
+    whole = [[i for w in words for i in plain_pieces(w, pieces, 9, False)] for words in lists]
+    assert sizes.tolist() == [len(ids) for ids in whole]
+    assert table.tolist() == [(ids + [-1] * 5)[:5] for ids in whole]
+
+
+def test_memory_does_not_grow_with_the_words_of_a_batch(monkeypatch):
+    monkeypatch.setattr(subwords, "MOST_WORDS", 1 << 14)
+    trie = PieceTrie.of([(b"a", 1), (b"b", 2)])
+    draw = random.Random(1)
+    words = ["".join(draw.choices("ab", k=8)) for _ in range(50_000)]
+    peaks = []
+    for times in (1, 8):
+        column = pa.array([words * times], pa.list_(pa.string()))
+        tracemalloc.start()
+        table, sizes = subwords._first_pieces(column, trie, 128, 0, 0)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert sizes.tolist() == [400_000 * times]
+    assert peaks[1] < 1.2 * peaks[0]
