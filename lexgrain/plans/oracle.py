@@ -578,14 +578,89 @@ logits as (
     + wb * ((length(sentence) - length(replace(sentence, ' ', ''))) / (length(sentence) + 1.0::double)) as l1
   from test t, fitted)"""
 
+# Spark ML's hash of a word: 32-bit MurmurHash3 with seed 42 over its bytes, cut to 16 bits.
+
+
+def _rotated(value: str, bits: int) -> str:
+    return f"((({value} << {bits}) & 4294967295) | ({value} >> {32 - bits}))"
+
+
+def _hex_digit(position: str) -> str:
+    return f"(strpos('0123456789ABCDEF', substr(h, ({position})::bigint, 1)) - 1)"
+
+
+SLOTS = f"""blocks as (
+  select word, size, list_transform(range((size + 3) // 4), lambda i: list_sum(list_transform(range(4),
+    lambda j: ({_hex_digit("8 * i + 2 * j + 1")} * 16 + {_hex_digit("8 * i + 2 * j + 2")}) * (1::bigint << (8 * j)))
+    )::ubigint) as ks
+  from (
+    select word, octet_length(encode(word)) as size, rpad(hex(encode(word)), (8 * ((size + 3) // 4))::int, '0') as h
+    from (select distinct word from counts))),
+mixed as (
+  select word, size, list_transform(list_transform(ks, lambda k: (k * 3432918353) & 4294967295),
+    lambda k: ({_rotated("k", 15)} * 461845907) & 4294967295) as ks
+  from blocks),
+summed as (
+  select word, xor(size::ubigint, xor(
+    list_reduce(ks[:size // 4], lambda h, k: ({_rotated("xor(h, k)", 13)} * 5 + 3864292196) & 4294967295, 42::ubigint),
+    case when size % 4 > 0 then ks[-1] else 0 end)) as h
+  from mixed),
+slots as (
+  select word, (xor(h, h >> 16) & 65535)::int as slot from (
+    select word, (xor(h, h >> 13) * 3266489909) & 4294967295 as h from (
+      select word, (xor(h, h >> 16) * 2246822507) & 4294967295 as h from summed)))"""
+
+# The models of all folds on the hashed words of whole texts.  A row r is a text, with a null fold if
+# it has no label; slot -1 is the constant.
+WORD_MODELS = f"""with recursive {KFOLD}, {TEST},
+texts as materialized (
+  select row_number() over () as r, * from (
+    select f.id, f.label, f.fold, s.sentence from folds f join sent s on f.id = s.id
+    union all
+    select id, null, null, sentence from test)),
+counts as materialized (
+  select r, word, count(*) as n
+  from (select r, unnest(regexp_extract_all(lower(sentence), '{cc.WORD_TOKEN}')) as word from texts)
+  group by all),
+{SLOTS},
+counted as materialized (select r, slot, sum(n)::double as tf from counts join slots using (word) group by all),
+seen as materialized (
+  select r, m::int as m, label::double as y, count(*) over (partition by m) as n
+  from texts, range(5) f(m) where label is not null and fold <> m),
+idf as (
+  select m, slot, ln((n + 1.0::double) / (count(*) + 1)) as idf
+  from counted join seen using (r) group by m, slot, n having count(*) >= 2),
+weighed as (select r, m, slot, tf * idf as x from counted join idf using (slot) where idf > 0),
+inputs as materialized (
+  select r, m, slot, x / sqrt(sum(x * x) over (partition by r, m)) as x from weighed
+  union all
+  select r, m::int, -1, 1.0::double from texts, range(5) f(m)),
+known as materialized (select * from inputs join seen using (r, m)),
+steps as (
+  select 0 as i, m, slot, 0.0::double as w, 0.0::double as ahead from (select distinct m, slot from known)
+  union all
+  select i + 1, m, slot, w1, w1 + (sqrt(26.0::double) - 1) / (sqrt(26.0::double) + 1) * (w1 - w) from (
+    select s.i, s.m, s.slot, s.w, s.ahead - (g.g + case when s.slot >= 0 then 0.02 * s.ahead else 0 end) / 0.52::double as w1
+    from steps s join (
+      select k.m, k.slot, sum(k.x * e.e) as g
+      from known k join (
+        select k.m, k.r, (1 / (1 + exp(-sum(s.ahead * k.x))) - any_value(k.y)) / any_value(k.n) as e
+        from known k join steps s on k.m = s.m and k.slot = s.slot group by k.m, k.r) e
+      on k.m = e.m and k.r = e.r
+      group by k.m, k.slot) g on s.m = g.m and s.slot = g.slot
+    where s.i < 40)),
+logits as (
+  select t.id, t.label, t.fold as own, m as fold, sum(w * x) as l1
+  from texts t join inputs using (r) join steps using (m, slot) where i = 40
+  group by r, t.id, t.label, t.fold, m)"""
+
 ORACLE |= {
     "json_array_scan": f"""with {SENT}
 select id // 2000 as file, case when id % 3 <> 0 then id
   else row_number() over (partition by id // 2000 order by id) - 1 end as id, sentence, label
 from sent""",
-    "oof_generate": f"""{FOLD_MODELS}
-select s.id, y::int as label, s.fold, round(1 / (1 + exp(-(wa * a + wb * b + w0))), 5) as pred_prob
-from shaped s join fitted f on s.fold = f.m""",
+    "oof_generate": f"""{WORD_MODELS}
+select id, label::int as label, fold, round(1 / (1 + exp(-l1)), 5) as pred_prob from logits where own = fold""",
     "fold_test_scores": f"""{FOLD_MODELS}
 select id, round(1 / (1 + exp(-avg(l1))), 5) as pred_prob, (avg(l1) > 0)::int as label, count(*) as n_folds
 from logits group by id""",

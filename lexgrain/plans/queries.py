@@ -621,10 +621,18 @@ def _fold_models(spark, folder):
 SHAPE = ("log_length", "space_share")
 
 
+def _word_models(spark, folder):
+    """Folded rows with the hashed words of their texts, written once, and the models of all folds."""
+    folds = splits.stratified_kfold(rel.labelled_ids(spark, folder).select("id", "label"))
+    counted = models.with_hashed_counts(rel.sent(spark, folder))
+    folded = kept_table(counted.join(folds.select("id", "fold"), "id"), "folded")
+    return folded, fold_models.WordFoldModels.fit(folded)
+
+
 @query
 def oof_generate(spark, folder):
     """Every fold scored by the model that hasn't seen it; all models in one pass a step."""
-    folded, fitted = _fold_models(spark, folder)
+    folded, fitted = _word_models(spark, folder)
     return rounded(fitted.out_of_fold(folded), 5)
 
 

@@ -3,7 +3,7 @@ import pytest
 
 from lexgrain.operators import models
 from lexgrain.operators.ensemble import mean_logit
-from lexgrain.operators.fold_models import FoldModels, stored_scorer, with_text_shape
+from lexgrain.operators.fold_models import FoldModels, WordFoldModels, stored_scorer, with_text_shape
 from lexgrain.session import ship_package
 
 FEATURES = ("a", "b", "c")
@@ -91,3 +91,103 @@ def test_text_shape_of_odd_texts(spark):
     got = {r["id"]: (r["log_length"], r["space_share"]) for r in with_text_shape(spark.createDataFrame(rows, "id long, sentence string")).collect()}
     assert got[1] == got[2] == (0.0, 0.0)
     assert got[3] == (pytest.approx(np.log(7) / 10), pytest.approx(3 / 7)) and got[4][1] == 0
+
+
+def counted(spark, rows):
+    df = spark.createDataFrame(rows, "id long, sentence string, label int, fold int").repartition(3)
+    return models.with_hashed_counts(df, features=64)
+
+
+def plain_word_models(rows, k, steps, penalty=0.02):
+    """Margins of all rows under all models, from dense counts."""
+    from pyspark.ml.feature import HashingTF
+
+    hashing = HashingTF(numFeatures=64, inputCol="w", outputCol="tf")
+    tf = np.zeros((len(rows), 64))
+    for i, r in enumerate(rows):
+        for word in (r[1] or "").split():
+            tf[i, hashing.indexOf(word)] += 1
+    margins = np.zeros((len(rows), k))
+    root = np.sqrt((0.5 + penalty) / penalty)
+    for m in range(k):
+        train = [i for i, r in enumerate(rows) if r[2] is not None and r[3] is not None and r[3] != m]
+        frequency = (tf[train] > 0).sum(axis=0)
+        x = tf * np.where(frequency >= 2, np.log((len(train) + 1) / (frequency + 1)), 0)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        x = np.hstack([x, np.ones((len(rows), 1))])
+        y = np.array([rows[i][2] for i in train])
+        ridge = np.array([penalty] * 64 + [0])
+        w = ahead = np.zeros(65)
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-x[train] @ ahead))
+            moved = ahead - (x[train].T @ (p - y) / len(train) + ridge * ahead) / (0.5 + penalty)
+            w, ahead = moved, moved + (root - 1) / (root + 1) * (moved - w)
+        margins[:, m] = x @ w
+    return margins
+
+
+def test_word_counts_are_weighed_in_bounded_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    from lexgrain.operators import fold_models
+
+    tf = [{"type": 0, "size": 4, "indices": list(range(n)), "values": [1.0] * n} for n in (0, 3, 1, 0, 4, 2)]
+    batch = pa.RecordBatch.from_pydict({"tf": tf, "id": list(range(6))}).slice(1)
+    idf = np.ones((4, 2))
+    weights = np.arange(10.0).reshape(5, 2)
+    whole = fold_models._weighed(batch, idf, weights)[3]
+    assert np.allclose(whole[:2], [[8 + 6 / 3**0.5, 9 + 9 / 3**0.5], [8, 10]])
+    for most in (1, 4, 100):
+        monkeypatch.setattr(fold_models, "MOST_COUNTS", most)
+        parts = list(fold_models._parts(batch))
+        assert [i for p in parts for i in p.column("id").to_pylist()] == [1, 2, 3, 4, 5]
+        assert len(parts) == {1: 4, 4: 3, 100: 1}[most]
+        assert np.allclose(np.vstack([fold_models._weighed(p, idf, weights)[3] for p in parts]), whole)
+
+
+def test_word_models_equal_plain_ones(spark):
+    ship_package(spark)
+    pick = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(pick.choice(words[i % 2 * 5 :], 6)), i % 2, i % 3) for i in range(40)]
+    rows += [(40, None, 1, 0), (41, "", 0, 1), (42, "w1 w2", None, 2), (43, "w3 w4", 1, None), (43, "w3 w9", 0, 1)]
+    folded = counted(spark, rows)
+    fitted = WordFoldModels.fit(folded, k=3, slots=64, steps=8)
+    expected = plain_word_models(rows, 3, 8)
+    got = sorted((r["id"], r["fold"], r["l1"]) for r in fitted.scores(folded).collect())
+    want = sorted((r[0], m, expected[i, m]) for i, r in enumerate(rows) for m in range(3))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-9)
+    own = {(r["id"], r["fold"]): r["pred_prob"] for r in fitted.out_of_fold(folded).collect()}
+    assert own[43, None] is None and len(own) == len(rows)
+    for i, r in enumerate(rows):
+        if r[3] is not None:
+            assert own[r[0], r[3]] == pytest.approx(1 / (1 + np.exp(-expected[i, r[3]])))
+
+
+def test_word_models_without_rows(spark):
+    ship_package(spark)
+    none = counted(spark, [(1, "a b", 1, 0)]).limit(0)
+    fitted = WordFoldModels.fit(none, k=2, slots=64, steps=2)
+    assert not fitted.weights.any() and not fitted.constants.any()
+    assert fitted.out_of_fold(none).collect() == []
+
+
+@pytest.fixture(scope="module")
+def same_form(spark, tmp_path_factory):
+    """Texts of one form, whose words alone tell the label; ids from 80 have no label."""
+    folder = str(tmp_path_factory.mktemp("same-form"))
+    texts = [(i, "good fine nice" if i % 2 else "vile poor base") for i in range(100)]
+    spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'en' as lang").write.parquet(
+        f"{folder}/documents.parquet"
+    )
+    labels = [(i, i % 2) for i in range(80)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_oof_generate_reads_the_words(spark, same_form):
+    from lexgrain.plans.queries import oof_generate
+
+    rows = oof_generate(spark, same_form).collect()
+    assert len(rows) == 80 and all((r["pred_prob"] > 0.5) == (r["label"] == 1) for r in rows)
