@@ -661,9 +661,9 @@ select id // 2000 as file, case when id % 3 <> 0 then id
 from sent""",
     "oof_generate": f"""{WORD_MODELS}
 select id, label::int as label, fold, round(1 / (1 + exp(-l1)), 5) as pred_prob from logits where own = fold""",
-    "fold_test_scores": f"""{FOLD_MODELS}
+    "fold_test_scores": f"""{WORD_MODELS}
 select id, round(1 / (1 + exp(-avg(l1))), 5) as pred_prob, (avg(l1) > 0)::int as label, count(*) as n_folds
-from logits group by id""",
+from logits where own is null group by id""",
     "stored_fold_scores": f"{FOLD_MODELS} select id, fold, round(l1, 5) as l1 from logits",
 }
 ORACLE["oof_reconciliation"] = ORACLE["oof_alignment_check"]

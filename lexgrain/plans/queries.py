@@ -639,8 +639,8 @@ def oof_generate(spark, folder):
 @query
 def fold_test_scores(spark, folder):
     """Test rows under every fold's model, their mean logit as probability and label."""
-    _, fitted = _fold_models(spark, folder)
-    logits = fitted.scores(fold_models.with_text_shape(rel.unlabelled(spark, folder)))
+    _, fitted = _word_models(spark, folder)
+    logits = fitted.scores(models.with_hashed_counts(rel.unlabelled(spark, folder)))
     folds = logits.groupBy("id").agg(F.count_distinct("fold").alias("n_folds"))
     return rounded(ensemble.mean_logit(logits).join(folds, "id"), 5)
 

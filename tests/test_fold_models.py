@@ -191,3 +191,10 @@ def test_oof_generate_reads_the_words(spark, same_form):
 
     rows = oof_generate(spark, same_form).collect()
     assert len(rows) == 80 and all((r["pred_prob"] > 0.5) == (r["label"] == 1) for r in rows)
+
+
+def test_fold_test_scores_read_the_words(spark, same_form):
+    from lexgrain.plans.queries import fold_test_scores
+
+    rows = fold_test_scores(spark, same_form).collect()
+    assert len(rows) == 20 and all(r["label"] == r["id"] % 2 and r["n_folds"] == 5 for r in rows)
