@@ -158,3 +158,23 @@ def test_only_successful_runs_are_compared(spark, tables):
     report = workflows.compare_models(rel.preds(spark, tables), runs)
     assert {r["model"] for r in report["distribution"].collect()} == {"m0", "m2"}
     assert report["agreement"].count() == 1
+
+
+@pytest.mark.parametrize("rows_per_task, parts", [(1 << 16, 8), (10, 12)])
+def test_fits_see_as_many_parts_as_cores(spark, toy, monkeypatch, rows_per_task, parts):
+    """A task of a forest sends all node statistics, so parts must not grow with the files."""
+
+    class Spy:
+        def fit(self, vectors):
+            self.parts, self.ids = vectors.rdd.getNumPartitions(), sorted(r["id"] for r in vectors.collect())
+
+    monkeypatch.setattr(models, "ROWS_PER_TASK", rows_per_task)
+    spy = Spy()
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # what opening one small file counts
+    try:
+        models.fit_text_classifier(toy.repartition(40), estimator=spy, evaluate=False)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert spark.sparkContext.defaultParallelism == 8 and spy.parts == parts
+    assert spy.ids == list(range(120))
