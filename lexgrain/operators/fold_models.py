@@ -233,9 +233,15 @@ class WordFoldModels:
         return rows.mapInArrow(run, f"{fields}, margins array<double>")
 
 
+def _field(batch: pa.RecordBatch, name: str) -> pa.ListArray:
+    """A list of the vectors ``tf``; flattening, other than ``field``, heeds a slice."""
+    vectors = batch.column("tf")
+    return vectors.flatten()[vectors.type.get_field_index(name)]
+
+
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``MOST_COUNTS`` word counts, or one row."""
-    sizes = batch.column("tf").field("indices").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = _field(batch, "indices").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     total = np.cumsum(sizes)
     begin = 0
     while begin < batch.num_rows:
@@ -247,7 +253,7 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _counts(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(row, slot, count)`` of every word count, in the order of the rows."""
-    slots, counts = (pa.array(part.column("tf").flatten()[i]) for i in (2, 3))
+    slots, counts = _field(part, "indices"), _field(part, "values")
     row = np.repeat(np.arange(part.num_rows), slots.value_lengths().to_numpy(zero_copy_only=False))
     return row, slots.flatten().to_numpy(), counts.flatten().to_numpy()
 
