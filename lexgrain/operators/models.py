@@ -9,7 +9,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.ml.util import DefaultParamsReader
@@ -22,27 +22,21 @@ from pyspark.util import inheritable_thread_target
 from lexgrain.functions import text as tx
 from lexgrain.operators.ensemble import union_all
 from lexgrain.operators.features import FEATURES, Scaler, with_cleaned, with_text_features
+from lexgrain.operators.forest import ForestClassifier
 from lexgrain.operators.metrics import accuracy_f1, classification_report
 from lexgrain.operators.splits import fold_train, fold_validation, stratified_holdout
 from lexgrain.operators.tfidf import TfidfModel
 from lexgrain.session import discard, ensure_checkpoint_folder, kept_table, new_scratch_path
 
 DISK = StorageLevel.MEMORY_AND_DISK
-#: Rows of a fit that one task may hold before there are more tasks than cores; a forest's binned
-#: row takes about 20 KB with 5,000 features.
+#: Rows of a fit that one task may hold before there are more tasks than cores; a row that Spark ML's
+#: forest has binned takes about 20 KB with 5,000 features.
 ROWS_PER_TASK = 1 << 16
 
 
-def forest(trees: int = 100, seed: int = 42) -> RandomForestClassifier:
-    """Random forest; caching node ids keeps the growing trees from being sent with each pass."""
-    return RandomForestClassifier(
-        labelCol="label",
-        numTrees=trees,
-        maxDepth=20,
-        minInstancesPerNode=2,
-        cacheNodeIds=True,
-        seed=seed,
-    )
+def forest(trees: int = 100, seed: int = 42) -> ForestClassifier:
+    """Random forest whose tasks grow whole trees, so that no statistics of nodes are sent."""
+    return ForestClassifier(trees=trees, max_depth=20, least=2, seed=seed)
 
 
 def reject_or_drop_nulls(df: DataFrame, text: str, nulls: str) -> DataFrame:
@@ -176,13 +170,13 @@ def fit_text_classifier(
 
     With ``fit_scope="all"`` vocabulary and scaler see the evaluation rows as well; "train" fits
     them for the evaluation on the training part alone.  ``evaluate=False`` only fits on all rows.
-    ``train`` needs ``id, sentence, label``.  A forest is kept by the driver whole; ``max_rows``
-    bounds the rows that are fitted, taken in the order of a hash of the id.
+    ``train`` needs ``id, sentence, label``.  ``max_rows`` bounds the rows that are fitted, taken in
+    the order of a hash of the id.
 
     The rows are written to the shared folder once, with their part of the hold-out, so that the
-    source is not read and joined again by every pass of a fit.  In every pass of a forest each task
-    sends the statistics of all growing nodes, however few rows it has, so the vectors lie in as many
-    parts as there are cores and not in as many as the files have.
+    source is not read and joined again by every pass of a fit.  In every pass of a Spark ML forest
+    each task sends the statistics of all growing nodes, however few rows it has, so the vectors lie in
+    as many parts as there are cores and not in as many as the files have.
     """
     if fit_scope not in ("all", "train"):
         raise ValueError("fit_scope must be 'all' or 'train'")
