@@ -558,32 +558,33 @@ class ForestClassifier(Estimator):
         _store(f"{folder}/points.npy", points)
         try:
             names = tuple(_write_parts(rows, binned, points))
-            _grow_all(spark, binned, names, folder, points, setting)
+            trees = _grow_all(spark, binned, names, folder, points, setting)
         finally:
             discard(spark, binned)
-        return ForestModel(folder, self.trees, setting.classes, self.features)
+        return ForestModel(folder, trees, setting.classes, self.features)
 
 
 def _grow_all(
     spark: SparkSession, binned: str, names: tuple[str, ...], folder: str, points: np.ndarray, setting: _Setting
-) -> None:
-    """One task a tree; its file is in the folder when the task has ended."""
+) -> list[str]:
+    """Names of the trees' files, in their order; each task grows one, each attempt under another name."""
     zero, n_bins = _zero_bins(points), points.shape[1] + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number in batch.column("id").to_pylist():
                 tree = _Grower(_rows(binned, names), zero, n_bins, setting, number).grow()
-                _store(f"{folder}/tree-{number:06d}.npy", tree)
-                yield pa.RecordBatch.from_pydict({"n": pa.array([len(tree)], pa.int64())})
+                name = f"tree-{number:06d}-{uuid.uuid4().hex}.npy"
+                _store(f"{folder}/{name}", tree)
+                yield pa.RecordBatch.from_pydict({"name": [name]})
 
     numbers = spark.range(0, setting.trees, numPartitions=setting.trees)
-    numbers.mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+    return sorted(r["name"] for r in numbers.mapInArrow(run, "name string").collect())
 
 
 @lru_cache(maxsize=1)
-def _stored_forest(folder: str, trees: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    return _mapped(f"{folder}/points.npy"), [_mapped(f"{folder}/tree-{i:06d}.npy") for i in range(trees)]
+def _stored_forest(folder: str, trees: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    return _mapped(f"{folder}/points.npy"), [_mapped(f"{folder}/{name}") for name in trees]
 
 
 def _votes(vectors: pa.StructArray, points: np.ndarray, trees: list[np.ndarray], classes: int) -> np.ndarray:
@@ -608,11 +609,11 @@ def _votes(vectors: pa.StructArray, points: np.ndarray, trees: list[np.ndarray],
 
 
 class ForestModel(Model):
-    """A grown forest: one file a tree below ``folder``, which every executor must reach."""
+    """A grown forest: the files ``trees`` in ``folder``, which every executor must reach."""
 
-    def __init__(self, folder: str, trees: int, classes: int, features: str = "features"):
+    def __init__(self, folder: str, trees: list[str], classes: int, features: str = "features"):
         super().__init__()
-        self.folder, self.trees, self.classes, self.features = folder, trees, classes, features
+        self.folder, self.trees, self.classes, self.features = folder, tuple(trees), classes, features
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         ship_package(dataset.sparkSession)
@@ -624,7 +625,7 @@ class ForestModel(Model):
             ends = pa.array(np.arange(len(found) + 1) * classes, pa.int32())
             return pa.ListArray.from_arrays(ends, pa.array(found.ravel()))
 
-        given = F.transform("_votes", lambda v: v / F.lit(float(trees)))
+        given = F.transform("_votes", lambda v: v / F.lit(float(len(trees))))
         first_best = F.array_position("_votes", F.array_max("_votes")) - 1
         return (
             dataset.withColumn("_votes", votes(_vectors(self.features)))
@@ -658,7 +659,7 @@ class _ForestWriter(MLWriter):
 
     def saveImpl(self, path: str) -> None:
         model, spark = self.model, SparkSession.active()
-        saved = {"trees": model.trees, "classes": model.classes, "features": model.features}
+        saved = {"trees": list(model.trees), "classes": model.classes, "features": model.features}
         DefaultParamsWriter.saveMetadata(model, path, spark, extraMetadata={"forest": saved})
         hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
         source, target = hadoop.Path(model.folder), hadoop.Path(f"{path}/trees")
